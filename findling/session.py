@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +30,18 @@ def local_session(cores: int | None = None, name: str = "findling") -> SparkSess
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the provided tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that weren't started with it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_findling_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    # The driver serves this file to the executors, so it stays.
+    target = Path(tempfile.mkdtemp(prefix="findling-")) / "findling_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent).as_posix())
+    sc.addPyFile(str(target))
+    sc._findling_shipped = True
