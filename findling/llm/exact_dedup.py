@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from findling.session import ship
 from findling.storage import written
 
 PREFIX_CHARS = 64
@@ -103,6 +104,7 @@ def exact_dedup(
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep must be smallest or largest, not {keep}")
+    ship(docs.sparkSession)
     added = ["keep_id", "group_size", "kept", *([sha] if sha else [])]
     carried = [c for c in (docs.columns if carry is None else carry) if c not in added]
     text = F.coalesce(F.col(text_col), F.lit(""))

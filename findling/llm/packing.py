@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from findling.session import ship
 from findling.storage import written
 
 #: Words and parts of words whose ids a worker remembers; beyond it the memory is emptied.
@@ -93,6 +94,7 @@ def tokenise_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     ``ids`` (little-endian unsigned 32-bit). Null and empty texts have only ``end_id``. A
     very long text gives full pieces and a rest; a null or repeated identifier is carried.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, start long, length long, doc_tokens long, ids binary"
     return docs.select(id_col, text_col).mapInArrow(_pieces(tokenizer_path, capacity, end_id, id_col, text_col), schema)

@@ -9,7 +9,9 @@ from findling.llm import oracles
 from findling.llm.common import documents
 from findling.llm.exact_dedup import exact_dedup
 from findling.llm.mixing import mix_sources
+from findling.llm.near_dedup import near_duplicates
 from findling.llm.packing import pack_pieces, tokenise_pieces
+from findling.llm.quality_rules import labelled_sample, quality_rules, train_line_field
 from findling.llm.sharding import shuffle_into_shards
 from findling.llm.url_filter import Rule, filter_urls
 
@@ -46,6 +48,23 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_pieces(digest, SEQUENCE)
 
 
+def line_field(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """The line labeller, trained on a bounded sample of the labelled documents."""
+    sample = labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return train_line_field([t for t, _ in sample], [g for _, g in sample])
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rules = quality_rules(docs, line_field(spark, docs, sf_dir))
+    return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     return shuffle_into_shards(documents(spark, sf_dir).select("doc_id", "text"), N_SHARDS).select(
@@ -68,6 +87,6 @@ def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack, op5_shard, op8_exact_dedup, op9_filter_urls)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack, op3_quality_rules, op4_near_dedup, op5_shard, op8_exact_dedup, op9_filter_urls)}
 
 ORACLES = oracles.ORACLES
