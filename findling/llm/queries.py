@@ -11,8 +11,12 @@ from findling.llm.exact_dedup import exact_dedup
 from findling.llm.mixing import mix_sources
 from findling.llm.near_dedup import near_duplicates
 from findling.llm.packing import pack_pieces, tokenise_pieces
+from findling.llm.pii import KINDS as PII_KINDS
+from findling.llm.pii import find_personal_data
 from findling.llm.quality_rules import labelled_sample, quality_rules, train_line_field
+from findling.llm.secrets import SecretRule, find_secrets
 from findling.llm.sharding import shuffle_into_shards
+from findling.llm.spans import n_of, spelled
 from findling.llm.url_filter import Rule, filter_urls
 
 N_SHARDS = 24
@@ -31,6 +35,19 @@ URL_RULES = (
     Rule("/login^", "block"),
 )
 
+#: The three base rules, then keys of known forms. `{16,}` and `{14,}` drop the short matches of `[0-9a-f]+` and `AKIA[A-Z0-9]+`.
+SECRET_RULES = (
+    SecretRule("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
+    SecretRule("access", r"AKIA[A-Z0-9]{14,}"),
+    SecretRule("hex", r"[0-9a-f]{16,}"),
+    SecretRule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    SecretRule("forge", r"gh[opsu]_[A-Za-z0-9]{36,}"),
+    SecretRule("chat", r"xox[abps]-[A-Za-z0-9-]{10,}"),
+    SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    SecretRule("login", r"://[^/:@\x09-\x20]{1,64}:[^/:@\x09-\x20]{1,64}@"),
+)
+SECRET_BASE = ("assign", "access", "hex")
+
 
 def word_tokenizer() -> str:
     import public_tokenizers
@@ -78,6 +95,19 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(find_personal_data(documents(spark, sf_dir).select("doc_id", "text")), "spans", PII_KINDS)
+
+
+def op7_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(find_secrets(documents(spark, sf_dir).select("doc_id", "text"), SECRET_RULES, name="spans"), "spans", SECRET_BASE)
+
+
+def _digest(found: DataFrame, spans: str, base: tuple[str, ...]) -> DataFrame:
+    s = F.col(spans)
+    return found.select("doc_id", *[n_of(s, k).alias(f"n_{k}") for k in base], F.sha2(spelled(s, base), 256).alias("base_sha256"), spelled(s).alias("spans"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="largest", carry=["doc_id"], sha="text_sha256")
 
@@ -87,6 +117,6 @@ def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack, op3_quality_rules, op4_near_dedup, op5_shard, op8_exact_dedup, op9_filter_urls)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack, op3_quality_rules, op4_near_dedup, op5_shard, op6_find_pii, op7_find_secrets, op8_exact_dedup, op9_filter_urls)}
 
 ORACLES = oracles.ORACLES
