@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from findling.llm import oracles
 from findling.llm.common import documents
 from findling.llm.exact_dedup import exact_dedup
+from findling.llm.knn_quality import fit_neighbours, score_quality, training_sample
 from findling.llm.mixing import mix_sources
 from findling.llm.near_dedup import near_duplicates
 from findling.llm.packing import pack_pieces, tokenise_pieces
@@ -117,6 +118,14 @@ def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack, op3_quality_rules, op4_near_dedup, op5_shard, op6_find_pii, op7_find_secrets, op8_exact_dedup, op9_filter_urls)}
+def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    texts, labels, prior = training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    scored = score_quality(docs, fit_neighbours(texts, labels, prior))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack, op3_quality_rules, op4_near_dedup, op5_shard, op6_find_pii, op7_find_secrets, op8_exact_dedup, op9_filter_urls, op10_knn_quality)}
 
 ORACLES = oracles.ORACLES
