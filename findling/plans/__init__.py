@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Derived tables, registered queries and plan shapes."""
