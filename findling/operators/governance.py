@@ -57,7 +57,7 @@ def repeated_calls(calls: DataFrame, key_cols: Sequence[str], time_col: str, coo
     """``is_repeat``: an equal call came at most ``cooldown_s`` before."""
     w = Window.partitionBy("call_key").orderBy(time_col, order_col)
     keyed = calls.withColumn("call_key", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]), 256))
-    gap = F.unix_micros(F.col(time_col)) - F.unix_micros(F.lag(time_col).over(w))
+    gap = F.unix_micros(F.col(time_col).cast("timestamp")) - F.unix_micros(F.lag(time_col).over(w).cast("timestamp"))
     return keyed.withColumn("is_repeat", F.coalesce(gap <= cooldown_s * 1_000_000, F.lit(False)))
 
 

@@ -1,25 +1,74 @@
-"""Connected components by alternating stars, for graphs of any size."""
+"""Connected components: union-find in blocks of edges, then alternating stars."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findling.session import ship
 from findling.storage import release, written
 
+#: Edges that one task joins in memory.
+BLOCK = 250_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a block as one star for each of its components, around the smallest node."""
+    held = list(batches)
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    n = table.num_rows
+    codes, nodes = pd.factorize(np.array(table["u"].to_pylist() + table["v"].to_pylist(), dtype=object), sort=True)
+    parent = list(range(len(nodes)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(codes[:n].tolist(), codes[n:].tolist(), strict=True):
+        a, b = find(a), find(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    pairs = [(i, r) for i in range(len(nodes)) if (r := find(i)) != i]
+    if pairs:
+        kind = table.schema.field("u").type
+        yield pa.record_batch([pa.array([nodes[i] for i, _ in pairs], kind), pa.array([nodes[r] for _, r in pairs], kind)], names=["u", "v"])
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) for every node of an edge.
 
-    Edges are undirected; loops, repeats and nulls are ignored. Each round points every
-    neighbour of a node at the smallest node near it, first the larger neighbours, then
-    the smaller ones, until nothing changes: a number of rounds that grows with the
-    logarithm of the size, whatever the diameter. A hub's messages are joined, not
-    grouped, so its partition can be split.
+    Edges are undirected; loops, repeats and nulls are ignored. Blocks of edges are first
+    joined by union-find, each in a task of bounded size. Where there is more than one
+    block, rounds follow that point every neighbour of a node at the smallest node near
+    it, first the larger neighbours, then the smaller ones, until nothing changes: a
+    number of rounds that grows with the logarithm of the size, whatever the diameter. A
+    hub's messages are joined, not grouped, so its partition can be split.
     """
+    ship(edges.sparkSession)
     a, b = F.col(src), F.col(dst)
-    now = edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now = written(now, "components")
+    given = edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    kind = given.schema["u"].dataType.simpleString()
+    given = written(given, "components")
+    blocks = math.ceil(given.count() / BLOCK)
+    now = written(given.repartition(max(1, blocks)).mapInArrow(_forest, f"u {kind}, v {kind}"), "components")
+    release(given)
+    if blocks > 1:
+        now = _stars(now)
+    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _stars(now: DataFrame) -> DataFrame:
     state = _state(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,9 +80,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         release(now)
         now, before, state = new, state, _state(new)
         if state == before:
-            break
-    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+            return now
 
 
 def _state(edges: DataFrame) -> tuple:
