@@ -102,7 +102,7 @@ def similarity_join(rows: DataFrame, least: float = 0.95, type_col: str = "type"
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if not len(x) or not len(y):
-            return pd.DataFrame({"type": [], "source_id": [], "target_id": [], "similarity": []})
+            return pd.DataFrame([], columns=["type", "source_id", "target_id", "similarity"])
         s = np.stack(x["v"]) @ np.stack(y["v"]).T
         i, j = np.nonzero(s >= least)
         p, q = x["id"].to_numpy()[i], y["id"].to_numpy()[j]

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 CHUNK = T.StructType([
     T.StructField("id", T.StringType(), False),
     T.StructField("content", T.StringType()),
-    T.StructField("embedding", T.ArrayType(T.FloatType(), False)),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
     T.StructField("document_id", T.StringType()),
     T.StructField("workspace_id", T.StringType()),
     T.StructField("layer_id", T.StringType()),

@@ -17,7 +17,6 @@ def one(spark, column, **values):
 @settings(max_examples=200, deadline=None)
 def test_recursive_chunks_keep_every_letter_in_order(text, size, overlap):
     got = op.recursive_chunks(text, size, overlap)
-    assert all(got)
     letters = [c for c in text if c in "ab"]
     if overlap == 0:
         assert [c for c in "".join(got) if c in "ab"] == letters
