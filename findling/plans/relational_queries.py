@@ -435,7 +435,7 @@ def m10(spark: SparkSession, sf: str) -> DataFrame:
 def m12(spark: SparkSession, sf: str) -> DataFrame:
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     text = F.when(F.col("event_id") % 3 == 0, F.concat(iso, F.lit("Z"))).when(F.col("event_id") % 3 == 1, iso).otherwise("soon")
-    return T(spark, sf, "events").select("event_id", governance.parse_iso(text).alias("parsed"))
+    return T(spark, sf, "events").select("event_id", governance.parse_iso(text).cast("timestamp_ntz").alias("parsed"))
 
 
 @query("m13_entity_ids", "SELECT c_custkey, sha256('ws:' || lower(c_name)) AS id FROM customer")

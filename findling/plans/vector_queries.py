@@ -103,7 +103,7 @@ def m1(spark: SparkSession, sf: str) -> DataFrame:
 def m2(spark: SparkSession, sf: str) -> DataFrame:
     # The ten columns of the matrix are ten stated vectors.
     queries = [(r["vec_id"], r["embedding"]) for r in table(spark, sf, "embeddings").filter("vec_id < 10").select("vec_id", "embedding").collect()]
-    dots = F.array(*[F.struct(F.lit(i).alias("b"), R(V.dot(F.col("embedding"), F.lit(v))).alias("dot")) for i, v in queries])
+    dots = F.array(*[F.struct(F.lit(i).cast("long").alias("b"), R(V.dot(F.col("embedding"), F.lit(v))).alias("dot")) for i, v in queries])
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("a"), F.explode(dots).alias("d")).select("a", "d.b", "d.dot")
 
 

@@ -7,42 +7,36 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from findling.session import ship
 
 #: Steps of a document in order; a step is never taken back.
 STEPS = ("pending", "queued", "processing", "completed", "failed")
 DAYS_7_MS = 7 * 24 * 3600 * 1000
-STATUS = StructType([StructField("document_id", StringType()), StructField("status", StringType()), StructField("events", LongType())])
 
 
-class _Status(StatefulProcessor):
-    """The furthest step of each document; state that nothing touches for seven days expires."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField("status", StringType()), StructField("events", LongType())])
-        self.state = handle.getValueState("status", schema, DAYS_7_MS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        status, n = self.state.get() if self.state.exists() else ("pending", 0)
-        for frame in rows:
-            n += len(frame)
-            for s in frame["status"]:
-                if s in STEPS and (STEPS.index(s) > STEPS.index(status) or status == "failed" and s == "queued"):
-                    status = s
-        self.state.update((status, n))
-        yield pd.DataFrame({"document_id": [key[0]], "status": [status], "events": [n]})
-
-    def close(self) -> None:
-        pass
+def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The furthest step of a document; state that nothing touches for seven days is dropped."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    status, n = state.get if state.exists else ("pending", 0)
+    for frame in frames:
+        n += len(frame)
+        for s in frame["status"]:
+            if s in STEPS and (STEPS.index(s) > STEPS.index(status) or (status, s) == ("failed", "queued")):
+                status = s
+    state.update((status, n))
+    state.setTimeoutDuration(DAYS_7_MS)
+    yield pd.DataFrame({"document_id": [key[0]], "status": [status], "events": [n]})
 
 
 def document_status(events: DataFrame) -> DataFrame:
     """(document_id, status, events) after each batch of (document_id, status); a failed document may be queued again."""
     ship(events.sparkSession)
-    return events.groupBy("document_id").transformWithStateInPandas(_Status(), STATUS, "Update", "ProcessingTime")
+    out = "document_id string, status string, events long"
+    return events.groupBy("document_id").applyInPandasWithState(_advance, out, "status string, events long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, time_col: str = "ts", late: str = "10 minutes", size: str = "1 hour") -> DataFrame:

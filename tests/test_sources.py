@@ -71,3 +71,13 @@ def test_windows_of_a_stream(spark, tmp_path):
     q = state.windowed_counts(stream).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM w").first()[0] == src.count()
+
+
+def test_document_status_stream(spark, tmp_path):
+    rows = [("a", "queued"), ("a", "processing"), ("b", "failed"), ("a", "queued"), ("c", "nonsense")]
+    spark.createDataFrame(rows, "document_id string, status string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("document_id string, status string").parquet(str(tmp_path / "in"))
+    seen = []
+    q = state.document_status(stream).writeStream.outputMode("update").foreachBatch(lambda df, n: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r["document_id"], r["status"], r["events"]) for r in seen} == {("a", "processing", 3), ("b", "failed", 1), ("c", "pending", 1)}
