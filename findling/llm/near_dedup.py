@@ -8,9 +8,10 @@
    can still improve.
 3. Bands of slots are buckets. In each bucket the members are verified against one pivot,
    on full sets; verified links are joined into components. What then lies in one bucket
-   but in different components is compared in blocks by signatures, and pairs whose
-   signatures leave a link possible are verified as well. So a bucket never gives all its
-   pairs, yet no pair that shares a bucket is left undecided.
+   but in different components goes with its texts to blocks of bounded size; there, pairs
+   whose signatures leave a link possible are verified on full sets, each in the first
+   bucket that it shares, and only links leave the block. So no pairs are written out, yet
+   no pair that shares a bucket is left undecided.
 
 At similarity 0.75 a pair shares no bucket with a chance of (1 - 0.75^4)^32 = 5e-6, at 0.8
 of 5e-8. A pair is passed over by its signature if over 64 of 128 slots differ, which for
@@ -37,7 +38,7 @@ SLOTS = BANDS * ROWS
 #: Slots that must agree before a pair from different components is verified.
 LEAST_AGREEING = SLOTS // 2
 #: Members of a bucket in one block of the comparison in blocks.
-BLOCK = 1000
+BLOCK = 500
 #: Elements that go through the permutations together; words whose hash a worker remembers.
 CHUNK, MEMO = 200_000, 500_000
 RANK_BITS = 40
@@ -157,22 +158,40 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
         yield batch.select([0, 1]).append_column("linked", pa.array(good, pa.bool_()))
 
 
-def _blockwise(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components whose signatures leave a link possible."""
-    first, second = key[1], key[2]
+def _blockwise(key: tuple, rows: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
+    """Links between different components in one pair of blocks of a bucket."""
+    first, second, bucket = key[1], key[2], key[0]
     slots = np.stack([np.frombuffer(s, np.uint16) for s in rows["slots"]])
+    bands = np.stack([np.asarray(b, np.int64) for b in rows["bands"]])
+    here = int(np.flatnonzero(bands[0] == bucket)[0])
+    names, block, cls, n, texts = rows["comp"].to_numpy(), rows["blk"].to_numpy(), rows["cls"].to_numpy(), rows["n"].to_numpy(), rows["__text"].to_numpy()
     comp = pd.factorize(rows["comp"])[0]
-    block, cls, n = rows["blk"].to_numpy(), rows["cls"].to_numpy(), rows["n"].to_numpy()
     left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    a, b = [], []
+    sets: dict[int, np.ndarray] = {}
+
+    def of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(texts[i], width)
+        return sets[i]
+
+    out = []
     for at, i in enumerate(left):
         to = right[at + 1 :] if first == second else right
         to = to[(comp[to] != comp[i]) & (4 * np.minimum(n[to], n[i]) >= 3 * np.maximum(n[to], n[i]))]
-        if len(to):
-            for j in to[(slots[to] == slots[i]).sum(axis=1) >= LEAST_AGREEING]:
-                a.append(min(cls[i], cls[j]))
-                b.append(max(cls[i], cls[j]))
-    return pd.DataFrame({"a": a, "b": b})
+        to = to[(slots[to] == slots[i]).sum(axis=1) >= LEAST_AGREEING]
+        if len(to) and here:
+            to = to[~(bands[to, :here] == bands[i, :here]).any(axis=1)]
+        if not len(to):
+            continue
+        mine, others = of(i), [of(j) for j in to]
+        place = np.searchsorted(mine, flat := np.concatenate(others))
+        hit = mine[np.minimum(place, len(mine) - 1)] == flat
+        both = np.add.reduceat(hit, np.cumsum([0, *(len(o) for o in others[:-1])]))
+        for j in to[100 * both >= percent * (len(mine) + n[to] - both)]:
+            if comp[i] != comp[j]:
+                out.append((cls[i], cls[j], names[i], names[j]))
+                comp[comp == comp[j]] = comp[i]
+    return pd.DataFrame(out, columns=["a", "b", "ca", "cb"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -234,9 +253,17 @@ def _near(source: DataFrame, kind: str, kept: list[str], id_col: str, text_col:
         return out
 
     def components(links: DataFrame) -> DataFrame:
-        found = connected_components(links.filter("linked"), "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+        found = connected_components(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("comp"))
         return written(found, "near-components")
 
+    def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after links between components ca and cb: only components are joined, not members."""
+        over = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        over = over.select(F.col("cls").alias("comp"), F.col("comp").alias("__to"))
+        known = comp.unionByName(over.select(F.col("comp").alias("cls"), "comp").join(comp.select("cls"), "cls", "left_anti"))
+        new = known.join(over, "comp", "left").select("cls", F.coalesce("__to", "comp").alias("comp"))
+        return written(new, "near-components")
+
     def placed(members: DataFrame, comp: DataFrame, cls: str, name: str) -> DataFrame:
         c = comp.select(F.col("cls").alias(cls), F.col("comp").alias("__c"))
         return members.join(c, cls, "left").withColumn(name, F.coalesce("__c", cls)).drop("__c")
@@ -244,12 +271,12 @@ def _near(source: DataFrame, kind: str, kept: list[str], id_col: str, text_col:
     # First one pivot a class, then the pivots of all its buckets that this hasn't joined.
     pairs = buckets.filter("pivot != cls").groupBy("cls").agg(F.min("pivot").alias("a")).select("a", F.col("cls").alias("b"))
     done = verified(pairs)
-    comp = components(done)
+    comp = components(done.filter("linked"))
     star = buckets.filter("pivot != cls").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    star = placed(placed(star, comp, "a", "ca"), comp, "b", "cb").filter("ca != cb").select("a", "b")
-    star = star.join(done.select("a", "b"), ["a", "b"], "left_anti")
-    done = done.unionByName(verified(star))
-    comp = components(done)
+    star = placed(placed(star, comp, "a", "ca"), comp, "b", "cb").filter("ca != cb")
+    star = written(star.join(done.select("a", "b"), ["a", "b"], "left_anti"), "near-stars")
+    if not star.isEmpty():
+        comp = joined(comp, star.join(verified(star.select("a", "b")).filter("linked"), ["a", "b"], "left_semi"))
     # Buckets that still hold several components are compared in blocks.
     where = written(placed(buckets.select("key", "cls", "members"), comp, "cls", "comp"), "near-placed")
     mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
@@ -257,10 +284,12 @@ def _near(source: DataFrame, kind: str, kept: list[str], id_col: str, text_col:
     open_rows = where.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
     open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     open_rows = open_rows.withColumns({"first": F.least("blk", "other"), "second": F.greatest("blk", "other")})
-    open_rows = open_rows.join(classes.select("cls", "n", "slots"), "cls").select("key", "first", "second", "blk", "cls", "comp", "n", "slots")
-    possible = open_rows.groupBy("key", "first", "second").applyInPandas(_blockwise, "a binary, b binary").distinct()
-    possible = possible.join(done.select("a", "b"), ["a", "b"], "left_anti")
-    comp = components(done.unionByName(verified(written(possible, "near-possible"))))
+    held = written(table.select("row", "__text").join(classes.select("cls", "n", "slots", "bands", "row").join(open_rows.select("cls").distinct(), "cls", "left_semi"), "row").drop("row"), "near-open")
+    open_rows = open_rows.join(held, "cls").select("key", "first", "second", "blk", "cls", "comp", "n", "slots", "bands", "__text")
+    links = open_rows.groupBy("key", "first", "second").applyInPandas(lambda key, rows: _blockwise(key, rows, width, percent), "a binary, b binary, ca binary, cb binary")
+    links = written(links, "near-links")
+    if not links.isEmpty():
+        comp = joined(comp, links)
 
     whole = placed(classes.select("cls", "best"), comp, "cls", "comp")
     best = whole.groupBy("comp").agg(F.min("best").alias("best"))
