@@ -204,8 +204,8 @@ def s33(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s36_add_documents", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'registered' WHEN length(trim(text)) = 0 THEN 'failed' ELSE 'embedded' END AS status FROM documents")
 def s36(spark: SparkSession, sf: str) -> DataFrame:
-    d = T(spark, sf, "documents").withColumn("path", F.when(F.col("doc_id") % 6 == 0, "cortex://x").otherwise("file://x"))
-    remote = F.startswith("path", F.lit("cortex://"))
+    d = T(spark, sf, "documents").withColumn("path", F.when(F.col("doc_id") % 6 == 0, "archive://x").otherwise("file://x"))
+    remote = F.startswith("path", F.lit("archive://"))
     routed = d.filter(remote).select("doc_id", F.lit("registered").alias("status"))
     return routed.unionByName(d.filter(~remote).select("doc_id", F.when(F.length(F.trim("text")) == 0, "failed").otherwise("embedded").alias("status")))
 
