@@ -50,6 +50,17 @@ def release(*tables: DataFrame | None) -> None:
             _delete(table.sparkSession, path)
 
 
+def tables_now() -> set[str]:
+    """Paths of the intermediate tables there are."""
+    return set(_WRITTEN)
+
+
+def discard(spark: SparkSession, paths: set[str]) -> None:
+    """Delete intermediate tables by path; those that are gone already don't matter."""
+    for path in paths & set(_WRITTEN):
+        _delete(spark, path)
+
+
 def release_all(spark: SparkSession) -> None:
     """Delete every intermediate table of this session; results still unread become invalid."""
     for path in list(_WRITTEN):
