@@ -1,11 +1,15 @@
 """From raw documents to packed training sequences.
 
 Each stage reads what the one before has written and keeps its columns; the last
-returns the pieces of the packed sequences.
+returns the pieces of the packed sequences. By the time that a stage is called, the result
+of the one before has been written, so its intermediate tables are deleted then.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,29 +20,49 @@ from findling.llm.near_dedup import distinct_documents
 from findling.llm.packing import pack_pieces, tokenise_pieces
 from findling.llm.quality_rules import clean_documents
 from findling.llm.queries import SEQUENCE, line_field, word_tokenizer
-from findling.storage import written
+from findling.storage import discard, tables_now, written
+
+_LEFT: set[str] = set()
+
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(work)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _LEFT)
+        before = tables_now()
+        out = work(spark, docs, sf_dir)
+        _LEFT.clear()
+        _LEFT.update(tables_now() - before)
+        return out
+
+    return call
 
 
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counts and whose lines are mostly content."""
     return clean_documents(docs, line_field(spark, docs, sf_dir))
 
 
+@_stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, the one with the largest identifier."""
     return unique_documents(docs, keep="largest")
 
 
+@_stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest identifier."""
     return distinct_documents(docs)
 
 
+@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies that bring every source to its target."""
     return mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their sequence and place."""
     pieces = tokenise_pieces(docs, word_tokenizer(), SEQUENCE)
