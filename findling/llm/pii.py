@@ -57,23 +57,27 @@ def base_spans(text: Column) -> Column:
     return in_order(F.concat(*parts), KINDS)
 
 
-def _candidates(text: Column) -> Column:
-    """(value, start, end, left, right) of the words with digits, ends of punctuation cut off."""
-    gaps = F.split(text, CANDIDATE, -1)
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    spans = match_spans(text, "", CANDIDATE)
+def _candidates(found: Column, gaps: Column) -> Column:
+    """(value, start, end, left, right) of the words with digits, ends of punctuation cut off.
+
+    ``found`` and ``gaps`` are columns, matches and what stands between them: inside a
+    lambda an expression would be evaluated again for each element.
+    """
     word = rf"[^{_SPACE}]+"
 
-    def one(s, i):
-        value, gap, after = F.get(found, i), F.get(gaps, i), F.get(gaps, i + 1)
-        head = F.length(F.regexp_extract(value, r"^[^A-Za-z0-9+@]*", 0))
+    def one(acc, value):
+        i = F.size(acc["out"])
+        gap, after = F.get(gaps, i), F.get(gaps, i + 1)
+        begin = acc["at"] + F.length(gap)
+        start = begin + F.length(F.regexp_extract(value, r"^[^A-Za-z0-9+@]*", 0))
         core = F.regexp_extract(value, r"^[^A-Za-z0-9+@]*(.*?)[^A-Za-z0-9]*$", 1)
         left = F.lower(F.regexp_extract(gap, rf"({word})[{_SPACE}]*$", 1))
         right = F.lower(F.regexp_extract(after, rf"^[{_SPACE}]*({word})", 1))
-        start = s["start"] + head
-        return F.struct(core.alias("value"), start.alias("start"), (start + F.length(core)).alias("end"), left.alias("left"), right.alias("right"))
+        item = F.struct(core.alias("value"), start.cast("long").alias("start"), (start + F.length(core)).cast("long").alias("end"), left.alias("left"), right.alias("right"))
+        return F.struct((begin + F.length(value)).cast("long").alias("at"), F.array_append(acc["out"], item).alias("out"))
 
-    return F.transform(spans, one)
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<value:string,start:long,end:long,left:string,right:string>>").alias("out"))
+    return F.aggregate(found, zero, one, lambda acc: acc["out"])
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -103,7 +107,8 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", name: str = "spa
     kept = [c for c in docs.columns if c != name]
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = docs.select(text.alias("__text")).filter(F.rlike("__text", F.lit("[0-9@]")))
-    marked = marked.select(F.md5("__text").alias("__key"), base_spans(F.col("__text")).alias("__base"), _candidates(F.col("__text")).alias("__all"))
+    marked = marked.select("__text", F.regexp_extract_all("__text", F.lit(CANDIDATE), F.lit(0)).alias("__found"), F.split("__text", CANDIDATE, -1).alias("__gaps"))
+    marked = marked.select(F.md5("__text").alias("__key"), base_spans(F.col("__text")).alias("__base"), _candidates(F.col("__found"), F.col("__gaps")).alias("__all"))
     flat = marked.select("__key", "__base", F.explode("__all").alias("c")).select("__key", "c.*", F.exists("__base", lambda s: (s["start"] < F.col("c.end")) & (F.col("c.start") < s["end"])).alias("seed"))
     flat = flat.filter(F.length(_digits(F.col("value"))) >= LEAST_DIGITS)
     flat = flat.withColumn("patterns", F.array(F.concat_ws("|", F.lit("L"), "left"), F.concat_ws("|", F.lit("R"), "right"), F.concat_ws("|", F.lit("B"), "left", "right")))
