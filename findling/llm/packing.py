@@ -12,10 +12,11 @@ all pieces have is ranked in many tasks.
 from __future__ import annotations
 
 import math
-from array import array
+import os
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,41 +24,108 @@ from pyspark.sql import functions as F
 from findling.session import ship
 from findling.storage import written
 
-#: Words and parts of words whose ids a worker remembers; beyond it the memory is emptied.
-MEMO_WORDS = 300_000
+#: Words, and parts of words, whose ids a worker remembers in each of two generations; a full one replaces the older.
+MEMO = 600_000
+#: Marks that end a word and are cut off before the rest is looked up.
+ENDS = b".,;:!?*#$%&"
 #: Pieces of all lengths that share a range of the hash, on average, and the most ranges.
 RANGE_ROWS, MAX_RANGES = 500, 1 << 16
 _MEMO: dict[str, _Ids] = {}
 
 
+class _Memory:
+    """Two generations of what is known."""
+
+    def __init__(self):
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.new) > MEMO:
+            self.new, self.old = {}, self.new
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        out = []
+        for k in keys.difference(self.new):
+            ids = self.old.get(k)
+            if ids is None:
+                out.append(k)
+            else:
+                self.new[k] = ids
+        return out
+
+
 class _Ids:
     """Ids of whole texts by one tokenizer, word by word.
 
     The tokenizer drops white space and never merges across it, so the ids of a text are
-    those of its words in turn (tests compare with whole texts); words repeat, so most
-    come from memory.
+    those of its words in turn; words repeat, so most come from memory. Where it lowers
+    letters itself, ASCII letters are lowered first, and where it parts letters from
+    marks, so are the marks at the end of a word: fewer different words remain. What is new goes
+    through the tokenizer together, kept apart by one of its special tokens, which it
+    cuts out before anything else. Tests compare with the ids of whole texts.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        words = text.encode().split()
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
+        t = self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.parts = _Memory(), _Memory()
+        self.special = {v.content.encode(): i for i, v in t.get_added_tokens_decoder().items()}
+        self.mark = next(iter(self.special), b"")
+        self.lowers = t.normalizer is not None and t.normalizer.normalize_str("A") == "a"
+        self.parts_marks = t.pre_tokenizer is not None and len(t.pre_tokenizer.pre_tokenize_str("ab,")) == 2
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        lists, odd = [], False
+        for text in texts:
+            data = text.encode()
+            low = data.lower() if self.lowers else data
+            if b"<" in data and any(s in low for s in self.special):
+                low, odd = data, True
+            lists.append(low.split())
+        self.words.turn()
+        new = self.words.missing(set().union(*lists))
         if new:
-            if len(self.words) + len(new) > MEMO_WORDS:
-                self.words.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.words[w] = array("I", e.ids).tobytes()
-        return b"".join(map(self.words.__getitem__, words))
+            self._learn(new, odd)
+        of = self.words.new.__getitem__
+        return [b"".join(map(of, words)) for words in lists]
+
+    def _learn(self, new: list[bytes], odd: bool) -> None:
+        self.parts.turn()
+        cuts, needed = {}, set()
+        for w in new if self.parts_marks else ():
+            core = w.rstrip(ENDS)
+            if core and len(core) < len(w) and core.decode().isalpha():
+                cuts[w] = end = (core, w[len(core) :])
+                needed.update(end)
+        needed.update(w for w in new if w not in cuts) if cuts else needed.update(new)
+        self._encode(self.parts.missing(needed), odd)
+        of, words = self.parts.new, self.words.new
+        for w in new:
+            end = cuts.get(w)
+            words[w] = of[w] if end is None else of[end[0]] + of[end[1]]
+
+    def _encode(self, parts: list[bytes], odd: bool) -> None:
+        apart = [p for p in parts if any(s in p for s in self.special)] if odd or not self.mark else []
+        alone = set(apart if self.mark else parts)
+        plain = [p for p in parts if p not in alone] if alone else parts
+        groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for some, got in zip(groups, self.tokenizer.encode_batch_fast([self.mark.join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.special[self.mark]).tolist()
+            if len(ends) + 1 != len(some):
+                raise ValueError("the tokenizer didn't keep its special token apart")
+            data = ids.tobytes()
+            for p, a, b in zip(some, [0, *(4 * e + 4 for e in ends)], [*(4 * e for e in ends), len(data)], strict=True):
+                self.parts.new[p] = data[a:b]
+        for p in alone:
+            self.parts.new[p] = np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def _pieces(path: str, capacity: int, end_id: int, id_col: str, text_col: str):
-    tail = array("I", [end_id]).tobytes()
+    tail = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _MEMO.get(path) or _MEMO.setdefault(path, _Ids(path))
@@ -68,17 +136,19 @@ def _pieces(path: str, capacity: int, end_id: int, id_col: str, text_col: str):
                 keys = batch.column(0).take(pa.array(row, pa.int64()))  # noqa: B023
                 return pa.record_batch([keys, pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "start", "length", "doc_tokens", "ids"])  # noqa: B023
 
-            for i, text in enumerate(batch.column(1)):
-                whole = encode(text.as_py() or "") + tail
-                n = len(whole) // 4
-                for a in range(0, n, capacity):
-                    part = whole[4 * a : 4 * (a + capacity)]
-                    row.append(i)
-                    start.append(a)
-                    length.append(len(part) // 4)
-                    total.append(n)
-                    ids.append(part)
-                    held += len(part)
+            for first in range(0, batch.num_rows, 64):
+                texts = [t or "" for t in batch.column(1).slice(first, 64).to_pylist()]
+                for i, got in enumerate(encode(texts), first):
+                    whole = got + tail
+                    n = len(whole) // 4
+                    for a in range(0, n, capacity):
+                        part = whole[4 * a : 4 * (a + capacity)]
+                        row.append(i)
+                        start.append(a)
+                        length.append(len(part) // 4)
+                        total.append(n)
+                        ids.append(part)
+                        held += len(part)
                 if held > 8_000_000:
                     yield flush()
                     row, start, length, total, ids, held = [], [], [], [], [], 0
