@@ -42,7 +42,8 @@ def _queries(regex: str) -> list[frozenset[str]] | None:
     """Strings that a match must contain in a row give the trigrams; classes break strings."""
     flags = re.match(r"\(\?([a-z]+)\)", regex)
     tree = re._parser.parse(regex[flags.end() :] if flags else regex)
-    found = {frozenset(s[i : i + 3] for s in run for i in range(len(s) - 2)) for run in _runs(tree)}
+    # At most 60 trigrams a set, so that their bits fit a long: fewer only make more candidates.
+    found = {frozenset(sorted({s[i : i + 3] for s in run for i in range(len(s) - 2)})[:60]) for run in _runs(tree)}
     if frozenset() in found:
         return None
     # A set that contains another is implied by it.
@@ -112,19 +113,20 @@ def find_secrets(docs: DataFrame, rules: Sequence[SecretRule], text_col: str = "
         return base.withColumn(name, in_order(direct, kinds))
     keyed = docs.select(*kept, text.alias("__text")).withColumn("__key", F.md5("__text"))
 
-    # Postings: the trigrams of the rules that each text holds.
-    grams = sorted({g for r in indexed for q in queries[r.kind] for g in q})
-    lower = F.lower("__text")
-    present = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(g)), F.lit(g)) for g in grams]))
-    texts = keyed.select("__key", "__text", present.alias("__grams")).filter(F.size("__grams") > 0)
-    texts = texts.groupBy("__key").agg(F.first("__text").alias("__text"), F.first("__grams").alias("__grams"))
-    postings = texts.select("__key", F.explode("__grams").alias("__gram"))
-    wanted = [(r.kind, i, g, len(q)) for r in indexed for i, q in enumerate(queries[r.kind]) for g in sorted(q)]
-    terms = docs.sparkSession.createDataFrame(wanted, "__kind string, __way int, __gram string, __need int")
-    # As many rows as the rule list has trigrams.
-    hits = postings.join(F.broadcast(terms), "__gram").groupBy("__key", "__kind", "__way").agg(F.count("*").alias("__have"), F.first("__need").alias("__need"))
-    candidates = hits.filter("__have = __need").groupBy("__key").agg(F.collect_set("__kind").alias("__kinds"))
-    verified = texts.select("__key", "__text").join(candidates, "__key")
+    # Postings: the trigrams of the rules that each text holds. The lowered text is a column of
+    # its own, for a projection that used it inside each test would lower it for each of them.
+    ways = [(r.kind, i, q) for r in indexed for i, q in enumerate(queries[r.kind])]
+    grams = sorted({g for _, _, q in ways for g in q})
+    lowered = keyed.select("__key", F.lower("__text").alias("__lower"))
+    present = F.array(*[F.when(F.contains("__lower", F.lit(g)), F.lit(g)) for g in grams])
+    postings = lowered.select("__key", F.explode(present).alias("__gram"))
+    # As many rows as the rule list has trigrams; a way is whole when all its bits are seen, however often.
+    terms = [(kind, i, g, 1 << at, (1 << len(q)) - 1) for kind, i, q in ways for at, g in enumerate(sorted(q))]
+    terms = docs.sparkSession.createDataFrame(terms, "__kind string, __way int, __gram string, __bit long, __all long")
+    hits = postings.join(F.broadcast(terms), "__gram").groupBy("__key", "__kind", "__way", "__all").agg(F.bit_or("__bit").alias("__seen"))
+    candidates = hits.filter("__seen = __all").groupBy("__key").agg(F.collect_set("__kind").alias("__kinds"))
+    texts = keyed.groupBy("__key").agg(F.first("__text").alias("__text"))
+    verified = texts.join(candidates, "__key")
     found = [F.when(F.array_contains("__kinds", r.kind), _matches(r, F.col("__text"))).otherwise(_none()) for r in indexed]
     verified = verified.select("__key", spans_of_kinds(found, kinds).alias("__found"))
 
