@@ -14,8 +14,8 @@
    no pair that shares a bucket is left undecided.
 
 At similarity 0.75 a pair shares no bucket with a chance of (1 - 0.75^4)^32 = 5e-6, at 0.8
-of 5e-8. A pair is passed over by its signature if over 64 of 128 slots differ, which for
-a similarity of 0.75 or more is 6.5 standard deviations away.
+of 5e-8. A pair is passed over by its signature if fewer than 72 of 128 slots agree, which
+at a similarity of 0.75 is 4.9 standard deviations away, a chance below 1e-6.
 """
 
 from __future__ import annotations
@@ -36,11 +36,13 @@ from findling.storage import release, written
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: Slots that must agree before a pair from different components is verified.
-LEAST_AGREEING = SLOTS // 2
+LEAST_AGREEING = 72
 #: Members of a bucket in one block of the comparison in blocks.
 BLOCK = 500
 #: Elements that go through the permutations together; words whose hash a worker remembers.
 CHUNK, MEMO = 200_000, 500_000
+#: Elements of sets that a worker remembers between blocks.
+SET_ELEMENTS = 4_000_000
 RANK_BITS = 40
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ALL = (1 << 64) - 1
@@ -118,30 +120,21 @@ def _walk(sets: list[np.ndarray], slots: int) -> np.ndarray:
     return best.reshape(-1, slots)
 
 
-def _bands(signatures: np.ndarray) -> np.ndarray:
-    s = signatures.view(np.uint64).reshape(len(signatures), BANDS, ROWS)
-    acc = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(signatures), BANDS)).copy()
-    for i in range(ROWS):
-        acc = _mixed(acc * _A + s[:, :, i])
-    return acc.view(np.int64)
-
-
 def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Class, size of the set and signature (16 bits of each slot) of each text; other columns are carried."""
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
             part = batch.slice(start, 500)
-            texts = part.column(1).to_pylist()
-            sets = [shingle_set(t, width) for t in texts]
+            sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
-            bands: list = [None] * len(sets)
             slots: list = [None] * len(sets)
             if full:
-                signatures = superminhash([sets[i] for i in full])
-                low = (signatures & 0xFFFF).astype(np.uint16)
-                for i, b, s in zip(full, _bands(signatures).tolist(), low, strict=True):
-                    keys[i], bands[i], slots[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), b, s.tobytes()
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(slots, pa.binary())], names=["__id", "__text", "cls", "n", "bands", "slots"])
+                low = (superminhash([sets[i] for i in full]) & 0xFFFF).astype("<u2")
+                for i, s in zip(full, low, strict=True):
+                    keys[i], slots[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), s.tobytes()
+            made = [pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(slots, pa.binary())]
+            yield pa.record_batch([*part.columns, *made], names=[*part.schema.names, "cls", "n", "slots"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -158,40 +151,56 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
         yield batch.select([0, 1]).append_column("linked", pa.array(good, pa.bool_()))
 
 
+class _Sets(dict):
+    """Sets of the texts that a worker met lately."""
+
+    held = 0
+
+    def of(self, text: str, width: int) -> np.ndarray:
+        key = (xxhash.xxh3_128_digest(text), width)
+        found = self.get(key)
+        if found is None:
+            found = shingle_set(text, width)
+            if self.held + len(found) > SET_ELEMENTS:
+                self.clear()
+                self.held = 0
+            self[key] = found
+            self.held += len(found)
+        return found
+
+
+_SETS = _Sets()
+
+
 def _blockwise(key: tuple, rows: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
     """Links between different components in one pair of blocks of a bucket."""
-    first, second, bucket = key[1], key[2], key[0]
+    _, band, first, second = key
     slots = np.stack([np.frombuffer(s, np.uint16) for s in rows["slots"]])
-    bands = np.stack([np.asarray(b, np.int64) for b in rows["bands"]])
-    here = int(np.flatnonzero(bands[0] == bucket)[0])
-    names, block, cls, n, texts = rows["comp"].to_numpy(), rows["blk"].to_numpy(), rows["cls"].to_numpy(), rows["n"].to_numpy(), rows["__text"].to_numpy()
+    names, block, n, texts = rows["comp"].to_numpy(), rows["blk"].to_numpy(), rows["n"].to_numpy(), rows["__text"].to_numpy()
     comp = pd.factorize(rows["comp"])[0]
     left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    sets: dict[int, np.ndarray] = {}
-
-    def of(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = shingle_set(texts[i], width)
-        return sets[i]
-
     out = []
     for at, i in enumerate(left):
         to = right[at + 1 :] if first == second else right
         to = to[(comp[to] != comp[i]) & (4 * np.minimum(n[to], n[i]) >= 3 * np.maximum(n[to], n[i]))]
-        to = to[(slots[to] == slots[i]).sum(axis=1) >= LEAST_AGREEING]
-        if len(to) and here:
-            to = to[~(bands[to, :here] == bands[i, :here]).any(axis=1)]
         if not len(to):
             continue
-        mine, others = of(i), [of(j) for j in to]
-        place = np.searchsorted(mine, flat := np.concatenate(others))
-        hit = mine[np.minimum(place, len(mine) - 1)] == flat
-        both = np.add.reduceat(hit, np.cumsum([0, *(len(o) for o in others[:-1])]))
+        same = slots[to] == slots[i]
+        near = same.sum(axis=1) >= LEAST_AGREEING
+        if band:
+            near &= ~same[:, : band * ROWS].reshape(len(to), band, ROWS).all(axis=2).any(axis=1)
+        to = to[near]
+        if not len(to):
+            continue
+        mine, others = _SETS.of(texts[i], width), [_SETS.of(texts[j], width) for j in to]
+        flat = np.concatenate(others)
+        hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+        both = np.add.reduceat(hit, np.cumsum([0, *(len(o) for o in others[:-1])]), dtype=np.int64)
         for j in to[100 * both >= percent * (len(mine) + n[to] - both)]:
             if comp[i] != comp[j]:
-                out.append((cls[i], cls[j], names[i], names[j]))
+                out.append((names[i], names[j]))
                 comp[comp == comp[j]] = comp[i]
-    return pd.DataFrame(out, columns=["a", "b", "ca", "cb"])
+    return pd.DataFrame(out, columns=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -218,80 +227,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _near(source: DataFrame, kind: str, kept: list[str], id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     rest = source.schema["__rest"].dataType.simpleString()
-
-    def sketch(batches):
-        def both():
-            for batch in batches:
-                for start in range(0, batch.num_rows, 500):
-                    yield batch.slice(start, 500)
-
-        for part in both():
-            for done in _sketch(iter([part.select([0, 1])]), width):
-                yield done.append_column("__rest", part.column(2))
-
-    schema = f"__id {kind}, __text string, cls binary, n long, bands array<long>, slots binary, __rest {rest}"
-    table = source.mapInArrow(sketch, schema).withColumn("row", F.monotonically_increasing_id())
+    schema = f"__id {kind}, __text string, __rest {rest}, cls binary, n long, slots binary"
+    table = source.mapInArrow(lambda it: _sketch(it, width), schema).withColumn("row", F.monotonically_increasing_id())
     table = written(table, "near-rows")
     order = F.struct(F.col("__id").isNull().alias("null"), F.col("__id").alias("id"), F.col("row").alias("row"))
-    classes = table.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("bands").alias("bands"), F.first("slots").alias("slots"), F.first("n").alias("n"), F.min("row").alias("row"), F.min(order).alias("best"))
+    # A class is a node from here on, named by one of its rows.
+    classes = table.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("slots").alias("slots"), F.first("n").alias("n"), F.min("row").alias("node"), F.min(order).alias("best"))
     classes = written(classes, "near-classes")
 
-    keys = classes.select("cls", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
+    banded = classes.select("node", "slots", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    piece = F.expr(f"substring(slots, band * {2 * ROWS} + 1, {2 * ROWS})")
+    keys = banded.select("node", F.xxhash64("band", piece).alias("key"), F.col("band").cast("byte").alias("band"))
+    shared = keys.select("node", "key").groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
     buckets = written(keys.join(shared, "key"), "near-buckets")
 
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        return table.select(F.col("row").alias("node"), "__text").join(nodes, "node")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        rows = classes.select("cls", "row").join(need, "cls")
-        texts = table.select("row", "__text").join(rows, "row").select("cls", "__text")
-        texts = written(texts, "near-texts")
-        joined = pairs.join(texts.select(F.col("cls").alias("b"), F.col("__text").alias("text_b")), "b")
-        joined = joined.join(texts.select(F.col("cls").alias("a"), F.col("__text").alias("text_a")), "a")
-        checked = joined.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, width, percent), "a binary, b binary, linked boolean")
+        need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = written(texts_of(need), "near-texts")
+        joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("__text").alias("text_b")), "b")
+        joined = joined.join(texts.select(F.col("node").alias("a"), F.col("__text").alias("text_a")), "a")
+        checked = joined.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, width, percent), "a long, b long, linked boolean")
         out = written(checked, "near-pairs")
         release(texts)
         return out
 
     def components(links: DataFrame) -> DataFrame:
-        found = connected_components(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+        found = connected_components(links, "a", "b").select("node", F.col("component").alias("comp"))
         return written(found, "near-components")
 
     def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
-        """Components after links between components ca and cb: only components are joined, not members."""
-        over = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        over = over.select(F.col("cls").alias("comp"), F.col("comp").alias("__to"))
-        known = comp.unionByName(over.select(F.col("comp").alias("cls"), "comp").join(comp.select("cls"), "cls", "left_anti"))
-        new = known.join(over, "comp", "left").select("cls", F.coalesce("__to", "comp").alias("comp"))
+        """Components after links between components a and b: only components are joined, not members."""
+        over = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("__to"))
+        known = comp.unionByName(over.select(F.col("comp").alias("node"), "comp").join(comp.select("node"), "node", "left_anti"))
+        new = known.join(over, "comp", "left").select("node", F.coalesce("__to", "comp").alias("comp"))
         return written(new, "near-components")
 
-    def placed(members: DataFrame, comp: DataFrame, cls: str, name: str) -> DataFrame:
-        c = comp.select(F.col("cls").alias(cls), F.col("comp").alias("__c"))
-        return members.join(c, cls, "left").withColumn(name, F.coalesce("__c", cls)).drop("__c")
+    def placed(members: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
+        c = comp.select(F.col("node").alias(node), F.col("comp").alias("__c"))
+        return members.join(c, node, "left").withColumn(name, F.coalesce("__c", node)).drop("__c")
 
     # First one pivot a class, then the pivots of all its buckets that this hasn't joined.
-    pairs = buckets.filter("pivot != cls").groupBy("cls").agg(F.min("pivot").alias("a")).select("a", F.col("cls").alias("b"))
+    pairs = buckets.filter("pivot != node").groupBy("node").agg(F.min("pivot").alias("a")).select("a", F.col("node").alias("b"))
     done = verified(pairs)
     comp = components(done.filter("linked"))
-    star = buckets.filter("pivot != cls").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
+    star = buckets.filter("pivot != node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     star = placed(placed(star, comp, "a", "ca"), comp, "b", "cb").filter("ca != cb")
     star = written(star.join(done.select("a", "b"), ["a", "b"], "left_anti"), "near-stars")
     if not star.isEmpty():
-        comp = joined(comp, star.join(verified(star.select("a", "b")).filter("linked"), ["a", "b"], "left_semi"))
+        links = star.join(verified(star.select("a", "b")).filter("linked"), ["a", "b"], "left_semi")
+        comp = joined(comp, links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     # Buckets that still hold several components are compared in blocks.
-    where = written(placed(buckets.select("key", "cls", "members"), comp, "cls", "comp"), "near-placed")
+    where = written(placed(buckets.select("key", "band", "node", "members"), comp, "node", "comp"), "near-placed")
     mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    open_rows = where.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    open_rows = where.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     open_rows = open_rows.withColumns({"first": F.least("blk", "other"), "second": F.greatest("blk", "other")})
-    held = written(table.select("row", "__text").join(classes.select("cls", "n", "slots", "bands", "row").join(open_rows.select("cls").distinct(), "cls", "left_semi"), "row").drop("row"), "near-open")
-    open_rows = open_rows.join(held, "cls").select("key", "first", "second", "blk", "cls", "comp", "n", "slots", "bands", "__text")
-    links = open_rows.groupBy("key", "first", "second").applyInPandas(lambda key, rows: _blockwise(key, rows, width, percent), "a binary, b binary, ca binary, cb binary")
+    held = classes.select("node", "n", "slots").join(open_rows.select("node").distinct(), "node", "left_semi")
+    held = written(texts_of(held), "near-open")
+    open_rows = open_rows.join(held, "node").select("key", "band", "first", "second", "blk", "node", "comp", "n", "slots", "__text").drop("node")
+    links = open_rows.groupBy("key", "band", "first", "second").applyInPandas(lambda key, rows: _blockwise(key, rows, width, percent), "a long, b long")
     links = written(links, "near-links")
     if not links.isEmpty():
         comp = joined(comp, links)
 
-    whole = placed(classes.select("cls", "best"), comp, "cls", "comp")
+    whole = placed(classes.select("cls", "node", "best"), comp, "node", "comp")
     best = whole.groupBy("comp").agg(F.min("best").alias("best"))
     label = whole.select("cls", "comp").join(best, "comp").select("cls", "best")
     out = table.select("__id", "__text", "cls", "n", "row", "__rest").join(label, "cls", "left")
