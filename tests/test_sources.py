@@ -73,11 +73,29 @@ def test_windows_of_a_stream(spark, tmp_path):
     assert spark.sql("SELECT sum(n) FROM w").first()[0] == src.count()
 
 
-def test_document_status_stream(spark, tmp_path):
-    rows = [("a", "queued"), ("a", "processing"), ("b", "failed"), ("a", "queued"), ("c", "nonsense")]
-    spark.createDataFrame(rows, "document_id string, status string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("document_id string, status string").parquet(str(tmp_path / "in"))
-    seen = []
-    q = state.document_status(stream).writeStream.outputMode("update").foreachBatch(lambda df, n: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {(r["document_id"], r["status"], r["events"]) for r in seen} == {("a", "processing", 3), ("b", "failed", 1), ("c", "pending", 1)}
+class _State:
+    """A group's state as the engine hands it over."""
+
+    hasTimedOut, exists, get = False, False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutDuration(self, ms):
+        assert ms == state.DAYS_7_MS
+
+    def remove(self):
+        self.exists = False
+
+
+def test_document_status_only_advances():
+    import pandas as pd
+
+    s = _State()
+    step = lambda *names: next(state._advance(("d",), iter([pd.DataFrame({"status": names})]), s)).iloc[0].tolist()
+    assert step("queued", "processing") == ["d", "processing", 2]
+    assert step("queued", "nonsense") == ["d", "processing", 4]
+    assert step("failed") == ["d", "failed", 5]
+    assert step("queued") == ["d", "queued", 6]
+    s.hasTimedOut = True
+    assert list(state._advance(("d",), iter([]), s)) == [] and not s.exists
