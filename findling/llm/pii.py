@@ -1,6 +1,7 @@
 """Personal data by expressions and by bootstrapped contexts.
 
-Expressions with checks find seeds. Words around a seed are lexical patterns; the graph of
+Expressions with checks find seeds, each of which is one identifier however many words it
+has. Words around a seed are lexical patterns; the graph of
 patterns and the identifiers they surround is scored in rounds: a pattern is as good as
 the share of its identifiers that are known, an identifier as good as its patterns make
 it. Identifiers that no expression knows are reported where a pattern of high confidence,
@@ -28,7 +29,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _SPACE = r"\x20\x09-\x0D"
 #: A word with a digit or an at sign.
 CANDIDATE = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
-ROUNDS, LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_DIGITS = 3, 5, 0.9, 4
+ROUNDS, LEAST_SEEDS, LEAST_CONFIDENCE = 3, 5, 0.9
 
 
 def _digits(v: Column) -> Column:
@@ -58,9 +59,10 @@ def base_spans(text: Column) -> Column:
 
 
 def _candidates(found: Column, gaps: Column) -> Column:
-    """(value, start, end, left, right) of the words with digits, ends of punctuation cut off.
+    """(value, start, end, left, right, from, upto) of the words with digits or at signs.
 
-    ``found`` and ``gaps`` are columns, matches and what stands between them: inside a
+    Ends of punctuation are cut off the value; the whole word reaches from ``from`` to ``upto``. A
+    neighbour may be such a word itself. ``found`` and ``gaps`` are columns, matches and what stands between them: inside a
     lambda an expression would be evaluated again for each element.
     """
     word = rf"[^{_SPACE}]+"
@@ -71,15 +73,38 @@ def _candidates(found: Column, gaps: Column) -> Column:
         begin = acc["at"] + F.length(gap)
         start = begin + F.length(F.regexp_extract(value, r"^[^A-Za-z0-9+@]*", 0))
         core = F.regexp_extract(value, r"^[^A-Za-z0-9+@]*(.*?)[^A-Za-z0-9]*$", 1)
-        left = F.lower(F.regexp_extract(gap, rf"({word})[{_SPACE}]*$", 1))
-        right = F.lower(F.regexp_extract(after, rf"^[{_SPACE}]*({word})", 1))
-        item = F.struct(core.alias("value"), start.cast("long").alias("start"), (start + F.length(core)).cast("long").alias("end"), left.alias("left"), right.alias("right"))
-        return F.struct((begin + F.length(value)).cast("long").alias("at"), F.array_append(acc["out"], item).alias("out"))
+        left = _beside(F.regexp_extract(gap, rf"({word})[{_SPACE}]*$", 1), F.get(found, i - 1))
+        right = _beside(F.regexp_extract(after, rf"^[{_SPACE}]*({word})", 1), F.get(found, i + 1))
+        upto = (begin + F.length(value)).cast("long")
+        item = F.struct(core.alias("value"), start.cast("long").alias("start"), (start + F.length(core)).cast("long").alias("end"), left.alias("left"), right.alias("right"), begin.alias("from"), upto.alias("upto"))
+        return F.struct(upto.alias("at"), F.array_append(acc["out"], item).alias("out"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<value:string,start:long,end:long,left:string,right:string>>").alias("out"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<value:string,start:long,end:long,left:string,right:string,from:long,upto:long>>").alias("out"))
     return F.aggregate(found, zero, one, lambda acc: acc["out"])
 
 
+def _beside(word: Column, candidate: Column) -> Column:
+    return F.lower(F.when(word != "", word).otherwise(F.coalesce(candidate, F.lit(""))))
+
+
+def _instances(text: Column, base: Column, words: Column) -> Column:
+    """(value, start, end, left, right, seed): each base span as a whole, then the words that overlap none.
+
+    The neighbours of a span are those of its first and its last word; each of its ends has a digit or an at sign
+    in its word.
+    """
+
+    def seed(s):
+        first = F.get(F.filter(words, lambda w: (w["from"] <= s["start"]) & (s["start"] < w["upto"])), F.lit(0))
+        last = F.get(F.filter(words, lambda w: (w["from"] < s["end"]) & (s["end"] <= w["upto"])), F.lit(0))
+        value = F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+        return F.struct(value.alias("value"), s["start"].alias("start"), s["end"].alias("end"), first["left"].alias("left"), last["right"].alias("right"), F.lit(True).alias("seed"))
+
+    other = F.filter(words, lambda w: ~F.exists(base, lambda s: (s["start"] < w["upto"]) & (w["from"] < s["end"])))
+    other = F.transform(other, lambda w: F.struct(w["value"].alias("value"), w["start"].alias("start"), w["end"].alias("end"), w["left"].alias("left"), w["right"].alias("right"), F.lit(False).alias("seed")))
+    return F.concat(F.transform(base, seed), other)
+
+
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``pattern``, ``confidence``, ``seeds`` of a graph (pattern, instance, seed)."""
     scores = edges.select("instance", F.col("seed").cast("double").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
@@ -97,8 +122,8 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def find_personal_data(docs: DataFrame, text_col: str = "text", name: str = "spans") -> DataFrame:
     """``docs`` with ``name``: an array of (kind, start, end) by start, then kind.
 
-    Base spans come from :func:`base_spans`; spans of kind ``context`` are identifiers with
-    at least LEAST_DIGITS digits that overlap none of them and that a pattern of at least
+    Base spans come from :func:`base_spans`; spans of kind ``context`` are words with a digit
+    or an at sign (inside, not only at an end that is cut off) that touch none of them and that a pattern of at least
     LEAST_CONFIDENCE, seen around LEAST_SEEDS different seeds or more, surrounds. Patterns
     come from all texts; repeats of a text or an identifier count once. Null and
     empty texts have no spans. The text is the key, so null and repeated identifiers don't
@@ -108,16 +133,15 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", name: str = "spa
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = docs.select(text.alias("__text")).filter(F.rlike("__text", F.lit("[0-9@]")))
     marked = marked.select("__text", F.regexp_extract_all("__text", F.lit(CANDIDATE), F.lit(0)).alias("__found"), F.split("__text", CANDIDATE, -1).alias("__gaps"))
-    marked = marked.select(F.md5("__text").alias("__key"), base_spans(F.col("__text")).alias("__base"), _candidates(F.col("__found"), F.col("__gaps")).alias("__all"))
-    flat = marked.select("__key", "__base", F.explode("__all").alias("c")).select("__key", "c.*", F.exists("__base", lambda s: (s["start"] < F.col("c.end")) & (F.col("c.start") < s["end"])).alias("seed"))
-    flat = flat.filter(F.length(_digits(F.col("value"))) >= LEAST_DIGITS)
+    marked = marked.select(F.md5("__text").alias("__key"), "__text", base_spans(F.col("__text")).alias("__base"), _candidates(F.col("__found"), F.col("__gaps")).alias("__all"))
+    flat = marked.select("__key", F.explode(_instances(F.col("__text"), F.col("__base"), F.col("__all"))).alias("c")).select("__key", "c.*")
     flat = flat.withColumn("patterns", F.array(F.concat_ws("|", F.lit("L"), "left"), F.concat_ws("|", F.lit("R"), "right"), F.concat_ws("|", F.lit("B"), "left", "right")))
     flat = written(flat.distinct(), "pii-candidates")
 
     edges = flat.select(F.explode("patterns").alias("pattern"), F.col("value").alias("instance"), "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     edges = written(edges, "pii-graph")
     good = score_patterns(edges).filter((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern")
-    fresh = flat.filter(~F.col("seed")).select("__key", "start", "end", F.explode("patterns").alias("pattern"))
+    fresh = flat.filter(~F.col("seed") & F.rlike("value", F.lit("[0-9@]"))).select("__key", "start", "end", F.explode("patterns").alias("pattern"))
     fresh = fresh.join(good, "pattern").select("__key", F.struct(F.lit(FOUND).alias("kind"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).alias("s"))
     fresh = fresh.groupBy("__key").agg(F.collect_set("s").cast(Span).alias("__more"))
 

@@ -159,6 +159,18 @@ def test_contexts_discover(spark, odd, empty):
     assert find_personal_data(odd).count() == odd.count() and find_personal_data(empty).count() == 0
 
 
+def test_contexts_of_whole_seeds(spark):
+    """Seeds without digits, seeds of several words, neighbours that are candidates, and unseen identifiers with few digits."""
+    rows = [(i, f"write to: {c}.smith@corp.com now") for i, c in enumerate("abcdefghij")]
+    rows += [(20 + i, f"phone: +49 30 12345{i}{i} daily") for i in range(10)]
+    rows += [(40 + i, f"host 7: 10.0.0.{i} up") for i in range(10)]
+    unseen = {60: ("write to: jane@host now", "context:10:19"), 61: ("phone: (K-17), daily", "context:8:12"), 62: ("host 7: n4 up", "context:8:10"), 63: ("see jane@host there, 17 4567", "")}
+    rows += [(i, t) for i, (t, _) in unseen.items()]
+    got = {r["doc_id"]: r["s"] for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", spelled(F.col("spans")).alias("s")).collect()}
+    assert {i: got[i] for i in unseen} == {i: s for i, (_, s) in unseen.items()}
+    assert got[20] == "phone:7:21" and got[0] == "email:10:26"
+
+
 def test_pattern_scores(spark):
     edges = spark.createDataFrame([("p", f"s{i}", True) for i in range(9)] + [("p", "new", False), ("q", "new", False), ("q", "s1", True)], "pattern string, instance string, seed boolean")
     got = {r["pattern"]: r for r in score_patterns(edges).collect()}
