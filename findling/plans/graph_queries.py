@@ -71,7 +71,7 @@ def g6_small(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g7_communities")
 def g7(spark: SparkSession, sf: str) -> DataFrame:
-    return op.communities(thin(spark, sf), levels=2, rounds=4)
+    return op.communities(edges(spark, sf))
 
 
 _NATIONS = "(SELECT 'n' || s_nationkey AS component, 's' || s_suppkey AS id, s_suppkey FROM supplier)"

@@ -1,11 +1,16 @@
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
 from findling.operators import access, graph, tables
 from findling.operators import governance as gov
 from findling.plans import components as comp
+from findling.plans import graph_queries
 from findling.plans.components import connected_components
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_token_layers(spark):
     rows = [("alice", ["group:hr"]), ("bob", ["group:engineering"]), ("charlie", ["admin"]), ("dave", [])]
@@ -35,6 +40,23 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def sold(spark):
+    """Customer and part of every line of an order."""
+    lines = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        lines[r["l_orderkey"]].append(f"p{r['l_partkey']}")
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey").collect()
+    return [(f"c{r['o_custkey']}", p) for r in orders for p in lines[r["o_orderkey"]]]
+
+
+def test_community_query_has_all_levels_and_nodes(spark):
+    nodes = {x for pair in sold(spark) for x in pair}
+    got = defaultdict(set)
+    for r in graph_queries.g7(spark, SF).collect():
+        got[r["level"]].add(r["id"])
+    assert got == {level: nodes for level in range(3)}
+
+
 def test_speakers(spark):
     seg = spark.createDataFrame([("m", 1, 0.0, 100.0), ("m", 2, 100.0, 200.0), ("m", 3, 900.0, 901.0)], "m string, seg_id int, start double, end double")
     turn = spark.createDataFrame([("m", 0.0, 50.0, "A"), ("m", 50.0, 100.0, "B"), ("m", 90.0, 180.0, "C")], "m string, start double, end double, speaker string")
