@@ -17,11 +17,6 @@ _WAYS = "(SELECT source_id AS a, target_id AS b FROM edg UNION ALL SELECT target
 _THIN = "(SELECT 'c' || o_custkey AS source_id, 'k' || (o_orderkey // 40) AS target_id FROM orders WHERE o_orderpriority LIKE '1%')"
 
 
-def thin(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").filter(F.startswith("o_orderpriority", F.lit("1")))
-    return o.select(F.concat(F.lit("c"), "o_custkey").alias("source_id"), F.concat(F.lit("k"), F.expr("o_orderkey div 40")).alias("target_id"), F.lit(1.0).alias("weight"))
-
-
 @query("g1_upsert_entities", f"SELECT id, CASE WHEN id LIKE 'c%1' THEN 'Renamed ' || id ELSE name END AS name, type FROM {ENTITIES}")
 def g1(spark: SparkSession, sf: str) -> DataFrame:
     e = entities(spark, sf).select("id", "name", "type")
@@ -60,7 +55,7 @@ _COMPONENTS = f"WITH RECURSIVE thin AS (SELECT DISTINCT * FROM {_THIN}), w AS (S
 
 @query("g6_components")
 def g6(spark: SparkSession, sf: str) -> DataFrame:
-    return op.components(thin(spark, sf))
+    return op.components(edges(spark, sf))
 
 
 @query("g6_nation_components", "WITH RECURSIVE e AS (SELECT DISTINCT 'n' || s_nationkey AS a, 's' || s_suppkey AS b FROM supplier), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS root FROM w UNION SELECT w.b, r.root FROM r JOIN w ON w.a = r.id) SELECT id, min(root) AS component FROM r GROUP BY id")

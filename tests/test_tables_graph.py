@@ -49,6 +49,20 @@ def sold(spark):
     return [(f"c{r['o_custkey']}", p) for r in orders for p in lines[r["o_orderkey"]]]
 
 
+def test_component_query_takes_every_order(spark):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in sold(spark):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert {r["id"]: r["component"] for r in graph_queries.g6(spark, SF).collect()} == {x: find(x) for x in list(root)}
+
+
 def test_community_query_has_all_levels_and_nodes(spark):
     nodes = {x for pair in sold(spark) for x in pair}
     got = defaultdict(set)
