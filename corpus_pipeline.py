@@ -64,10 +64,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with their sequence and place."""
+    """Pieces of token ids with their sequence and place, and a check sum of the ids."""
     pieces = tokenise_pieces(docs, word_tokenizer(), SEQUENCE)
-    digest = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return pack_pieces(digest, SEQUENCE)
+    return pack_pieces(pieces, SEQUENCE).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

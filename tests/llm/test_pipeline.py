@@ -1,10 +1,15 @@
 """The stages of the pipeline, each held against a plain version on its own input."""
 
 import re
+import zlib
 from collections import defaultdict
 
+import numpy as np
+from tokenizers import Tokenizer
+
 import corpus_pipeline as pipe
 from findling.llm.common import documents
+from findling.llm.queries import word_tokenizer
 from findling.storage import written
 
 from .test_texts import brute_components
@@ -43,3 +48,23 @@ def test_stages_do_what_they_say(spark):
     copies = outputs["mixing"]
     assert sum(r["length"] for r in outputs["packing"] if r["start"] == 0) > 0
     assert sum(1 for r in outputs["packing"] if r["start"] == 0) == len(copies)
+
+
+def test_sequences_are_rebuilt_from_the_result(spark):
+    """The packed ids alone give every copy's tokens, the cut copies' too."""
+    prose = " ".join(f"word{i} of text" for i in range(3000))
+    docs = spark.createDataFrame([(1, prose), (1, prose[:200]), (1, prose[:50]), (2, "short"), (3, None)], "doc_id long, text string")
+    got = [r.asDict() for r in pipe.packing_stage(spark, docs, SF).collect()]
+    encode = Tokenizer.from_file(word_tokenizer())
+    want = []
+    for doc_id, text in docs.collect():
+        ids = [*encode.encode(text or "", add_special_tokens=False).ids, 2]
+        want += [(doc_id, a, ids[a : a + pipe.SEQUENCE]) for a in range(0, len(ids), pipe.SEQUENCE)]
+    assert sorted((r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4").tolist()) for r in got) == sorted(want)
+    sequences = defaultdict(list)
+    for r in got:
+        assert r["ids_crc32"] == zlib.crc32(r["ids"]) and len(r["ids"]) == 4 * r["length"]
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in sequences.values():
+        places.sort()
+        assert [a for a, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))] and sum(n for _, n in places) <= pipe.SEQUENCE
