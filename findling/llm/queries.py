@@ -45,7 +45,7 @@ SECRET_RULES = (
     SecretRule("forge", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     SecretRule("chat", r"xox[abps]-[A-Za-z0-9-]{10,}"),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    SecretRule("login", r"://[^/:@\x09-\x20]{1,64}:[^/:@\x09-\x20]{1,64}@"),
+    SecretRule("login", r"://[^/:@\x09-\x20]++:[^/:@\x09-\x20]++@"),
 )
 SECRET_BASE = ("assign", "access", "hex")
 

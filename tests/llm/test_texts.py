@@ -198,6 +198,14 @@ def test_secrets_match_plain_expressions(spark, odd, empty):
     assert sec.find_secrets(odd, []).count() == odd.count()
 
 
+def test_logins_of_any_length(spark):
+    long, tail = "g1t_" + "aB3" * 40, "x" * 50_000
+    texts = [f"git clone https://bot:{long}@example.com/r", f"https://{long}:pw@example.com", "https://example.com:80/a@b", "://" + tail + ":" + tail]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r["i"]: [(s["start"], s["end"]) for s in r["secrets"] if s["kind"] == "login"] for r in sec.find_secrets(df, SECRET_RULES, "t").collect()}
+    assert got == {0: [(15, 23 + len(long))], 1: [(5, 12 + len(long))], 2: [], 3: []}
+
+
 def test_trigram_queries():
     kinds = {r.kind: r.alternatives for r in SECRET_RULES}
     assert kinds["hex"] is None and kinds["login"] is not None
