@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from findling.functions import vectors as V
 from findling.session import ship
+from findling.storage import written
 
 PUBLIC_LAYERS = ("default", "public")
-#: Rows of one block in the join by similarity.
-BLOCK = 1000
+#: Classes of one block in the join by similarity, and the most pivots.
+BLOCK, MAX_PIVOTS = 1000, 1024
 
 
 def prefilter(chunks: DataFrame, allowed: Sequence[str] | None = None, layer_col: str = "layer_id") -> DataFrame:
@@ -74,43 +77,80 @@ def rerank(candidates: DataFrame, k: int, logit_col: str | None = None, fallback
 
 
 def similarity_join(rows: DataFrame, least: float = 0.95, type_col: str = "type", id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """Pairs (source_id later, target_id earlier) of one type with cosine >= ``least``.
-
-    Vectors within an angle of each other lie at angles to a fixed direction that differ by
-    no more, so only neighbouring cells of that angle meet; cells are compared in blocks by
-    matrix products and give the pairs above the threshold only.
+    """Links (source_id later, target_id earlier) of one type with cosine >= ``least``.
+
+    Equal vectors of a type are one class, named by its smallest identifier: classes give all their pairs, and each
+    copy is linked with its class only, so a vector that many rows share gives no square of links. Types with over
+    BLOCK classes get sampled pivots (at most about MAX_PIVOTS in all, so broadcasting them is bounded). A vector
+    belongs to its nearest pivot, and visits an earlier one only if the plane between the two is no farther than two
+    linked vectors may be; the bound is exact, so no link is lost. Cells are compared in blocks by matrix products
+    that return links only. Null and zero vectors and null identifiers have no links; null types are a type.
     """
-    ship(rows.sparkSession)
-    width = math.acos(max(-1.0, min(1.0, least))) + 1e-9
-    unit = rows.select(F.col(type_col).alias("type"), F.col(id_col).alias("id"), V.normalise(F.col(vector_col)).alias("v")).filter(V.norm(F.col("v")) > 0)
-    steps = F.sequence(F.lit(1), F.size("v"))
-    direction = F.transform(steps, lambda i: F.cos(i * i * 1.0))
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.cosine(F.col("v"), direction))))
-    placed = unit.withColumn("cell", F.floor(angle / width).cast("int"))
+    spark = rows.sparkSession
+    ship(spark)
+    reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
+    given = rows.select(F.col(type_col).alias("type"), F.col(id_col).alias("id"), F.col(vector_col).alias("raw")).filter("id IS NOT NULL AND raw IS NOT NULL")
+    classes = given.filter(V.norm(F.col("raw")) > 0).groupBy("type", "raw").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
+    classes = written(classes, "vector-classes")
+    unit = classes.select("type", F.col("rep").alias("id"), V.normalise(F.col("raw")).alias("v"))
+    total, larger = unit.count(), unit.groupBy("type").count().filter(F.col("count") > BLOCK)
+    share = max(BLOCK, math.ceil(total / MAX_PIVOTS))
+    nth = Window.partitionBy("type").orderBy("salted", "id")
+    # The few with the smallest hashes; only those reach the window.
+    drawn = unit.join(larger.withColumnRenamed("type", "t"), F.col("type").eqNullSafe(F.col("t")))
+    drawn = drawn.withColumn("salted", F.abs(F.xxhash64("id") / F.lit(2.0**63))).filter(F.col("salted") * F.col("count") < 2 * F.ceil(F.col("count") / share) + 10)
+    drawn = drawn.withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= F.ceil(F.col("count") / share))
+    pivots: dict = {}
+    for r in drawn.select("type", "nth", "v").orderBy("type", "nth").collect():
+        pivots.setdefault(r["type"], []).append(r["v"])
+    held = spark.sparkContext.broadcast({t: np.array(v) for t, v in pivots.items()})
+    kind, kind_t = rows.schema[id_col].dataType, rows.schema[type_col].dataType
+    cells = T.StructType([T.StructField("type", kind_t), T.StructField("id", kind), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("home", T.IntegerType()), T.StructField("cell", T.IntegerType())])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types, home, cell, take = batch.column(0).to_pylist(), [], [], []
+            v = np.array(batch.column(2).to_pylist(), dtype=float)
+            for i, t in enumerate(types):
+                p = held.value.get(t)
+                own, visits = 0, ()
+                if p is not None:
+                    near = p @ v[i]
+                    own = int(near.argmax())
+                    apart = np.sqrt(((p[:own] - p[own]) ** 2).sum(axis=1))
+                    visits = np.flatnonzero(near[own] - near[:own] <= reach * apart)
+                for c in (own, *visits):
+                    take.append(i)
+                    home.append(own)
+                    cell.append(int(c))
+            held_rows = batch.take(pa.array(take, pa.int64()))
+            yield pa.record_batch([*held_rows.columns, pa.array(home, pa.int32()), pa.array(cell, pa.int32())], names=[*batch.schema.names, "home", "cell"])
+
+    placed = written(unit.mapInArrow(place, cells), "vector-cells")
     sizes = placed.groupBy("type", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(sizes, ["type", "cell"]).withColumn("blk", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    # The left side of a cell meets the right side of the same cell and of the next one.
-    left = placed.select("type", "cell", "blk", F.lit(0).alias("side"), "id", "v", F.explode(F.array(F.lit(0), F.lit(1))).alias("step"))
-    around = sizes.select("type", (F.col("cell") - 1).alias("cell"), F.lit(1).alias("step"), F.col("blocks").alias("right"))
-    around = around.unionByName(sizes.select("type", "cell", F.lit(0).alias("step"), F.col("blocks").alias("right")))
-    left = left.join(around, ["type", "cell", "step"]).select("type", "cell", "step", F.col("blk").alias("a"), F.explode(F.sequence(F.lit(0), F.col("right") - 1)).alias("b"), "side", "id", "v")
-    back = sizes.select("type", F.col("cell"), F.col("blocks").alias("n"))
-    right = placed.select("type", F.explode(F.array(F.struct(F.col("cell").alias("cell"), F.lit(0).alias("step")), F.struct((F.col("cell") - 1).alias("cell"), F.lit(1).alias("step")))).alias("p"), F.col("blk").alias("b"), F.lit(1).alias("side"), "id", "v").select("type", "p.cell", "p.step", "b", "side", "id", "v")
-    right = right.join(back, ["type", "cell"]).select("type", "cell", "step", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"), "b", "side", "id", "v")
-    kind = rows.schema[id_col].dataType.simpleString()
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(x) or not len(y):
-            return pd.DataFrame([], columns=["type", "source_id", "target_id", "similarity"])
-        s = np.stack(x["v"]) @ np.stack(y["v"]).T
-        i, j = np.nonzero(s >= least)
-        p, q = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
-        keep = p > q if key[2] == 0 else p != q
-        p, q, s = p[keep], q[keep], s[i, j][keep]
-        swap = p < q
-        return pd.DataFrame({"type": [key[0]] * len(p), "source_id": np.where(swap, q, p), "target_id": np.where(swap, p, q), "similarity": s})
-
-    kind_t = rows.schema[type_col].dataType.simpleString()
-    both = left.unionByName(right)
-    return both.groupBy("type", "cell", "step", "a", "b").applyInPandas(compare, f"type {kind_t}, source_id {kind}, target_id {kind}, similarity double")
+    sizes = sizes.select(F.col("type").alias("t"), F.col("cell").alias("c"), "blocks")
+    split = placed.join(sizes, F.col("type").eqNullSafe(F.col("t")) & (F.col("cell") == F.col("c"))).drop("t", "c")
+    split = split.withColumn("blk", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = split.withColumns({"a": F.least("blk", "other"), "b": F.greatest("blk", "other")})
+    links = T.StructType([T.StructField("type", kind_t), T.StructField("source_id", kind), T.StructField("target_id", kind), T.StructField("similarity", T.DoubleType())])
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        cell, a, b = key[1].as_py(), key[2].as_py(), key[3].as_py()
+        ids, home, blk = table["id"].combine_chunks(), table["home"].to_numpy(), table["blk"].to_numpy()
+        v = np.array(table["v"].to_pylist(), dtype=float)
+        left, right = np.flatnonzero(blk == a), np.flatnonzero(blk == b)
+        i, j = np.nonzero(v[left] @ v[right].T >= least) if len(left) and len(right) else (np.empty(0, int), np.empty(0, int))
+        i, j = left[i], right[j]
+        # Two visitors of a cell meet elsewhere; inside one block each pair is met twice.
+        one = ((home[i] == cell) | (home[j] == cell)) & ((i < j) if a == b else True)
+        i, j = i[one], j[one]
+        p, q = ids.take(pa.array(i)), ids.take(pa.array(j))
+        later = pc.greater(p, q)
+        cosine = np.einsum("ij,ij->i", v[i], v[j])
+        types = table["type"].combine_chunks().take(pa.array(i))
+        return pa.table([types, pc.if_else(later, p, q), pc.if_else(later, q, p), pa.array(cosine, pa.float64())], names=["type", "source_id", "target_id", "similarity"])
+
+    found = split.select("type", "cell", "a", "b", "blk", "home", "id", "v").groupBy("type", "cell", "a", "b").applyInArrow(compare, links)
+    several = classes.filter("rows > 1").select(F.col("type").alias("t"), F.col("raw").alias("r"), "rep")
+    copies = given.join(several, F.col("type").eqNullSafe(F.col("t")) & (F.col("raw") == F.col("r"))).filter("id <> rep")
+    return found.unionByName(copies.select("type", F.col("id").alias("source_id"), F.col("rep").alias("target_id"), F.lit(1.0).alias("similarity")))

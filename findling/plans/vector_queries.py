@@ -119,9 +119,20 @@ def m4(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", R(V.sigmoid(F.get("embedding", F.lit(0)).cast("double") * 10)).alias("p"))
 
 
-@query("j10_similarity_join", "SELECT a.label AS type, a.vec_id AS source_id, b.vec_id AS target_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id > b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.8")
+#: Copies are linked with the first row of their vector, other vectors in pairs of first rows.
+SIMILAR = """
+WITH r AS (SELECT 't' || label AS type, vec_id, embedding::DOUBLE[] AS v, min(vec_id) OVER (PARTITION BY label, embedding) AS rep FROM embeddings)
+SELECT a.type, a.vec_id AS source_id, b.vec_id AS target_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
+FROM r a JOIN r b ON a.type = b.type AND a.vec_id > b.vec_id AND a.vec_id = a.rep AND b.vec_id = b.rep
+WHERE list_cosine_similarity(a.v, b.v) >= 0.37
+UNION ALL SELECT type, vec_id, rep, 1.0 FROM r WHERE vec_id <> rep
+"""
+
+
+@query("j10_similarity_join", SIMILAR)
 def j10(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = op.similarity_join(table(spark, sf, "embeddings"), 0.8, "label", "vec_id")
+    rows = table(spark, sf, "embeddings").withColumn("type", F.concat(F.lit("t"), "label"))
+    pairs = op.similarity_join(rows, 0.37, "type", "vec_id")
     return pairs.select("type", "source_id", "target_id", R("similarity").alias("similarity"))
 
 

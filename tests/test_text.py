@@ -51,7 +51,7 @@ def test_json_value(spark, path, want):
 
 @pytest.mark.parametrize(
     ("url", "want"),
-    [("https://a.com/x", True), ("ftp://a.com", False), ("http://192.168.0.1", False), ("http://10.0.0.1/x", False), ("http://127.0.0.1:80", True), ("http://0.0.0.0", True), ("http://8.8.8.8", True), ("nope", False), (None, False)],
+    [("https://a.com/x", True), ("ftp://a.com", False), ("http://192.168.0.1", False), ("http://10.0.0.1/x", False), ("http://127.0.0.1:80", True), ("http://0.0.0.0", True), ("http://8.8.8.8", True), ("http://10.0.0.1000", True), ("http://user@172.16.0.1", False), ("https://random", True), ("http://123", True), ("mailto://www.a.com", False), ("nope", False), (None, False)],
 )
 def test_valid_url(spark, url, want):
     assert one(spark, urls.is_valid(F.col("x")), x=url) is want
@@ -59,8 +59,18 @@ def test_valid_url(spark, url, want):
 
 def test_url_forms(spark):
     assert one(spark, urls.normalise(F.col("x")), x=" a.com/ ") == "https://a.com"
-    assert one(spark, urls.youtube_id(F.col("x")), x="https://m.youtube.com/shorts/abcdefghijk?x=1") == "abcdefghijk"
-    assert one(spark, urls.youtube_id(F.col("x")), x="https://example.com/watch?v=abcdefghijk") is None
+
+
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        ("https://m.youtube.com/shorts/abcdefghijk?x=1", "abcdefghijk"), ("youtu.be/abc_efgh-jk", "abc_efgh-jk"), ("https://music.youtube.com/watch?a=1&a=2&v=abcdefghijk&v=zz", "abcdefghijk"),
+        ("http://www.youtube.com/live/abcdefghijk", "abcdefghijk"), ("youtube.com/abcdefghijk", "abcdefghijk"), ("https://youtube.com/embed/abcdefghijkl#t", "abcdefghijk"),
+        ("https://example.com/watch?v=abcdefghijk", None), ("https://youtube.com/watch?v=short", None), ("ftp://youtu.be/abcdefghijk", None), ("https://youtu.be/abcdefghijk and", None), ("", None), (None, None),
+    ],
+)
+def test_youtube_id(spark, url, want):
+    assert one(spark, urls.youtube_id(F.col("x")), x=url) == want
 
 
 def test_redaction_fails_closed_and_names_kinds(spark):

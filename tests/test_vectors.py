@@ -51,14 +51,28 @@ def test_fusion_is_symmetric(spark):
     assert one["y"] == pytest.approx(1 / 62 + 1 / 61)
 
 
-def test_similarity_join_matches_brute_force(spark):
+@pytest.mark.parametrize("block", [op.BLOCK, 6])
+def test_similarity_join_matches_brute_force(spark, monkeypatch, block):
+    """Types that are strings or null, copies, zero vectors; small blocks bring pivots into play."""
     import numpy as np
 
+    monkeypatch.setattr(op, "BLOCK", block)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 16))
-    vectors = np.concatenate([base, base + 0.15 * rng.normal(size=base.shape)])
-    data = [(i, "t" if i % 2 else "u", v.tolist()) for i, v in enumerate(vectors)]
-    got = {(r["source_id"], r["target_id"]) for r in op.similarity_join(spark.createDataFrame(data, "id long, type string, embedding array<double>"), 0.9).collect()}
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    want = {(i, j) for i in range(80) for j in range(i) if i % 2 == j % 2 and unit[i] @ unit[j] >= 0.9}
-    assert got == want and want
+    vectors = np.concatenate([base, base + 0.15 * rng.normal(size=base.shape), np.zeros((4, 16)), np.tile(base[:1], (8, 1))])
+    data = [(i, ("t", None)[i % 2], v.tolist()) for i, v in enumerate(vectors)] + [(None, "t", base[0].tolist()), (200, "t", None)]
+    got = sorted((r["source_id"], r["target_id"]) for r in op.similarity_join(spark.createDataFrame(data, "id long, type string, embedding array<double>"), 0.9).collect())
+    first = {}
+    for i, kind, v in data[: len(vectors)]:
+        if any(v):
+            first.setdefault((kind, tuple(v)), i)
+    unit = {i: np.array(v) / np.linalg.norm(v) for (_, v), i in first.items()}
+    want = [(i, j) for i in unit for j in unit if j < i and i % 2 == j % 2 and unit[i] @ unit[j] >= 0.9]
+    want += [(i, first[kind, tuple(v)]) for i, kind, v in data[: len(vectors)] if any(v) and first[kind, tuple(v)] != i]
+    assert got == sorted(want) and len(want) > 40
+
+
+def test_similarity_join_without_links(spark):
+    data = [(1, "a", [1.0, 0.0]), (2, "a", [0.0, 1.0]), (3, "b", [1.0, 0.0])]
+    rows = spark.createDataFrame(data, "id long, type string, embedding array<double>")
+    assert op.similarity_join(rows).count() == 0 and op.similarity_join(rows.limit(0)).count() == 0
