@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,16 +20,38 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names that ``df`` doesn't have, made from ``names``."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name = f"{name}_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+class Columns:
+    """A table's columns by place, so that helper columns clash with none, whatever its columns are called.
+
+    ``table`` has the columns ``in_0``, ``in_1`` and so on. ``replaced`` are names that the result adds: columns of
+    these names, in any case, are left out of ``own``, which gives the others their names back.
+    """
+
+    def __init__(self, docs: DataFrame, replaced: Iterable[str] = ()):
+        self.names = docs.columns
+        self.table = docs.toDF(*[f"in_{i}" for i in range(len(self.names))])
+        gone = {n.lower() for n in replaced}
+        self.kept = [f"in_{i}" for i, n in enumerate(self.names) if n.lower() not in gone]
+
+    def at(self, name: str) -> str:
+        """The place of a column; its exact name goes before one in another case."""
+        if name in self.names:
+            return f"in_{self.names.index(name)}"
+        lower = [n.lower() for n in self.names]
+        if name.lower() not in lower:
+            raise ValueError(f"there is no column {name}")
+        return f"in_{lower.index(name.lower())}"
+
+    def named(self, place: str) -> str:
+        return self.names[int(place[3:])]
+
+    def own(self) -> list[Column]:
+        """The kept columns under their names."""
+        return [F.col(p).alias(self.named(p)) for p in self.kept]
+
+    def all(self) -> list[Column]:
+        """All columns under their names."""
+        return [F.col(f"in_{i}").alias(n) for i, n in enumerate(self.names)]
 
 
 def digest_key(seed: str, column: Column) -> Column:

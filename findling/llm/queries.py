@@ -44,7 +44,7 @@ SECRET_RULES = (
     SecretRule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
     SecretRule("forge", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     SecretRule("chat", r"xox[abps]-[A-Za-z0-9-]{10,}"),
-    SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    SecretRule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     SecretRule("login", r"://[^/:@\x09-\x20]++:[^/:@\x09-\x20]++@"),
 )
 SECRET_BASE = ("assign", "access", "hex")
@@ -79,7 +79,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

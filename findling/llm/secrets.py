@@ -17,7 +17,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findling.llm.common import Columns
 from findling.llm.spans import Span, in_order, match_spans, spans_of_kinds
+from findling.storage import written
 
 #: Alternatives of a rule's query beyond which it counts as having none.
 MAX_ALTERNATIVES = 64
@@ -35,19 +37,29 @@ class SecretRule:
     @property
     def alternatives(self) -> list[frozenset[str]] | None:
         """Sets of lower-case trigrams: a match holds all of one set. None if nothing is mandatory."""
-        return _queries(self.regex)
+        found = _queries(self.regex)
+        return found and sorted(found, key=sorted)
+
+    @property
+    def read(self) -> list[frozenset[str]] | None:
+        """The trigrams of each alternative whose postings are read: those that, side by side, cover its strings."""
+        found = _queries(self.regex)
+        return found and sorted(set(found.values()), key=sorted)
 
 
-def _queries(regex: str) -> list[frozenset[str]] | None:
-    """Strings that a match must contain in a row give the trigrams; classes break strings."""
+def _queries(regex: str) -> dict[frozenset[str], frozenset[str]] | None:
+    """Strings that a match must contain in a row give the trigrams, and those that cover them; classes break strings."""
     flags = re.match(r"\(\?([a-z]+)\)", regex)
     tree = re._parser.parse(regex[flags.end() :] if flags else regex)
+    found = {}
     # At most 60 trigrams a set, so that their bits fit a long: fewer only make more candidates.
-    found = {frozenset(sorted({s[i : i + 3] for s in run for i in range(len(s) - 2)})[:60]) for run in _runs(tree)}
+    for run in _runs(tree):
+        whole = [[s[i : i + 3] for i in range(len(s) - 2)] for s in run if len(s) > 2]
+        found[frozenset(g for grams in whole for g in grams)] = frozenset(sorted({g for grams in whole for g in (*grams[::3], grams[-1])})[:60])
     if frozenset() in found:
         return None
     # A set that contains another is implied by it.
-    least = sorted((f for f in found if not any(g < f for g in found)), key=sorted)
+    least = {f: t for f, t in found.items() if not any(g < f for g in found)}
     return least if 0 < len(least) <= MAX_ALTERNATIVES else None
 
 
@@ -85,7 +97,7 @@ def _runs(tree) -> list[tuple[str, ...]]:
                 then(inner if low > 1 else [("",)])
         elif name in ("AT", "ASSERT", "ASSERT_NOT"):
             then([("",)])
-        elif name == "IN" and len(value) <= 3 and all(str(k) == "LITERAL" for k, _ in value):
+        elif name == "IN" and len(value) <= 6 and all(str(k) == "LITERAL" for k, _ in value):
             then([(chr(c).lower(),) for _, c in value])
         else:
             then([("", "")])
@@ -97,43 +109,37 @@ def find_secrets(docs: DataFrame, rules: Sequence[SecretRule], text_col: str = "
 
     Matches are leftmost and non-overlapping per rule; one that fails its test of length is
     dropped and not tried again. Offsets count code points, the end is exclusive. Null and
-    empty texts have no secrets. A text is judged once however many rows repeat it, and
+    empty texts have no secrets. Postings and candidates go by text, however many rows repeat it, and
     texts, not identifiers, are the key, so null and repeated identifiers don't matter. Whole
-    texts are read. An empty table or rule list works; a column called ``name`` is replaced.
+    texts are read, in time that grows in proportion to their length and matches. The table of candidates is written,
+    so Spark knows its size: it is broadcast below Spark's bound and joined by a shuffle beyond. An empty table or
+    rule list works; columns may have any names, and one called ``name`` (in any case) is replaced.
     """
-    kept = [c for c in docs.columns if c != name]
-    queries = {r.kind: r.alternatives for r in rules}
-    scanned = [r for r in rules if queries[r.kind] is None]
+    own = Columns(docs, [name])
+    queries = {r.kind: r.read for r in rules}
     indexed = [r for r in rules if queries[r.kind] is not None]
     kinds = [r.kind for r in rules]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(*kept)
-    direct = spans_of_kinds([_matches(r, text) for r in scanned], kinds)
+    keyed = own.table.withColumn("text", F.coalesce(F.col(own.at(text_col)), F.lit("")))
     if not indexed:
-        return base.withColumn(name, in_order(direct, kinds))
-    keyed = docs.select(*kept, text.alias("__text")).withColumn("__key", F.md5("__text"))
+        return keyed.select(*own.own(), in_order(spans_of_kinds([_matches(r, F.col("text")) for r in rules]), kinds).alias(name))
 
     # Postings: the trigrams of the rules that each text holds. The lowered text is a column of
     # its own, for a projection that used it inside each test would lower it for each of them.
     ways = [(r.kind, i, q) for r in indexed for i, q in enumerate(queries[r.kind])]
     grams = sorted({g for _, _, q in ways for g in q})
-    lowered = keyed.select("__key", F.lower("__text").alias("__lower"))
-    present = F.array(*[F.when(F.contains("__lower", F.lit(g)), F.lit(g)) for g in grams])
-    postings = lowered.select("__key", F.explode(present).alias("__gram"))
+    keyed = keyed.withColumn("key", F.md5("text"))
+    lowered = keyed.select("key", F.lower("text").alias("lower"))
+    postings = lowered.select("key", F.explode(F.array(*[F.when(F.contains("lower", F.lit(g)), F.lit(g)) for g in grams])).alias("gram")).filter("gram IS NOT NULL")
     # As many rows as the rule list has trigrams; a way is whole when all its bits are seen, however often.
     terms = [(kind, i, g, 1 << at, (1 << len(q)) - 1) for kind, i, q in ways for at, g in enumerate(sorted(q))]
-    terms = docs.sparkSession.createDataFrame(terms, "__kind string, __way int, __gram string, __bit long, __all long")
-    hits = postings.join(F.broadcast(terms), "__gram").groupBy("__key", "__kind", "__way", "__all").agg(F.bit_or("__bit").alias("__seen"))
-    candidates = hits.filter("__seen = __all").groupBy("__key").agg(F.collect_set("__kind").alias("__kinds"))
-    texts = keyed.groupBy("__key").agg(F.first("__text").alias("__text"))
-    verified = texts.join(candidates, "__key")
-    found = [F.when(F.array_contains("__kinds", r.kind), _matches(r, F.col("__text"))).otherwise(_none()) for r in indexed]
-    verified = verified.select("__key", spans_of_kinds(found, kinds).alias("__found"))
-
-    out = keyed.select(*kept, "__key", spans_of_kinds([_matches(r, F.col("__text")) for r in scanned], kinds).alias("__direct"))
-    out = out.join(verified.filter(F.size("__found") > 0), "__key", "left")
-    both = F.concat(F.col("__direct"), F.coalesce("__found", _none()))
-    return out.select(*kept, in_order(both, kinds).alias(name))
+    terms = docs.sparkSession.createDataFrame(terms, "kind string, way int, gram string, bit long, whole long")
+    hits = postings.join(F.broadcast(terms), "gram").groupBy("key", "kind", "way", "whole").agg(F.bit_or("bit").alias("seen"))
+    candidates = hits.filter("seen = whole").groupBy("key").agg(F.collect_set("kind").alias("kinds"))
+    candidates = written(candidates, "secret-candidates")
+
+    out = keyed.join(candidates, "key", "left")
+    found = [_matches(r, F.col("text")) if queries[r.kind] is None else F.when(F.array_contains("kinds", r.kind), _matches(r, F.col("text"))).otherwise(_none()) for r in rules]
+    return out.select(*own.own(), in_order(spans_of_kinds(found), kinds).alias(name))
 
 
 def _matches(rule: SecretRule, text: Column) -> Column:
