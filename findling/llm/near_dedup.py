@@ -7,15 +7,17 @@
    are so correlated that few stay empty for long; the walk ends at the rank that no slot
    can still improve.
 3. Bands of slots are buckets. In each bucket the members are verified against one pivot,
-   on full sets; verified links are joined into components. What then lies in one bucket
-   but in different components goes with its texts to blocks of bounded size; there, pairs
-   whose signatures leave a link possible are verified on full sets, each in the first
-   bucket that it shares, and only links leave the block. So no pairs are written out, yet
-   no pair that shares a bucket is left undecided.
+   on full sets; verified links are joined into components.
+4. What then lies in one bucket but in different components is compared in blocks of bounded size, without
+   texts: a class is there by the size of its set and the parities of the set's hashes in a table of bits. Two sets differ
+   in at least as many elements as their tables do in bits, so a pair whose tables differ in more bits than linked
+   sets may differ in elements is no link. That bound is exact and passes next to nothing below a similarity of 0.73. The
+   pairs it leaves are verified on full sets, in rounds: a block names pairs that would join components (a
+   forest in the first round, four times as many forests in each later one), and pairs found unlinked are not named again.
+   Rounds end when no pair is left, so every pair that shares a bucket is decided and no block emits all pairs of a group.
 
 At similarity 0.75 a pair shares no bucket with a chance of (1 - 0.75^4)^32 = 5e-6, at 0.8
-of 5e-8. A pair is passed over by its signature if fewer than 72 of 128 slots agree, which
-at a similarity of 0.75 is 4.9 standard deviations away, a chance below 1e-6.
+of 5e-8; the README has the recall against all pairs.
 """
 
 from __future__ import annotations
@@ -23,27 +25,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findling.llm.common import Columns
 from findling.plans.components import connected_components
 from findling.session import ship
 from findling.storage import release, written
 
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-#: Slots that must agree before a pair from different components is verified.
-LEAST_AGREEING = 72
 #: Members of a bucket in one block of the comparison in blocks.
-BLOCK = 500
+BLOCK = 1000
+#: Bits of a table for each element, and the most bits: with fewer the bound passes more, but nothing less.
+BITS, MOST_BITS = 4, 1 << 17
 #: Elements that go through the permutations together; words whose hash a worker remembers.
 CHUNK, MEMO = 200_000, 500_000
-#: Elements of sets that a worker remembers between blocks.
-SET_ELEMENTS = 4_000_000
 RANK_BITS = 40
+#: Tasks that share the classes of a component.
+SALTS = 8
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ALL = (1 << 64) - 1
 
@@ -120,21 +122,35 @@ def _walk(sets: list[np.ndarray], slots: int) -> np.ndarray:
     return best.reshape(-1, slots)
 
 
+def parities(elements: np.ndarray) -> bytes:
+    """A table of at least BITS bits an element: a bit tells if an odd number of hashes fall on it.
+
+    Sizes are powers of two, so a table folds to half its size by exclusive or.
+    """
+    size = 64
+    while size < min(MOST_BITS, BITS * len(elements)):
+        size *= 2
+    # Other bits of the hash than those that name a shingle's place in a walk.
+    odd = np.bincount((_mixed(elements) >> np.uint64(40)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Class, size of the set and signature (16 bits of each slot) of each text; other columns are carried."""
+    """Class, size of the set, signature (16 bits of each slot) and parities of each text; other columns are carried."""
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
             part = batch.slice(start, 500)
-            sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
+            sets = [shingle_set(t, width) for t in part.column(0).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
             slots: list = [None] * len(sets)
+            bits: list = [None] * len(sets)
             if full:
                 low = (superminhash([sets[i] for i in full]) & 0xFFFF).astype("<u2")
                 for i, s in zip(full, low, strict=True):
-                    keys[i], slots[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), s.tobytes()
-            made = [pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(slots, pa.binary())]
-            yield pa.record_batch([*part.columns, *made], names=[*part.schema.names, "cls", "n", "slots"])
+                    keys[i], slots[i], bits[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), s.tobytes(), parities(sets[i])
+            made = [pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(slots, pa.binary()), pa.array(bits, pa.binary())]
+            yield pa.record_batch([*part.columns, *made], names=[*part.schema.names, "cls", "n", "slots", "bits"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -151,56 +167,72 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
         yield batch.select([0, 1]).append_column("linked", pa.array(good, pa.bool_()))
 
 
-class _Sets(dict):
-    """Sets of the texts that a worker met lately."""
-
-    held = 0
-
-    def of(self, text: str, width: int) -> np.ndarray:
-        key = (xxhash.xxh3_128_digest(text), width)
-        found = self.get(key)
-        if found is None:
-            found = shingle_set(text, width)
-            if self.held + len(found) > SET_ELEMENTS:
-                self.clear()
-                self.held = 0
-            self[key] = found
-            self.held += len(found)
-        return found
-
-
-_SETS = _Sets()
-
-
-def _blockwise(key: tuple, rows: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
-    """Links between different components in one pair of blocks of a bucket."""
-    _, band, first, second = key
-    slots = np.stack([np.frombuffer(s, np.uint16) for s in rows["slots"]])
-    names, block, n, texts = rows["comp"].to_numpy(), rows["blk"].to_numpy(), rows["n"].to_numpy(), rows["__text"].to_numpy()
-    comp = pd.factorize(rows["comp"])[0]
-    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    out = []
-    for at, i in enumerate(left):
-        to = right[at + 1 :] if first == second else right
-        to = to[(comp[to] != comp[i]) & (4 * np.minimum(n[to], n[i]) >= 3 * np.maximum(n[to], n[i]))]
-        if not len(to):
-            continue
-        same = slots[to] == slots[i]
-        near = same.sum(axis=1) >= LEAST_AGREEING
-        if band:
-            near &= ~same[:, : band * ROWS].reshape(len(to), band, ROWS).all(axis=2).any(axis=1)
-        to = to[near]
-        if not len(to):
-            continue
-        mine, others = _SETS.of(texts[i], width), [_SETS.of(texts[j], width) for j in to]
-        flat = np.concatenate(others)
-        hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
-        both = np.add.reduceat(hit, np.cumsum([0, *(len(o) for o in others[:-1])]), dtype=np.int64)
-        for j in to[100 * both >= percent * (len(mine) + n[to] - both)]:
-            if comp[i] != comp[j]:
-                out.append((names[i], names[j]))
-                comp[comp == comp[j]] = comp[i]
-    return pd.DataFrame(out, columns=["a", "b"])
+def _tables(bits: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By size of table: the places that have such a table, and the tables as rows of 64-bit numbers."""
+    sizes = np.array([len(b) for b in bits])
+    return {int(s): (at := np.flatnonzero(sizes == s), np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1)) for s in np.unique(sizes)}
+
+
+def _folded(table: np.ndarray, words: int) -> np.ndarray:
+    while table.shape[-1] > words:
+        half = table.shape[-1] // 2
+        table = table[..., :half] ^ table[..., half:]
+    return table
+
+
+def possible_links(n: np.ndarray, comp: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Places (one of ``left``, one of ``right``) of different components that the bound leaves possible, likeliest first."""
+    found = []
+    tables = _tables(bits)
+    own = {int(i): table[k] for at, table in tables.values() for k, i in enumerate(at)}
+    within = np.zeros(len(n), bool)
+    within[right] = True
+    sides = [(at[within[at]], table[within[at]]) for at, table in tables.values()]
+    for i in left:
+        for at, table in sides:
+            # Linked sets of sizes p <= q have 100 p >= percent q, and differ in at most (100 - percent) / (100 + percent) of p + q elements.
+            low, high = np.minimum(n[at], n[i]), np.maximum(n[at], n[i])
+            fit = np.flatnonzero((comp[at] != comp[i]) & (100 * low >= percent * high))
+            if not len(fit):
+                continue
+            words = min(table.shape[1], len(own[int(i)]))
+            differ = np.bitwise_count(_folded(table[fit], words) ^ _folded(own[int(i)], words)).sum(axis=1, dtype=np.int64)
+            both = n[at[fit]] + n[i]
+            near = np.flatnonzero((100 + percent) * differ <= (100 - percent) * both)
+            found += [(differ[k] / both[k], int(i), int(at[fit[k]])) for k in near]
+    return [(i, j) for _, i, j in sorted(found)]
+
+
+def _named(key: tuple, table: pa.Table, forests: int, percent: int) -> pa.Table:
+    """Pairs of classes in one pair of blocks of a bucket that, if linked, would join components."""
+    first, second = key[1].as_py(), key[2].as_py()
+    names, blk = table["node"].to_pylist(), table["blk"].to_numpy()
+    comp, n = np.unique(table["comp"].to_numpy(), return_inverse=True)[1], table["n"].to_numpy()
+    unlinked = [set(x or ()) for x in table["unlinked"].to_pylist()]
+    pairs = possible_links(n, comp, table["bits"].to_pylist(), np.flatnonzero(blk == first), np.flatnonzero(blk == second), percent)
+    pairs = [(i, j) for i, j in pairs if names[j] not in unlinked[i] and names[i] not in unlinked[j]]
+    out = set()
+    for _ in range(forests):
+        root = list(range(int(comp.max()) + 1))
+
+        def find(x: int) -> int:
+            while root[x] != x:  # noqa: B023
+                root[x] = root[root[x]]  # noqa: B023
+                x = root[x]  # noqa: B023
+            return x
+
+        rest = []
+        for i, j in pairs:
+            p, q = find(comp[i]), find(comp[j])
+            if p == q:
+                rest.append((i, j))
+            else:
+                root[max(p, q)] = min(p, q)
+                out.add((min(names[i], names[j]), max(names[i], names[j])))
+        if len(rest) == len(pairs):
+            break
+        pairs = rest
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -212,44 +244,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are one shingle. Null and empty texts and texts without words have no shingles, are
     linked with nothing and stay. Of rows that share the smallest identifier one is kept.
     Null identifiers come last. Very long texts are compared whole. An empty table gives an
-    empty result. Columns whose names clash with the added ones are replaced.
+    empty result. Columns may have any names; those called like the added ones, in any case, are replaced.
     """
-    ship(docs.sparkSession)
-    if percent < 75:
-        raise ValueError("the bands are set for similarities of 0.75 and more")
-    added = ("n_shingles", "component_id", "kept")
-    kept = [c for c in docs.columns if c not in added]
-    kind = docs.schema[id_col].dataType.simpleString()
-    others = F.struct(*[F.col(c) for c in kept if c not in (id_col, text_col)], F.lit(0).alias("__x"))
-    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), others.alias("__rest"))
-    return _near(source, kind, kept, id_col, text_col, width, percent)
+    own = Columns(docs, ("n_shingles", "component_id", "kept"))
+    found = _near(own.table, own.at(id_col), own.at(text_col), width, percent)
+    return found.select(*own.own(), "n_shingles", "component_id", "kept")
 
 
-def _near(source: DataFrame, kind: str, kept: list[str], id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    rest = source.schema["__rest"].dataType.simpleString()
-    schema = f"__id {kind}, __text string, __rest {rest}, cls binary, n long, slots binary"
+def _near(table: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    ship(table.sparkSession)
+    if percent < 75:
+        raise ValueError("the bands are set for similarities of 0.75 and more")
+    carried = table.columns
+    source = table.select(F.col(text_col).alias("text"), *[c for c in carried if c != text_col])
+    schema = source.schema[:].add("cls", "binary").add("n", "long").add("slots", "binary").add("bits", "binary")
     table = source.mapInArrow(lambda it: _sketch(it, width), schema).withColumn("row", F.monotonically_increasing_id())
     table = written(table, "near-rows")
-    order = F.struct(F.col("__id").isNull().alias("null"), F.col("__id").alias("id"), F.col("row").alias("row"))
+    order = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.col("row").alias("row"))
     # A class is a node from here on, named by one of its rows.
-    classes = table.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("slots").alias("slots"), F.first("n").alias("n"), F.min("row").alias("node"), F.min(order).alias("best"))
+    classes = table.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("slots").alias("slots"), F.first("bits").alias("bits"), F.first("n").alias("n"), F.min("row").alias("node"), F.min(order).alias("best"))
     classes = written(classes, "near-classes")
 
     banded = classes.select("node", "slots", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     piece = F.expr(f"substring(slots, band * {2 * ROWS} + 1, {2 * ROWS})")
-    keys = banded.select("node", F.xxhash64("band", piece).alias("key"), F.col("band").cast("byte").alias("band"))
-    shared = keys.select("node", "key").groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
+    keys = banded.select("node", F.xxhash64("band", piece).alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
     buckets = written(keys.join(shared, "key"), "near-buckets")
 
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        return table.select(F.col("row").alias("node"), "__text").join(nodes, "node")
-
     def verified(pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = written(texts_of(need), "near-texts")
-        joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("__text").alias("text_b")), "b")
-        joined = joined.join(texts.select(F.col("node").alias("a"), F.col("__text").alias("text_a")), "a")
-        checked = joined.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, width, percent), "a long, b long, linked boolean")
+        texts = written(table.select(F.col("row").alias("node"), "text").join(need, "node"), "near-texts")
+        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        checked = both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, width, percent), "a long, b long, linked boolean")
         out = written(checked, "near-pairs")
         release(texts)
         return out
@@ -260,14 +287,17 @@ def _near(source: DataFrame, kind: str, kept: list[str], id_col: str, text_col:
 
     def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
         """Components after links between components a and b: only components are joined, not members."""
-        over = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("__to"))
+        over = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
         known = comp.unionByName(over.select(F.col("comp").alias("node"), "comp").join(comp.select("node"), "node", "left_anti"))
-        new = known.join(over, "comp", "left").select("node", F.coalesce("__to", "comp").alias("comp"))
+        new = known.join(over, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
         return written(new, "near-components")
 
     def placed(members: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
-        c = comp.select(F.col("node").alias(node), F.col("comp").alias("__c"))
-        return members.join(c, node, "left").withColumn(name, F.coalesce("__c", node)).drop("__c")
+        c = comp.select(F.col("node").alias(node), F.col("comp").alias("c"))
+        return members.join(c, node, "left").withColumn(name, F.coalesce("c", node)).drop("c")
+
+    def naming(forests: int):
+        return lambda key, rows: _named(key, rows, forests, percent)
 
     # First one pivot a class, then the pivots of all its buckets that this hasn't joined.
     pairs = buckets.filter("pivot != node").groupBy("node").agg(F.min("pivot").alias("a")).select("a", F.col("node").alias("b"))
@@ -276,38 +306,54 @@ def _near(source: DataFrame, kind: str, kept: list[str], id_col: str, text_col:
     star = buckets.filter("pivot != node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     star = placed(placed(star, comp, "a", "ca"), comp, "b", "cb").filter("ca != cb")
     star = written(star.join(done.select("a", "b"), ["a", "b"], "left_anti"), "near-stars")
+    unlinked = done.filter("NOT linked").select("a", "b")
     if not star.isEmpty():
-        links = star.join(verified(star.select("a", "b")).filter("linked"), ["a", "b"], "left_semi")
+        more = verified(star.select("a", "b"))
+        links = star.join(more.filter("linked"), ["a", "b"], "left_semi")
         comp = joined(comp, links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    # Buckets that still hold several components are compared in blocks.
-    where = written(placed(buckets.select("key", "band", "node", "members"), comp, "node", "comp"), "near-placed")
-    mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    open_rows = where.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    open_rows = open_rows.withColumns({"first": F.least("blk", "other"), "second": F.greatest("blk", "other")})
-    held = classes.select("node", "n", "slots").join(open_rows.select("node").distinct(), "node", "left_semi")
-    held = written(texts_of(held), "near-open")
-    open_rows = open_rows.join(held, "node").select("key", "band", "first", "second", "blk", "node", "comp", "n", "slots", "__text").drop("node")
-    links = open_rows.groupBy("key", "band", "first", "second").applyInPandas(lambda key, rows: _blockwise(key, rows, width, percent), "a long, b long")
-    links = written(links, "near-links")
-    if not links.isEmpty():
-        comp = joined(comp, links)
-
-    whole = placed(classes.select("cls", "node", "best"), comp, "node", "comp")
-    best = whole.groupBy("comp").agg(F.min("best").alias("best"))
-    label = whole.select("cls", "comp").join(best, "comp").select("cls", "best")
-    out = table.select("__id", "__text", "cls", "n", "row", "__rest").join(label, "cls", "left")
+        unlinked = unlinked.unionByName(more.filter("NOT linked").select("a", "b"))
+    # Buckets that still hold several components are compared in blocks, until no pair is left to verify.
+    forests = 1
+    while True:
+        where = written(placed(buckets.select("key", "node", "members"), comp, "node", "comp"), "near-placed")
+        mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+        blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+        open_rows = where.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        open_rows = open_rows.withColumns({"lower": F.least("blk", "other"), "upper": F.greatest("blk", "other")})
+        against = unlinked.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("unlinked"))
+        held = classes.select("node", "n", "bits").join(against, "node", "left")
+        open_rows = open_rows.join(held, "node").select("key", "lower", "upper", "blk", "node", "comp", "n", "bits", "unlinked")
+        named = open_rows.groupBy("key", "lower", "upper").applyInArrow(naming(forests), "a long, b long")
+        named = written(named.distinct(), "near-named")
+        release(where)
+        if named.isEmpty():
+            break
+        checked = verified(named)
+        unlinked = unlinked.unionByName(checked.filter("NOT linked").select("a", "b"))
+        links = placed(placed(checked.filter("linked"), comp, "a", "ca"), comp, "b", "cb").filter("ca != cb")
+        links = written(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "near-links")
+        if not links.isEmpty():
+            comp = joined(comp, links)
+        forests *= 4
+
+    # Components of several classes only; salted, for one may hold a third of all.
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    whole = classes.select("cls", "node", "best").join(comp, "node").withColumn("salt", salt)
+    best = whole.groupBy("comp").agg(F.min("best").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    label = whole.join(best, ["comp", "salt"]).select("node", "least")
+    label = classes.select("cls", "node", "best").join(label, "node", "left").select("cls", F.coalesce("least", "best").alias("best"))
+    out = table.join(label, "cls", "left")
     alone = F.col("best").isNull()
-    named = {id_col: F.col("__id"), text_col: F.col("__text")}
     return out.select(
-        *[named.get(c, F.col(f"__rest.`{c}`")).alias(c) for c in kept],
+        *[F.col("text").alias(c) if c == text_col else F.col(c) for c in carried],
         F.col("n").alias("n_shingles"),
-        F.when(alone, F.col("__id")).otherwise(F.col("best.id")).alias("component_id"),
+        F.when(alone, F.col(id_col)).otherwise(F.col("best.id")).alias("component_id"),
         (alone | (F.col("row") == F.col("best.row"))).alias("kept"),
     )
 
 
-def distinct_documents(docs: DataFrame, **options) -> DataFrame:
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """One document of each group of near duplicates, with the columns of ``docs``."""
-    return near_duplicates(docs, **options).filter("kept").select(*docs.columns)
+    own = Columns(docs)
+    return _near(own.table, own.at(id_col), own.at(text_col), width, percent).filter("kept").select(*own.all())
