@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def appended(spark: SparkSession, chunks: Iterable[list[tuple]], schema: str, name: str) -> DataFrame:
+    """A table written from the driver part by part, so that only one part is held."""
+    path = f"{shared_root(spark)}/findling/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
+    for chunk in chunks:
+        spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete tables that :func:`written` returned and nothing reads any more."""
     for table in tables:
