@@ -1,25 +1,35 @@
 """A uniform shuffle into shards of exact size.
 
 Each input partition is permuted locally; the numbers of rows that go from each
-partition to each cell of each shard are drawn from the multivariate hypergeometric
+partition to each shard are drawn from the multivariate hypergeometric
 distribution, which is what a uniform permutation of all rows would give; the rows are
-exchanged by that matrix and every cell is permuted again. Every row moves once.
+exchanged by that matrix and permuted again inside their shard. Every row moves once.
 
-The driver holds the matrix only: one count for each pair of partition and cell. A cell
-is a part of a shard that one task sorts, so that a shard may be larger than a task.
+The driver draws the matrix some partitions at a time and writes it, so it holds a bounded part of it
+whatever the number of rows or partitions. The second permutation orders a shard by a hash. Ranges of that hash are the
+tasks that sort, of about CELL_BYTES each; counts of the ranges give each its first slot.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from findling.storage import written
+from findling.llm.common import Columns
+from findling.storage import appended, written
 
 ROW_MASK = (1 << 33) - 1
+#: Bytes of rows that one task orders, about; a longer row is a task's own.
+CELL_BYTES = 4 << 20
+#: Counts of the matrix that the driver holds at once.
+DRAWN = 4_000_000
+#: Totals up to which the library draws.
+MOST_DRAWN = 900_000_000
 
 
 def even_sizes(total: int, parts: int) -> list[int]:
@@ -27,21 +37,22 @@ def even_sizes(total: int, parts: int) -> list[int]:
     return [total // parts + (i < total % parts) for i in range(parts)]
 
 
-def communication_matrix(rows: list[int], cells: list[int], seed: int) -> np.ndarray:
-    """counts[i, j] rows of partition i for cell j; rows and columns sum to the arguments."""
-    if sum(rows) != sum(cells):
-        raise ValueError("the cells must hold exactly the rows")
+def draw_rows(rows: Iterator[int], shards: list[int], seed: int) -> Iterator[np.ndarray]:
+    """The matrix line by line: how many of a partition's rows go to each shard. Lines and columns sum to the arguments."""
     rng = np.random.default_rng(seed)
-    left = np.array(cells, dtype=np.int64)
-    out = np.zeros((len(rows), len(cells)), dtype=np.int64)
-    for i, n in enumerate(rows):
-        out[i] = _draw(rng, left, n)
-        left -= out[i]
-    return out
+    left = np.array(shards, dtype=np.int64)
+    for n in rows:
+        if n > left.sum():
+            raise ValueError("the shards must hold exactly the rows")
+        line = _draw(rng, left, n)
+        left -= line
+        yield line
+    if left.sum():
+        raise ValueError("the shards must hold exactly the rows")
 
 
 def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    if left.sum() < 1_000_000_000:
+    if left.sum() < MOST_DRAWN:
         return rng.multivariate_hypergeometric(left, n)
     out, rest = np.zeros_like(left), int(left.sum())
     for j, good in enumerate(left.tolist()):
@@ -51,73 +62,78 @@ def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Inversion outwards from the mode, for totals beyond what numpy draws."""
+    """For totals beyond what the library draws: by the sums of the chances around the mode, as far as they count."""
     low, high = max(0, n - bad), min(n, good)
     if low == high:
         return low
-    mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
-    lg = math.lgamma
-    choose = lambda a, b: lg(a + 1) - lg(b + 1) - lg(a - b + 1)
-    p0 = math.exp(choose(good, mode) + choose(bad, n - mode) - choose(good + bad, n))
-    u, up, down, pu, pd = rng.random() - p0, mode, mode, p0, p0
-    while u > 0 and (up < high or down > low):
-        if up < high:
-            pu *= (good - up) * (n - up) / ((up + 1) * (bad - n + up + 1))
-            up += 1
-            u -= pu
-            if u <= 0:
-                return up
-        if down > low:
-            pd *= down * (bad - n + down) / ((good - down + 1) * (n - down + 1))
-            down -= 1
-            u -= pd
-            if u <= 0:
-                return down
-    return mode
-
-
-def shuffle_into_shards(docs: DataFrame, n_shards: int, seed: int = 0, cell_rows: int = 100_000, order_cols: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    total = good + bad
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    spread = math.sqrt(max(1.0, n * (good / total) * (bad / total)))
+    first, last = max(low, mode - int(12 * spread) - 60), min(high, mode + int(12 * spread) + 60)
+    k = np.arange(first, last, dtype=np.float64)
+    step = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    chance = np.concatenate([[0.0], np.cumsum(step)])
+    chance = np.cumsum(np.exp(chance - chance.max()))
+    return first + int(np.searchsorted(chance, rng.random() * chance[-1], side="right"))
+
+
+def _bytes(table: DataFrame) -> Column:
+    """About what a row's columns take."""
+    strings = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in table.schema if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    out = F.lit(8 * len(table.columns)).cast("long")
+    for s in strings:
+        out = out + s
+    return out
+
+
+def shuffle_into_shards(docs: DataFrame, n_shards: int, seed: int = 0, cell_bytes: int = CELL_BYTES, order_cols: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """``docs`` with ``shard`` (0 to ``n_shards`` - 1) and ``slot`` (gapless from 0 in its shard).
 
-    Sizes of shards differ by one row at most. ``order_cols`` seed the local
+    Sizes of shards differ by one row at most. ``order_cols`` (those there are) seed the local
     permutations by content; rows that are equal in them may change places. Nulls in
     any column, empty and very long texts and repeated rows are rows like any other: the
-    first exchange goes by place, not by key, so no key can be hot. An empty table gives
-    an empty result. Columns named ``shard`` or ``slot`` are replaced.
+    exchange goes by place and a hash of it, not by key, so no key can be hot. An empty table gives
+    an empty result. Columns may have any names; those called ``shard`` or ``slot``, in any case, are replaced.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     spark = docs.sparkSession
-    base = docs.drop("shard", "slot")
-    kept = base.columns
-    mixed = F.xxhash64(F.lit(seed), *[F.col(c) for c in order_cols if c in kept])
-    local = base.withColumn("__k", mixed).sortWithinPartitions("__k", *[c for c in order_cols if c in kept])
-    place = F.monotonically_increasing_id()
-    placed = local.select(*kept, "__k", place.alias("__place"))
-    placed = written(placed, "shard-input").withColumns({"__from": F.shiftright("__place", 33), "__rank": F.col("__place").bitwiseAND(F.lit(ROW_MASK))})
-
-    counts = {r["__from"]: r["n"] for r in placed.groupBy("__from").agg(F.count("*").alias("n")).collect()}
-    blocks = sorted(counts)
-    shard_sizes = even_sizes(sum(counts.values()), n_shards)
-    cells = [(s, start, size) for s, total in enumerate(shard_sizes) for size, start in _cells(total, cell_rows)]
-    matrix = communication_matrix([counts[b] for b in blocks], [size for _, _, size in cells], seed)
-    # One row for each input partition, one number for each cell that gets rows of it.
-    ends = np.cumsum(matrix, axis=1)
-    lines = []
-    for i, b in enumerate(blocks):
-        used = np.flatnonzero(matrix[i])
-        lines.append((b, [int(x) for x in ends[i][used]], [cells[j][0] for j in used], [cells[j][1] for j in used]))
-    plan = spark.createDataFrame(lines, "__from long, __ends array<long>, __shards array<int>, __starts array<long>")
-    routed = placed.join(F.broadcast(plan), "__from")
-    at = F.size(F.filter("__ends", lambda e: e <= F.col("__rank")))
-    routed = routed.select(*kept, "__k", "__place", F.get("__shards", at).alias("shard"), F.get("__starts", at).alias("__start"))
-    again = F.xxhash64(F.lit(seed + 1), "__k", "__place")
-    window = Window.partitionBy("shard", "__start").orderBy(again, "__place")
-    slot = (F.col("__start") + F.row_number().over(window) - 1).cast("long")
-    return routed.select(*kept, "shard", slot.alias("slot"))
-
-
-def _cells(total: int, cell_rows: int) -> list[tuple[int, int]]:
-    sizes = even_sizes(total, max(1, math.ceil(total / cell_rows)))
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return [(s, int(b)) for s, b in zip(sizes, starts, strict=True)]
+    own = Columns(docs, ("shard", "slot"))
+    lower = [n.lower() for n in own.names]
+    order = [own.at(c) for c in order_cols if c.lower() in lower]
+    local = own.table.withColumn("k", F.xxhash64(F.lit(seed), *[F.col(c) for c in order])).sortWithinPartitions("k", *order)
+    placed = local.select(*own.kept, "k", F.monotonically_increasing_id().alias("place"))
+    placed = written(placed.withColumn("bytes", _bytes(placed)), "shard-input")
+    placed = placed.withColumns({"from": F.shiftright("place", 33), "rank": F.col("place").bitwiseAND(F.lit(ROW_MASK))})
+
+    # Partitions one after the other; what the driver holds of the counts and of the matrix is bounded.
+    counts = written(placed.groupBy("from").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).orderBy("from"), "shard-counts")
+    total, size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    shards = even_sizes(total, n_shards)
+    lines = draw_rows((r["n"] for r in counts.orderBy("from").toLocalIterator()), shards, seed)
+    names = (r["from"] for r in counts.orderBy("from").toLocalIterator())
+    matrix = appended(spark, _chunks(names, lines, max(1, DRAWN // n_shards)), "from long, ends array<long>", "shard-matrix")
+
+    # Spark knows the size of the written matrix: it broadcasts below its bound and shuffles beyond.
+    at = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
+    routed = placed.join(matrix, "from").withColumn("shard", at.cast("int")).withColumn("again", F.xxhash64(F.lit(seed + 1), "k", "place"))
+    bits = max(0, math.ceil(math.log2(max(1, size / n_shards / cell_bytes))))
+    routed = routed.withColumn("cell", (F.shiftrightunsigned("again", 64 - bits) if bits else F.lit(0)).cast("long"))
+    cells = written(routed.groupBy("shard", "cell").agg(F.count("*").alias("n")), "shard-cells")
+    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("shard", "cell").orderBy("again", "place")
+    ranked = routed.select(*own.kept, "shard", "cell", "again", "place").withColumn("nth", F.row_number().over(inside))
+    ranked = ranked.join(cells, ["shard", "cell"])
+    return ranked.select(*own.own(), "shard", (F.col("start") + F.col("nth") - 1).cast("long").alias("slot"))
+
+
+def _chunks(names: Iterator[int], lines: Iterator[np.ndarray], n: int) -> Iterator[list[tuple]]:
+    chunk = []
+    for name, line in zip(names, lines, strict=True):
+        chunk.append((name, np.cumsum(line).tolist()))
+        if len(chunk) == n:
+            yield chunk
+            chunk = []
+    if chunk:
+        yield chunk
