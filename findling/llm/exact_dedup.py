@@ -20,63 +20,75 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from findling.llm.common import Columns
 from findling.session import ship
 from findling.storage import written
 
 PREFIX_CHARS = 64
 
 
-def _runs(id_col: str, carried: list[str], keep_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Label runs of equal neighbours in a sorted partition; holds back only the open run."""
+def _runs(id_col: str, carried: list[str], keep_type: pa.DataType, heads: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Label runs of equal neighbours in a sorted partition.
 
-    def emit(rows: pa.Table, starts: np.ndarray, edge: int) -> Iterator[pa.RecordBatch]:
-        lengths = np.diff(np.append(starts, rows.num_rows))
-        head = np.zeros(rows.num_rows, dtype=bool)
-        head[starts] = True
-        of = np.repeat(starts, lengths)
+    Of the open run, the carried columns are held back, with one copy of its text; where only ``heads`` of runs are
+    wanted, its first row and a count are.
+    """
+
+    def emit(rows: pa.Table, lengths: np.ndarray, edge: int, text: str | None = None) -> Iterator[pa.RecordBatch]:
+        """``rows`` are whole runs, or their heads."""
+        if heads:
+            of, size = np.arange(len(lengths)), lengths
+        else:
+            starts = np.cumsum(lengths) - lengths
+            of, size = np.repeat(starts, lengths), np.repeat(lengths, lengths)
+        n = len(of)
         out = {c: rows[c] for c in carried}
-        n = rows.num_rows
-        out["__pid"] = pa.array(np.full(n, TaskContext.get().partitionId(), dtype=np.int32))
-        out["__edge"] = pa.array(np.full(n, edge, dtype=np.int32))
-        out["__edge_text"] = pa.array([rows["__text"][0].as_py(), *[None] * (n - 1)] if edge else [None] * n, pa.string())
-        out["__keep"] = rows[id_col].take(pa.array(of)).cast(keep_type)
-        out["__size"] = pa.array(np.repeat(lengths, lengths).astype(np.int64))
-        out["__head"] = pa.array(head)
+        out["pid"] = pa.array(np.full(n, TaskContext.get().partitionId(), dtype=np.int32))
+        out["edge"] = pa.array(np.full(n, edge, dtype=np.int32))
+        out["edge_text"] = pa.array([text, *[None] * (n - 1)] if edge else [None] * n, pa.string())
+        out["keep"] = rows[id_col].take(pa.array(of)).cast(keep_type)
+        out["size"] = pa.array(size.astype(np.int64))
+        out["head"] = pa.array(of == np.arange(n))
         yield from pa.table(out).combine_chunks().to_batches()
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_run: list[pa.RecordBatch] = []
-        open_text, first = None, True
+        held: list[pa.RecordBatch] = []
+        length, open_text, first = 0, None, True
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            text = batch.column(batch.schema.get_field_index("__text"))
+            text = batch.column(batch.schema.get_field_index("text"))
+            rows = batch.select(list(dict.fromkeys([*carried, id_col])))
             differs = np.flatnonzero(~np.asarray(pc.equal(text.slice(1), text.slice(0, n - 1)).to_numpy(zero_copy_only=False), dtype=bool)) + 1
             starts = np.concatenate([[0], differs]).astype(np.int64)
-            if open_run and text[0].as_py() == open_text:
-                if len(starts) == 1:
-                    open_run.append(batch)
-                    continue
-                open_run.append(batch.slice(0, int(starts[1])))
-                starts = starts[1:]
-            if open_run:
-                yield from emit(pa.Table.from_batches(open_run), np.array([0]), int(first))
+            lengths = np.diff(np.append(starts, n))
+            at = 0
+            if length and text[0].as_py() == open_text:
+                length += int(lengths[0])
+                if not heads:
+                    held.append(rows.slice(0, int(lengths[0])))
+                at = 1
+            if at == len(starts):
+                continue
+            if length:
+                yield from emit(pa.Table.from_batches(held), np.array([length]), int(first), open_text)
                 first = False
-            last = int(starts[-1])
-            if len(starts) > 1:
-                begin = int(starts[0])
-                closed, cuts = pa.Table.from_batches([batch.slice(begin, last - begin)]), starts[:-1] - begin
-                if first:
-                    stop = int(cuts[1]) if len(cuts) > 1 else closed.num_rows
-                    yield from emit(closed.slice(0, stop), np.array([0]), 1)
-                    closed, cuts, first = closed.slice(stop), cuts[1:] - stop, False
-                if closed.num_rows:
-                    yield from emit(closed, cuts, 0)
-            open_run, open_text = [batch.slice(last)], text[last].as_py()
-        if open_run:
-            yield from emit(pa.Table.from_batches(open_run), np.array([0]), 1 if first else 2)
+            last = len(starts) - 1
+            if first and at < last:
+                run = rows.slice(int(starts[at]), 1 if heads else int(lengths[at]))
+                yield from emit(pa.Table.from_batches([run]), lengths[at : at + 1], 1, text[int(starts[at])].as_py())
+                first, at = False, at + 1
+            if at < last:
+                closed = pa.Table.from_batches([rows])
+                closed = closed.take(pa.array(starts[at:last])) if heads else closed.slice(int(starts[at]), int(starts[last] - starts[at]))
+                yield from emit(closed, lengths[at:last], 0)
+            held = [rows.slice(int(starts[last]), 1 if heads else int(lengths[last]))]
+            length, open_text = int(lengths[last]), text[int(starts[last])].as_py()
+        if length:
+            yield from emit(pa.Table.from_batches(held), np.array([length]), 1 if first else 2, open_text)
 
     return label
 
@@ -98,49 +110,53 @@ def exact_dedup(
 
     Null texts count as empty and form one group with empty ones. A null identifier
     comes after all others, so it stays only where its group has nothing else. Of rows
-    repeated with the same identifier exactly one is kept. Very long texts are compared
-    whole. An empty table gives an empty result. Columns of ``docs`` whose names clash
-    with the added ones are replaced.
+    repeated with the same identifier exactly one is kept. Identifiers may have any type that has an order. Very long
+    texts are compared whole. An empty table gives an empty result. Columns may have any names; those called like the
+    added ones, in any case, are replaced.
     """
+    own = Columns(docs, ["keep_id", "group_size", "kept", *([sha] if sha else [])])
+    kept = own.kept if carry is None else [c for c in map(own.at, carry) if c in own.kept]
+    rows = _labelled(own.table, own.at(id_col), own.at(text_col), kept, keep, normalise, bool(sha), False)
+    return rows.select(*[F.col(c).alias(own.named(c)) for c in kept], "keep_id", "group_size", "kept", *([F.col("digest").alias(sha)] if sha else []))
+
+
+def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The rows that :func:`exact_dedup` keeps, with the columns of ``docs``."""
+    own = Columns(docs)
+    rows = _labelled(own.table, own.at(id_col), own.at(text_col), own.kept, keep, normalise, False, True)
+    return rows.filter("kept").select(*own.all())
+
+
+def _labelled(table: DataFrame, id_col: str, text_col: str, carried: list[str], keep: str, normalise: Callable[[Column], Column] | None, sha: bool, heads: bool) -> DataFrame:
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep must be smallest or largest, not {keep}")
-    ship(docs.sparkSession)
-    added = ["keep_id", "group_size", "kept", *([sha] if sha else [])]
-    carried = [c for c in (docs.columns if carry is None else carry) if c not in added]
+    ship(table.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = normalise(text) if normalise else text
     best = F.col(id_col).asc_nulls_last() if keep == "smallest" else F.col(id_col).desc_nulls_last()
     wanted = list(dict.fromkeys([*carried, id_col]))
-    keyed = docs.select(*wanted, text.alias("__text"))
-    keyed = keyed.withColumns({"__prefix": F.substring("__text", 1, PREFIX_CHARS), "__hash": F.xxhash64("__text")})
-    ordered = keyed.repartitionByRange("__prefix", "__hash", best).sortWithinPartitions("__prefix", "__hash", "__text", best)
-    digest = [F.sha2("__text", 256).alias(sha)] if sha else []
-    ordered = ordered.select(*wanted, "__text", *digest)
-    out = [c for c in ordered.columns if c != "__text" and c in [*carried, sha]]
-    schema = T.StructType(
-        [ordered.schema[c] for c in out]
-        + [T.StructField("__pid", T.IntegerType()), T.StructField("__edge", T.IntegerType()), T.StructField("__edge_text", T.StringType()), T.StructField("__keep", ordered.schema[id_col].dataType), T.StructField("__size", T.LongType()), T.StructField("__head", T.BooleanType())]
-    )
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[ordered.schema[id_col].dataType.simpleString()]
-    runs = written(ordered.mapInArrow(_runs(id_col, out, arrow_id), schema), "exact-runs")
-    edge = runs.filter(F.col("__edge_text").isNotNull()).select("__pid", "__edge", "__edge_text", "__keep", "__size")
-    joined = edge.groupBy("__edge_text").agg(F.min("__pid").alias("__first"), F.min_by("__keep", "__pid").alias("__all_keep"), F.sum("__size").alias("__all_size"))
+    keyed = table.select(*wanted, text.alias("text"))
+    keyed = keyed.withColumns({"prefix": F.substring("text", 1, PREFIX_CHARS), "hash": F.xxhash64("text")})
+    ordered = keyed.repartitionByRange("prefix", "hash", best).sortWithinPartitions("prefix", "hash", "text", best)
+    ordered = ordered.select(*wanted, "text", *([F.sha2("text", 256).alias("digest")] if sha else []))
+    out = [*carried, *(["digest"] if sha else [])]
+    kind = ordered.schema[id_col].dataType
+    schema = T.StructType([ordered.schema[c] for c in out])
+    for name, added in (("pid", T.IntegerType()), ("edge", T.IntegerType()), ("edge_text", T.StringType()), ("keep", kind), ("size", T.LongType()), ("head", T.BooleanType())):
+        schema = schema.add(name, added)
+    runs = written(ordered.mapInArrow(_runs(id_col, out, to_arrow_type(kind), heads), schema), "exact-runs")
+    edge = runs.filter(F.col("edge_text").isNotNull()).select("pid", "edge", "edge_text", "keep", "size")
+    joined = edge.groupBy("edge_text").agg(F.min("pid").alias("first"), F.min_by("keep", "pid").alias("all_keep"), F.sum("size").alias("all_size"))
     # At most two rows for each partition of the sort: bounded by the number of partitions, not by the data.
-    edges = F.broadcast(edge.join(joined, "__edge_text").select("__pid", "__edge", "__first", "__all_keep", "__all_size"))
-    whole = runs.drop("__edge_text").join(edges, ["__pid", "__edge"], "left")
-    at_edge = F.col("__first").isNotNull()
+    edges = F.broadcast(edge.join(joined, "edge_text").select("pid", "edge", "first", "all_keep", "all_size"))
+    whole = runs.drop("edge_text").join(edges, ["pid", "edge"], "left")
+    at_edge = F.col("first").isNotNull()
     return whole.select(
-        *[F.col(c) for c in out if c != sha],
-        F.when(at_edge, F.col("__all_keep")).otherwise(F.col("__keep")).alias("keep_id"),
-        F.when(at_edge, F.col("__all_size")).otherwise(F.col("__size")).alias("group_size"),
-        (F.col("__head") & (~at_edge | (F.col("__first") == F.col("__pid")))).alias("kept"),
-        *([F.col(sha)] if sha else []),
+        *out,
+        F.when(at_edge, F.col("all_keep")).otherwise(F.col("keep")).alias("keep_id"),
+        F.when(at_edge, F.col("all_size")).otherwise(F.col("size")).alias("group_size"),
+        (F.col("head") & (~at_edge | (F.col("first") == F.col("pid")))).alias("kept"),
     )
 
 
-def unique_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows that :func:`exact_dedup` keeps, with the columns of ``docs``."""
-    return exact_dedup(docs, **options).filter("kept").select(*docs.columns)
-
-
 __all__ = ["exact_dedup", "unique_documents"]
