@@ -14,37 +14,43 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findling.llm.common import WORD, digest_key, n_words
+from findling.llm.common import WORD, Columns, digest_key, n_words
+from findling.storage import written
 
-#: Rows of all sources that share a range of keys, on average, and the most ranges.
-RANGE_ROWS, MAX_RANGE_BITS = 500, 16
+#: Rows of all sources that share a range of keys, on average, and the most ranges: beyond 500 million rows ranges
+#: hold more rows, which changes no result.
+RANGE_ROWS, MAX_RANGE_BITS = 500, 20
 KEY_BITS = 60
+ROW_MASK = (1 << 33) - 1
+ADDED = ("size", "source_size", "target", "taken")
 
 
-def source_targets(sources: DataFrame, weights: Sequence[float], max_epochs: int, total: Column) -> DataFrame:
-    """``__source``, ``source_size`` -> with ``weight`` and ``target``, one row a source.
+def source_targets(sources: DataFrame, weights: Sequence[float], max_epochs: int) -> DataFrame:
+    """``source_key``, ``source_size`` -> with ``weight`` and ``target``, one row a source.
 
-    Weights go round by the order of sources by code point, null last. A target is
-    min(cap, level x weight): the least level at which the targets sum to ``total``, found
-    by going through the sources in the order in which they reach their caps.
+    Weights go round by the order of ``source_key``. Sources whose share of the sum of sizes, by weight, is above
+    ``max_epochs`` times their size are set to that, and the rest is shared again, until none is above. Sources may be
+    many: their order comes from a sort by range and counts of its partitions, and each round is an aggregate.
     """
-    by_name = Window.orderBy("__source")
-    place = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int"))
-    s = sources.withColumns({"weight": weight, "__total": total})
-    s = s.withColumn("__cap", (F.col("source_size") * max_epochs).cast("double"))
-    fill = Window.orderBy(F.col("__cap") / F.col("weight"), "__source")
-    before = F.sum("__cap").over(fill.rowsBetween(Window.unboundedPreceding, -1))
-    rest = F.sum("weight").over(fill.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    level = (F.col("__total") - F.coalesce(before, F.lit(0.0))) / rest
-    s = s.withColumns({"__level": level, "__n": F.row_number().over(fill)})
-    first = F.min(F.when(F.col("__level") * F.col("weight") <= F.col("__cap"), F.struct("__n", "__level"))).over(Window.partitionBy())
-    s = s.withColumn("__first", first)
-    target = F.least(F.col("__cap"), F.coalesce(F.col("__first.__level"), F.lit(float("inf"))) * F.col("weight"))
-    return s.select("__source", "source_size", "weight", target.alias("target"))
+    ordered = sources.repartitionByRange("source_key").sortWithinPartitions("source_key").withColumn("place", F.monotonically_increasing_id())
+    ordered = written(ordered, "mix-sources").withColumns({"part": F.shiftright("place", 33), "nth": F.col("place").bitwiseAND(F.lit(ROW_MASK))})
+    # As many rows as the sort has partitions.
+    parts = ordered.groupBy("part").agg(F.count("*").alias("rows"))
+    parts = parts.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("first") + F.col("nth"), F.lit(len(weights))) + 1).cast("int"))
+    s = ordered.join(F.broadcast(parts), "part").select("source_key", "source_size", weight.alias("weight"), (F.col("source_size") * max_epochs).cast("double").alias("cap"))
+    s = written(s, "mix-weights")
+    total, n_capped, level = float(s.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]), -1, 0.0
+    while True:
+        above = F.lit(level) * F.col("weight") > F.col("cap")
+        capped, held, free = s.agg(F.count(F.when(above, 1)), F.sum(F.when(above, F.col("cap")).otherwise(0.0)), F.sum(F.when(above, 0.0).otherwise(F.col("weight")))).first()
+        if capped == n_capped or not free:
+            break
+        n_capped, level = capped, (total - held) / free
+    return s.select("source_key", "source_size", "weight", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix_sources(
@@ -55,58 +61,79 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: Sequence[str] | None = None,
 ) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``taken``.
 
     ``size`` is the number of words, ``taken`` how many of them the mix takes, repeats
     counted: whole copies and, for the one document of a source at which its budget
     ends, the words of its beginning that fill it. Budgets are targets without their
-    fraction, so the taken words of a source differ from its target by less than one.
+    fraction, so the taken words of a source differ from its target by less than one. ``carry`` names the columns to
+    return (all by default); what is carried is written once with the sizes, so texts are scanned once.
 
     The order within a source follows a hash of ``seed`` and the identifier, so reruns
     agree. Null and empty texts have size 0 and take 0. The null source is a source, the
     last one. Rows with the same identifier (or none) are ordered by a hash of their text;
     rows equal in all of it may change places. An empty table gives an empty result.
-    Columns whose names clash with the added ones are replaced.
+    Columns may have any names; those called like the added ones, in any case, are replaced.
     """
-    added = ["size", "source_size", "target", "taken"]
-    kept = [c for c in docs.columns if c not in added]
-    bits = min(MAX_RANGE_BITS, max(4, math.ceil(math.log2(max(1, docs.count()) / RANGE_ROWS + 1))))
-    keyed = docs.select(
+    own = Columns(docs, ADDED)
+    kept = own.kept if carry is None else [own.at(c) for c in carry]
+    rows = _mixed(own, kept, weights, max_epochs, seed, id_col, text_col, source_col)
+    return rows.select(*[F.col(c).alias(own.named(c)) for c in kept], *ADDED)
+
+
+def _mixed(own: Columns, kept: Sequence[str], weights: Sequence[float], max_epochs: int, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    text, source, ident = F.col(own.at(text_col)), F.col(own.at(source_col)), F.col(own.at(id_col))
+    keyed = own.table.select(
         *kept,
-        n_words(F.col(text_col)).alias("size"),
-        F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string"))).alias("__source"),
-        digest_key(seed, F.col(id_col)).alias("__key"),
-        F.xxhash64(text_col).alias("__tie"),
+        ident.alias("ident"),
+        n_words(text).alias("size"),
+        F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string"))).alias("source_key"),
+        digest_key(seed, ident).alias("key"),
+        F.xxhash64(text).alias("tie"),
     )
-    keyed = keyed.withColumn("__range", F.shiftright("__key", KEY_BITS - bits).cast("int"))
-    cells = keyed.groupBy("__source", "__range").agg(F.sum("size").alias("__cell"))
-    sums = cells.groupBy("__source").agg(F.sum("__cell").alias("source_size"))
-    targets = source_targets(sums, weights, max_epochs, F.sum("source_size").over(Window.partitionBy()).cast("double"))
-    upto = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("__source", "__range", F.coalesce(F.sum("__cell").over(upto), F.lit(0)).alias("__before"))
-    cells = cells.join(targets, "__source")
-    inside = Window.partitionBy("__source", "__range").orderBy("__key", id_col, "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = keyed.withColumn("__upto", F.sum("size").over(inside)).join(cells, ["__source", "__range"])
+    keyed = written(keyed, "mix-rows")
+    bits = min(MAX_RANGE_BITS, max(4, math.ceil(math.log2(keyed.count() / RANGE_ROWS + 1))))
+    keyed = keyed.withColumn("range", F.shiftright("key", KEY_BITS - bits).cast("int"))
+    cells = written(keyed.groupBy("source_key", "range").agg(F.sum("size").alias("cell")), "mix-cells")
+    targets = source_targets(cells.groupBy("source_key").agg(F.sum("cell").alias("source_size")), weights, max_epochs)
+    upto = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("source_key", "range", F.coalesce(F.sum("cell").over(upto), F.lit(0)).alias("before"))
+    cells = cells.join(targets, "source_key")
+    inside = Window.partitionBy("source_key", "range").orderBy("key", "ident", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = keyed.withColumn("upto", F.sum("size").over(inside)).join(cells, ["source_key", "range"])
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
-    before = F.col("__before") + F.col("__upto") - F.col("size")
+    before = F.col("before") + F.col("upto") - F.col("size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
-    return rows.select(*kept, "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return rows.withColumn("taken", (epochs * F.col("size") + part).cast("long"))
 
 
-def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: a row for each copy, with the columns of ``docs``.
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = (1, 2, 3),
+    max_epochs: int = 3,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    copy: str | None = None,
+) -> DataFrame:
+    """The mix itself: a row for each copy, with the columns of ``docs``; ``copy`` names a column for the copy's number, from 1.
 
-    A copy that the budget cuts holds the beginning of the text up to its last word taken.
+    A copy that the budget cuts holds the beginning of the text up to its last word taken. Nulls, ties, repeated rows,
+    empty tables and names are as for :func:`mix_sources`, but no column is replaced, unless it is called ``copy``.
     """
-    mixed = mix_sources(docs.withColumns({f"__own_{c}": F.col(c) for c in ("size", "source_size", "target", "taken") if c in docs.columns}), text_col=text_col, **options)
+    own = Columns(docs, [copy] if copy else [])
+    place = own.at(text_col)
+    mixed = _mixed(own, list(dict.fromkeys([*own.kept, place])), weights, max_epochs, seed, id_col, text_col, source_col)
     copies = F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    one = mixed.filter(F.col("taken") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("__copy") - 1) * F.col("size"))
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    one = mixed.filter(F.col("taken") > 0).withColumn("nth", F.explode(F.sequence(F.lit(1), copies)))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("nth") - 1) * F.col("size"))
+    pieces = F.regexp_extract_all(F.col(place), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     cut = F.array_join(F.slice(pieces, 1, words.cast("int")), "")
-    text = F.when(words == F.col("size"), F.col(text_col)).otherwise(cut)
-    own = lambda c: text if c == text_col else F.col(f"__own_{c}" if f"__own_{c}" in mixed.columns else c)
-    return one.select(*[own(c).alias(c) for c in docs.columns])
+    text = F.when(words == F.col("size"), F.col(place)).otherwise(cut)
+    number = [F.col("nth").alias(copy)] if copy else []
+    return one.select(*[(text if c == place else F.col(c)).alias(own.named(c)) for c in own.kept], *number)

@@ -57,7 +57,7 @@ def word_tokenizer() -> str:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(documents(spark, sf_dir), carry=["doc_id"])
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Exact dedup, mixing, sharding and packing on small tables, against plain versions."""
 
 import hashlib
+import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -37,6 +39,16 @@ def test_exact_dedup_with_hot_group(spark):
             assert (r["keep_id"], r["group_size"], r["kept"], r["h"]) == (max(ids), len(ids), i == max(ids), hashlib.sha256(t.encode()).hexdigest())
 
 
+@pytest.mark.parametrize("kind", ["smallint", "int", "decimal(20,2)", "string", "date", "double", "binary"])
+def test_exact_dedup_identifiers(spark, kind):
+    value = "date_add(DATE'2024-01-01', id::int)" if kind == "date" else "encode(id::string, 'UTF-8')" if kind == "binary" else f"id::{kind}"
+    df = spark.range(40).selectExpr(f"{value} AS doc_id", "concat('t', id % 7) AS text", "id")
+    rows = exact_dedup(df).collect()
+    least = {t: min(r["doc_id"] for r in rows if r["text"] == t) for t in {r["text"] for r in rows}}
+    assert len(rows) == 40 and all(r["keep_id"] == least[r["text"]] and r["kept"] == (r["doc_id"] == r["keep_id"]) for r in rows)
+    assert {r["doc_id"] if kind != "binary" else bytes(r["doc_id"]) for r in unique_documents(df).collect()} == {v if kind != "binary" else bytes(v) for v in least.values()}
+
+
 def test_exact_dedup_odd(odd, empty):
     rows = exact_dedup(odd.drop("kept", "size")).collect()
     assert len(rows) == odd.count()
@@ -102,16 +114,24 @@ def test_matrix_has_exact_margins_and_fair_means():
     rows, cells = [50, 0, 31, 19], [25, 25, 50]
     total = np.zeros((4, 3))
     for seed in range(300):
-        m = sharding.communication_matrix(rows, cells, seed)
+        m = np.array(list(sharding.draw_rows(iter(rows), cells, seed)))
         assert m.sum(axis=1).tolist() == rows and m.sum(axis=0).tolist() == cells
         total += m
     assert np.abs(total / 300 - np.outer(rows, cells) / 100).max() < 0.6
 
 
-def test_large_totals_are_drawn_too():
+def test_large_totals_are_drawn_too(monkeypatch):
     rng = np.random.default_rng(0)
     draws = [sharding._hypergeometric(rng, 3 * 10**9, 10**9, 1000) for _ in range(300)]
     assert abs(np.mean(draws) - 750) < 3 and 8 < np.std(draws) < 20
+    small = Counter(sharding._hypergeometric(rng, 3, 5, 4) for _ in range(20_000))
+    chance = {k: math.comb(3, k) * math.comb(5, 4 - k) / math.comb(8, 4) for k in range(4)}
+    assert all(abs(small[k] / 20_000 - c) < 0.015 for k, c in chance.items()) and sum(small.values()) == 20_000
+    monkeypatch.setattr(sharding, "MOST_DRAWN", 0)
+    m = np.array(list(sharding.draw_rows(iter([40, 0, 60]), [34, 33, 33], 5)))
+    assert m.sum(axis=1).tolist() == [40, 0, 60] and m.sum(axis=0).tolist() == [34, 33, 33]
+    with pytest.raises(ValueError):
+        list(sharding.draw_rows(iter([2]), [1], 0))
 
 
 def check_shards(rows, n):
@@ -125,7 +145,7 @@ def check_shards(rows, n):
 
 def test_shards(spark, odd, empty):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text")).repartition(6)
-    got = sharding.shuffle_into_shards(df, 24, cell_rows=50)
+    got = sharding.shuffle_into_shards(df, 24, cell_bytes=500)
     rows = got.collect()
     check_shards(rows, 24)
     assert sorted(r["doc_id"] for r in rows) == list(range(5000))
@@ -141,7 +161,22 @@ def test_shards(spark, odd, empty):
 def test_shard_query(spark):
     rows = op5_shard(spark, SF).collect()
     check_shards(rows, 24)
-    assert len({r["doc_id"] for r in rows}) == 200
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sorted(r["doc_id"] for r in rows) == sorted(text)
+    for r in rows:
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(text[r["doc_id"]]) + 8, zlib.crc32(text[r["doc_id"]]), "rows", None)
+
+
+def test_shuffle_is_uniform(spark):
+    """Over many seeds each row comes to each shard about equally often, and rows of one partition are not kept together."""
+    df = spark.range(24).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).repartition(3).cache()
+    seen, together = np.zeros((24, 3)), 0
+    for seed in range(12):
+        shard = {r["doc_id"]: r["shard"] for r in sharding.shuffle_into_shards(df, 3, seed).collect()}
+        together += shard[0] == shard[1]
+        for i, s in shard.items():
+            seen[i, s] += 1
+    assert np.abs(seen / 12 - 1 / 3).max() < 0.6 and together <= 9
 
 
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=30))
