@@ -13,12 +13,15 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findling.llm.common import Columns
+from findling.storage import written
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules are broadcast up to this number; beyond it the join shuffles by token.
-MAX_BROADCAST_RULES = 50_000
+#: Tasks that share the URLs of a token.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -80,50 +83,51 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", d
     named in ``rule``; else a fitting pattern rule decides and is named in ``pattern``
     (blocking first, then by text); else ``default`` holds. Null, empty and malformed
     URLs have empty host and path and get ``default``. Repeated rows and URLs get the same
-    verdict; a URL is judged once however many rows hold it. An empty table or rule list
-    works. Columns whose names clash with the added ones are replaced.
+    verdict; a URL is judged once however many rows hold it, and URLs of any length are read whole. An empty table or
+    rule list works. Columns may have any names; those called like the added ones, in any case, are replaced.
+
+    Rules are joined by token; Spark broadcasts them if their written table is below its bound. Beyond it, rules and
+    URLs are dealt by token and a hash of the URL, with each rule once for each of SALTS values, so a frequent token, or
+    none, which rules without literal tokens have, meets its URLs in many tasks.
     """
     spark = pages.sparkSession
-    added = ["host", "path", "rule", "verdict", "pattern"]
-    base = pages.drop(*[c for c in added if c in pages.columns])
-    host, path = host_and_path(F.col(url_col))
-    urls = pages.select(F.col(url_col).alias("__url")).filter(F.col("__url").isNotNull()).distinct()
-    host_u, path_u = host_and_path(F.col("__url"))
-    urls = urls.select("__url", F.concat(host_u, path_u).alias("__target"))
+    own = Columns(pages, ("host", "path", "rule", "verdict", "pattern"))
+    url = F.col(own.at(url_col))
+    host, path = host_and_path(url)
+    urls = own.table.select(url.alias("url")).filter(F.col("url").isNotNull()).distinct()
+    host_u, path_u = host_and_path(F.col("url"))
+    urls = urls.select("url", F.concat(host_u, path_u).alias("target"))
 
     listed = sorted(set(rules), key=lambda r: (r.kind, r.text, r.action))
     known = sorted({t for r in listed for t in r.tokens})
-    tokens = F.array_distinct(F.regexp_extract_all(F.col("__target"), F.lit("[A-Za-z0-9]+"), F.lit(0)))
-    seen = urls.select("__url", "__target", F.explode(F.array_append(tokens, F.lit("")).alias("__t")).alias("__token"))
+    tokens = F.array_distinct(F.regexp_extract_all(F.col("target"), F.lit("[A-Za-z0-9]+"), F.lit(0)))
+    salt = F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int").alias("salt")
+    seen = urls.select("url", "target", salt, F.explode(F.array_append(tokens, F.lit(""))).alias("token"))
     counts: dict[str, int] = {}
     if known:
-        vocabulary = _table(spark, [(t,) for t in known], "__token string")
         # One count for each token of the rules, so the driver gets what the rule list bounds.
-        counts = {r["__token"]: r["n"] for r in seen.join(_small(vocabulary, len(known)), "__token").groupBy("__token").agg(F.count("*").alias("n")).collect()}
+        vocabulary = _listed(spark, [(t,) for t in known], "token string", "url-tokens")
+        counts = {r["token"]: r["n"] for r in seen.join(vocabulary, ["token", "salt"]).groupBy("token").agg(F.count("*").alias("n")).collect()}
     index = [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)) if r.tokens else "", r.regex, r.kind, r.text, r.action) for r in listed]
-    index = _table(spark, index, "__token string, __regex string, __kind string, __rule string, __action string")
-    hits = seen.join(_small(index, len(listed)), "__token").filter(F.expr("__target RLIKE __regex"))
-    order = F.struct(F.length("__rule").alias("n"), (F.col("__action") == "block").alias("b"), F.col("__rule").alias("r"), F.col("__action").alias("a"))
-    fallback = F.struct((F.col("__action") != "block").alias("b"), F.col("__rule").alias("r"), F.col("__action").alias("a"))
-    judged = hits.groupBy("__url").agg(
-        F.max(F.when(F.col("__kind") == "site", order)).alias("__site"),
-        F.min(F.when(F.col("__kind") == "pattern", fallback)).alias("__pattern"),
+    index = _listed(spark, index, "token string, regex string, kind string, rule string, action string", "url-rules")
+    hits = seen.join(index, ["token", "salt"]).filter(F.expr("target RLIKE regex"))
+    order = F.struct(F.length("rule").alias("n"), (F.col("action") == "block").alias("b"), F.col("rule").alias("r"), F.col("action").alias("a"))
+    fallback = F.struct((F.col("action") != "block").alias("b"), F.col("rule").alias("r"), F.col("action").alias("a"))
+    judged = hits.groupBy("url").agg(
+        F.max(F.when(F.col("kind") == "site", order)).alias("site"),
+        F.min(F.when(F.col("kind") == "pattern", fallback)).alias("block"),
     )
-    joined = base.join(judged, base[url_col] == judged["__url"], "left")
+    joined = own.table.join(judged, url == F.col("url"), "left")
     return joined.select(
-        *[base[c] for c in base.columns],
+        *own.own(),
         host.alias("host"),
         path.alias("path"),
-        F.col("__site.r").alias("rule"),
-        F.coalesce(F.col("__site.a"), F.col("__pattern.a"), F.lit(default)).alias("verdict"),
-        F.when(F.col("__site").isNull(), F.col("__pattern.r")).alias("pattern"),
+        F.col("site.r").alias("rule"),
+        F.coalesce(F.col("site.a"), F.col("block.a"), F.lit(default)).alias("verdict"),
+        F.when(F.col("site").isNull(), F.col("block.r")).alias("pattern"),
     )
 
 
-def _table(spark, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def _small(df: DataFrame, n: int) -> DataFrame:
-    """Broadcast what the rule list bounds; a list beyond the bound is joined by a shuffle."""
-    return F.broadcast(df) if n <= MAX_BROADCAST_RULES else df
+def _listed(spark: SparkSession, rows: list[tuple], schema: str, name: str) -> DataFrame:
+    """What the rule list bounds, written so that its size is known, once for each salt."""
+    return written(spark.createDataFrame(rows, schema), name).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
