@@ -23,10 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findling.llm.common import Columns
 from findling.session import ship
 
 #: Labelled documents of each quality that the field is trained on.
 SAMPLE = 1500
+#: Characters and lines of a text beyond which the training doesn't draw it.
+SAMPLE_CHARS, SAMPLE_LINES = 20_000, 400
+#: Share of words in content lines from which a document stays.
+LEAST_CONTENT = 0.5
 #: Words whose hash a worker remembers.
 MEMO = 500_000
 #: Documents of the sample that must hold a short line for it to be boilerplate, and its most words.
@@ -36,7 +41,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 FEATURES = (
     "bias", "some symbols", "symbols", "many symbols", "bars", "marks", "capitals", "digits", "long words", "short words",
-    "one word", "few words", "many words", "no stop", "repeated", "notice", "link", "first", "last",
+    "one word", "few words", "many words", "no stop", "repeated", "notice", "link",
 )
 _NOTICE = re.compile(r"licen[sc]e|copyright|rights reserved|cookie|subscribe|click here|terms of|privacy", re.I)
 _LINK = re.compile(r"https?://|www\.", re.I)
@@ -87,13 +92,11 @@ def line_features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         per = (chars - n + 1) / n
         rows.append((
             1, 0 < symbols <= 0.03, 0.03 < symbols <= 0.12, symbols > 0.12, 4 * body.count("|") > n, 4 * body.count("!") > n, body.isupper(), 5 * len(_DIGIT.findall(body)) > chars, per > 14, per < 3,
-            n == 1, n < 5, n > 25, body[-1] not in ".!?:;\"')»”", body in seen, bool(_NOTICE.search(body)), bool(_LINK.search(body)), 0, 0,
+            n == 1, n < 5, n > 25, body[-1] not in ".!?:;\"')»”", body in seen, bool(_NOTICE.search(body)), bool(_LINK.search(body)),
         ))
         words.append(n)
         seen.add(body)
     x = np.array(rows, dtype=np.float64).reshape(len(rows), len(FEATURES))
-    if len(rows) > 1:
-        x[0, -2] = x[-1, -1] = 1
     return x, np.array(words, dtype=np.int64)
 
 
@@ -157,17 +160,25 @@ def train_line_field(texts: list[str], good: list[bool], rounds: int = 80, l2: f
     return LineField(emit, move, start)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, bool]]:
-    """At most ``per_class`` texts of each quality, those with the smallest hash of the identifier."""
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", most_chars: int = SAMPLE_CHARS, most_lines: int = SAMPLE_LINES
+) -> list[tuple[str, bool]]:
+    """At most ``per_class`` texts of each quality, those with the smallest hash of the identifier.
+
+    Only texts of at most ``most_chars`` characters and ``most_lines`` lines are drawn, so the sample and the training
+    are bounded in bytes and steps; texts of all lengths are judged. Of several rows of an identifier the least text is
+    taken, null counts as empty, so reruns agree. Identifiers without a text, and null ones, give nothing.
+    """
+    known = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+    known = known.filter((F.length("t") <= most_chars) & (F.length("t") - F.length(F.replace("t", F.lit("\n"))) < most_lines))
     picked = None
     for quality in (0, 1):
-        part = labels.filter(F.col("quality") == quality).select(F.col(id_col).alias("__id"), F.lit(quality).alias("__quality")).distinct()
-        part = part.orderBy(F.xxhash64("__id"), "__id").limit(per_class)
+        part = labels.filter(F.col("quality") == quality).select(F.col(f"`{id_col}`").alias("id"), F.lit(quality).alias("quality")).distinct()
+        part = part.join(known.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     # At most 2 x per_class identifiers, so broadcasting them is bounded.
-    rows = docs.join(F.broadcast(picked), docs[id_col] == picked["__id"]).select("__id", "__quality", F.coalesce(text_col, F.lit("")).alias("t"))
-    rows = rows.dropDuplicates(["__id"])
-    return [(r["t"], r["__quality"] == 1) for r in rows.collect()]
+    rows = known.join(F.broadcast(picked), "id").groupBy("id", "quality").agg(F.min("t").alias("t")).orderBy("id", "quality")
+    return [(r["t"], r["quality"] == 1) for r in rows.collect()]
 
 
 class _WordHash(dict):
@@ -225,36 +236,42 @@ def measure(text: str | None, field: LineField) -> tuple[int, int, int, int, int
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_words", "content_lines")
 
 
-def quality_rules(docs: DataFrame, field: LineField, text_col: str = "text", least_words: int = 20, most_repeated: int = 30, least_content: float = 0.5) -> DataFrame:
-    """Every row of ``docs`` with its counts, ``base_failed``, ``content_share`` and ``kept``.
-
-    ``base_failed``: fewer than ``least_words`` words, or over ``most_repeated`` per cent of
-    them in repeated windows. ``kept``: not failed, and at least ``least_content`` of the
-    words stand in content lines. Null and empty texts have no words and fail. Whole texts
-    are read, however long. Nothing is compared between rows, so repeated rows and null
-    identifiers are as any other. Columns whose names clash with the added ones are replaced.
-    """
-    ship(docs.sparkSession)
-    added = (*_NAMES, "base_failed", "content_share", "kept")
-    carried = [c for c in docs.columns if c not in added]
-    source = docs.select(*carried, F.col(text_col).alias("__text"))
-    schema = source.schema[:-1]
+def _counted(own: Columns, field: LineField, text_col: str, least_words: int, most_repeated: int, least_content: float) -> DataFrame:
+    """The table of ``own`` with counts, ``base_failed``, ``content_share`` and ``kept``."""
+    ship(own.table.sparkSession)
+    carried = own.table.columns
+    text = carried.index(own.at(text_col))
+    schema = own.table.schema[:]
     for name in _NAMES:
         schema = schema.add(name, "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([measure(t.as_py(), field) for t in batch.column(len(carried))], dtype=np.int64).reshape(-1, len(_NAMES))
-            yield pa.record_batch([*batch.columns[:-1], *[pa.array(got[:, i]) for i in range(len(_NAMES))]], names=[*carried, *_NAMES])
+            got = np.array([measure(t.as_py(), field) for t in batch.column(text)], dtype=np.int64).reshape(-1, len(_NAMES))
+            yield pa.record_batch([*batch.columns, *[pa.array(got[:, i]) for i in range(len(_NAMES))]], names=[*carried, *_NAMES])
 
-    out = source.mapInArrow(count, schema)
+    out = own.table.mapInArrow(count, schema)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     share = F.when(F.col("n_words") > 0, F.col("content_words") / F.greatest("n_words", F.lit(1))).otherwise(F.lit(0.0))
     return out.withColumns({"base_failed": failed, "content_share": share}).withColumn("kept", ~failed & (F.col("content_share") >= least_content))
 
 
-def clean_documents(docs: DataFrame, field: LineField, **options) -> DataFrame:
+def quality_rules(docs: DataFrame, field: LineField, text_col: str = "text", least_words: int = 20, most_repeated: int = 30, least_content: float = LEAST_CONTENT) -> DataFrame:
+    """Every row of ``docs`` with its counts, ``base_failed``, ``content_share`` and ``kept``.
+
+    ``base_failed``: fewer than ``least_words`` words, or over ``most_repeated`` per cent of
+    them in repeated windows. ``kept``: not failed, and at least ``least_content`` of the
+    words stand in content lines. Null and empty texts have no words and fail. Whole texts
+    are read, however long. Nothing is compared between rows, so repeated rows and null
+    identifiers are as any other. An empty table gives an empty result. Columns may have any names; those called like
+    the added ones, in any case, are replaced.
+    """
+    added = (*_NAMES, "base_failed", "content_share", "kept")
+    own = Columns(docs, added)
+    return _counted(own, field, text_col, least_words, most_repeated, least_content).select(*own.own(), *added)
+
+
+def clean_documents(docs: DataFrame, field: LineField, text_col: str = "text", least_words: int = 20, most_repeated: int = 30, least_content: float = LEAST_CONTENT) -> DataFrame:
     """The rows that :func:`quality_rules` keeps, with the columns of ``docs``."""
-    own = {f"__own_{c}": F.col(c) for c in docs.columns if c in (*_NAMES, "base_failed", "content_share", "kept")}
-    out = quality_rules(docs.withColumns(own) if own else docs, field, **options).filter("kept")
-    return out.select(*[F.col(f"__own_{c}" if f"__own_{c}" in own else c).alias(c) for c in docs.columns])
+    own = Columns(docs)
+    return _counted(own, field, text_col, least_words, most_repeated, least_content).filter("kept").select(*own.all())
