@@ -6,8 +6,9 @@ size is set by parameters), every document's whole text is folded into the same
 and blocks of documents are multiplied with all labelled vectors, so the similarities are
 exact. The nearest labelled texts vote, weighted by similarity.
 
-Terms are hashed parts of words together with shapes of words and lines, for text of
-low quality differs in shape more than in vocabulary.
+Terms are whole words without their marks, the shapes of words (letters by case, digits, marks; longer runs cut to
+two), words that repeat the one before and lines that repeat an earlier one. All are hashed into one vocabulary and
+weighted by the same rule; the decomposition decides what counts.
 """
 
 from __future__ import annotations
@@ -24,29 +25,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findling.llm.common import Columns
 from findling.session import ship
 
-#: Labelled texts of each label in the sample, columns of the space, neighbours that vote.
-SAMPLE, DIMENSIONS, NEIGHBOURS = 2000, 48, 15
-#: Hashed terms of words; then the terms of shape.
-BUCKETS = 1 << 12
-SHAPES = 64
+#: Labelled texts of each label in the sample and their most characters, columns of the space, neighbours that vote.
+SAMPLE, SAMPLE_CHARS, DIMENSIONS, NEIGHBOURS = 2000, 50_000, 48, 15
+#: Hashed terms; how sharply votes fall with the distance.
+BUCKETS, SHARPNESS = 1 << 13, 16
 MEMO = 300_000
-_SHAPE = (
-    re.compile(r"[#*$%&|<>]"), re.compile(r"^[^a-zà-ÿ]*[A-ZÀ-Þ]{2}[^a-zà-ÿ]*$"), re.compile(r"^\|+$"), re.compile(r"!"), re.compile(r"[0-9]"),
-    re.compile(r"[.?!]$"), re.compile(r"[,;:]$"), re.compile(r"^[A-ZÀ-Þ][a-zà-ÿ]"), re.compile(r"^.{1,2}$"), re.compile(r"^.{15,}$"),
-)
+_MARKS = ".,;:!?\"'()[]|#*$%&<>"
+
+
+def _bucket(term: str) -> int:
+    return xxhash.xxh3_64_intdigest(term.encode()) % BUCKETS
+
+
+def shape(word: str) -> str:
+    """Lower-case letters as a, others as A, digits as 9, marks as they are; runs of more than two as two."""
+    out = ""
+    for c in word:
+        kind = "9" if c.isdigit() else ("a" if c.islower() else "A") if c.isalpha() else c
+        if not out.endswith(2 * kind):
+            out += kind
+    return out
 
 
 class _Terms(dict):
-    """Word -> (hashed term, bits of its shape)."""
+    """Word -> buckets of the word and of its shape."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
         if len(self) > MEMO:
             self.clear()
-        core = word.strip(".,;:!?\"'()[]|#*$%&<>").lower()
-        bits = sum(1 << i for i, s in enumerate(_SHAPE) if s.search(word))
-        self[word] = out = (xxhash.xxh3_64_intdigest(core[:4].encode()) % BUCKETS, bits)
+        self[word] = out = (_bucket("word " + word.strip(_MARKS).lower()), _bucket("shape " + shape(word)))
         return out
 
 
@@ -55,29 +65,19 @@ _SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def terms(text: str | None) -> dict[int, float]:
-    """Weights of the terms of a whole text."""
-    counted = Counter(_SPLIT.findall(text or ""))
-    n = sum(counted.values())
-    if not n:
-        return {BUCKETS + SHAPES - 1: 1.0}
+    """Weights of the terms of a whole text, of length 1."""
+    words = _SPLIT.findall(text or "")
     out: Counter[int] = Counter()
-    shape = [0] * len(_SHAPE)
-    for word, times in counted.items():
-        term, bits = _TERMS[word]
-        out[term] += times
-        for i in range(len(_SHAPE)):
-            if bits >> i & 1:
-                shape[i] += times
-    weights = {t: 1 + math.log(c) for t, c in out.items()}
-    norm = math.sqrt(sum(w * w for w in weights.values()))
-    # Half of the weight is vocabulary, half is shape: each share of words falls into a step.
-    weights = {t: 0.5 * w / norm for t, w in weights.items()}
+    for word, times in Counter(words).items():
+        for term in _TERMS[word]:
+            out[term] += times
     lines = [s for s in (text or "").split("\n") if s.strip()]
-    shares = [s / n for s in shape] + [1 - len(counted) / n, 1 - len(set(lines)) / max(1, len(lines)), max(counted.values()) / n]
-    for i, s in enumerate(shares):
-        step = 0 if s < 0.005 else 1 if s < 0.05 else 2 if s < 0.25 else 3
-        weights[BUCKETS + 4 * i + step] = 1.0 if step > 1 else 0.3
-    return weights
+    for name, times in (("word again", sum(map(str.__eq__, words, words[1:]))), ("line again", len(lines) - len(set(lines))), ("nothing", int(not words))):
+        if times:
+            out[_bucket(name)] += times
+    weights = {t: 1 + math.log(n) for t, n in out.items()}
+    norm = math.sqrt(sum(w * w for w in weights.values()))
+    return {t: w / norm for t, w in weights.items()}
 
 
 @dataclass(frozen=True)
@@ -100,16 +100,17 @@ class NeighbourModel:
         return _unit(out)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Chance of label 1 by weighted votes; balanced by how often each label was sampled."""
+        """Chance of label 1 by weighted votes, if both labels were equally frequent: votes count by how rare their label is in the sample."""
         if not len(self.labels):
             return np.full(len(texts), self.prior)
         near = self.embed(texts) @ self.vectors.T
         k = min(self.neighbours, len(self.labels))
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        # Votes count by similarity, sharply, so that close neighbours outweigh far ones.
-        weight = np.exp(12 * (np.take_along_axis(near, top, axis=1).astype(np.float64) - 1))
+        # Votes count by similarity, beside that of the nearest.
+        likeness = np.take_along_axis(near, top, axis=1).astype(np.float64)
+        weight = np.exp(SHARPNESS * (likeness - likeness.max(axis=1, keepdims=True)))
         vote = self.labels[top]
-        share = [self.prior / max(1e-9, self.labels.mean()), (1 - self.prior) / max(1e-9, 1 - self.labels.mean())]
+        share = [0.5 / max(1e-9, self.labels.mean()), 0.5 / max(1e-9, 1 - self.labels.mean())]
         good, bad = (weight * vote).sum(axis=1) * share[0], (weight * (1 - vote)).sum(axis=1) * share[1]
         ground = 1e-3
         return (good + ground * self.prior) / (good + bad + ground)
@@ -122,7 +123,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def fit_neighbours(texts: list[str], labels: list[int], prior: float, dimensions: int = DIMENSIONS) -> NeighbourModel:
     """Latent-semantic space of the sample, by a randomised decomposition with a fixed start."""
-    size = BUCKETS + SHAPES
+    size = BUCKETS
     if not texts:
         return NeighbourModel(np.ones(size, np.float32), np.zeros((size, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior)
     x = np.zeros((len(texts), size), np.float32)
@@ -140,18 +141,24 @@ def fit_neighbours(texts: list[str], labels: list[int], prior: float, dimensions
     return NeighbourModel(rarity, fold, _unit(x @ fold), np.array(labels, np.float64), prior)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, usable, per_class: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"):
-    """Texts and labels of at most ``per_class`` usable rows of each label, by a hash of the identifier; the share of label 1."""
-    usable_labels = labels.filter(usable & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).distinct()
-    prior = usable_labels.agg(F.avg("__y")).first()[0]
+def training_sample(
+    docs: DataFrame, labels: DataFrame, usable, per_class: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_chars: int = SAMPLE_CHARS
+) -> tuple[list[str], list[int], float]:
+    """Texts and labels of at most ``per_class`` usable rows of each label, by a hash of the identifier; the share of label 1.
+
+    Only texts of at most ``most_chars`` characters are drawn, so the sample is bounded in bytes; texts of all lengths
+    are scored. Of several rows of an identifier the least text is taken, null counts as empty.
+    """
+    known = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).filter(F.length("t") <= most_chars)
+    usable_labels = labels.filter(usable & F.col(label_col).isin(0, 1)).select(F.col(f"`{id_col}`").alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
+    prior = usable_labels.agg(F.avg("y")).first()[0]
     picked = None
     for y in (0, 1):
-        part = usable_labels.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
+        part = usable_labels.filter(F.col("y") == y).join(known.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     # At most 2 x per_class identifiers, so broadcasting them is bounded.
-    rows = docs.join(F.broadcast(picked), docs[id_col] == picked["__id"]).select("__id", "__y", F.coalesce(text_col, F.lit("")).alias("t")).dropDuplicates(["__id"])
-    rows = sorted(rows.collect())
-    return [r["t"] for r in rows], [r["__y"] for r in rows], 0.5 if prior is None else float(prior)
+    rows = known.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("t").alias("t")).orderBy("id", "y").collect()
+    return [r["t"] for r in rows], [r["y"] for r in rows], 0.5 if prior is None else float(prior)
 
 
 def score_quality(docs: DataFrame, model: NeighbourModel, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -159,21 +166,23 @@ def score_quality(docs: DataFrame, model: NeighbourModel, text_col: str = "text"
 
     Only the text counts. Null, empty and wordless texts share one vector and are scored
     like any other; without labelled texts every score is the prior. Whole texts are read.
-    Rows are independent, so repeats and null identifiers don't matter. An empty table
-    gives an empty result; a column called ``name`` is replaced.
+    Rows are independent, so repeats and null identifiers don't matter. Of labelled texts that are equally near at the
+    last place that votes, the partition of the similarities picks; equal texts get equal votes up to rounding. An empty table
+    gives an empty result. Columns may have any names; one called ``name``, in any case, is replaced.
     """
     ship(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    # (2 x SAMPLE) x DIMENSIONS and (BUCKETS + SHAPES) x DIMENSIONS numbers, whatever the input.
+    # (2 x SAMPLE) x DIMENSIONS and BUCKETS x DIMENSIONS numbers, whatever the input.
     held = sc.broadcast(model)
-    kept = [c for c in docs.columns if c != name]
-    source = docs.select(*kept, F.col(text_col).alias("__text"))
+    own = Columns(docs, [name])
+    carried = own.kept
+    source = own.table.select(*carried, F.col(own.at(text_col)).alias("text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                scores = held.value.score(part.column(len(kept)).to_pylist())
-                yield pa.record_batch([*part.columns[:-1], pa.array(scores, pa.float64())], names=[*kept, name])
+                scores = held.value.score(part.column(len(carried)).to_pylist())
+                yield pa.record_batch([*part.columns[:-1], pa.array(scores, pa.float64())], names=[*carried, "score"])
 
-    return source.mapInArrow(vote, source.schema[:-1].add(name, "double"))
+    return source.mapInArrow(vote, source.schema[:-1].add("score", "double")).select(*own.own(), F.col("score").alias(name))

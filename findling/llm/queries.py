@@ -119,7 +119,7 @@ def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     texts, labels, prior = training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
     scored = score_quality(docs, fit_neighbours(texts, labels, prior))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
