@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from findling.llm.common import Columns
 from findling.session import ship
 from findling.storage import written
 
@@ -56,11 +57,12 @@ class _Memory:
 
 
 class _Ids:
-    """Ids of whole texts by one tokenizer, word by word.
+    """Ids of whole texts by one tokenizer, word by word where that gives the same.
 
-    The tokenizer drops white space and never merges across it, so the ids of a text are
-    those of its words in turn; words repeat, so most come from memory. Where it lowers
-    letters itself, ASCII letters are lowered first, and where it parts letters from
+    Where the tokenizer drops white space and never merges across it, the ids of a text are
+    those of its words in turn; words repeat, so most come from memory. A probe at load tells if it does: every pair of
+    kinds of characters around every kind of white space must give the ids of its parts. Other tokenizers get whole
+    texts. Where it lowers letters itself, ASCII letters are lowered first, and where it parts letters from
     marks, so are the marks at the end of a word: fewer different words remain. What is new goes
     through the tokenizer together, kept apart by one of its special tokens, which it
     cuts out before anything else. Tests compare with the ids of whole texts.
@@ -73,16 +75,30 @@ class _Ids:
         t = self.tokenizer = Tokenizer.from_file(path)
         self.words, self.parts = _Memory(), _Memory()
         self.special = {v.content.encode(): i for i, v in t.get_added_tokens_decoder().items()}
+        self.begins = {s[:1] for s in self.special}
         self.mark = next(iter(self.special), b"")
         self.lowers = t.normalizer is not None and t.normalizer.normalize_str("A") == "a"
         self.parts_marks = t.pre_tokenizer is not None and len(t.pre_tokenizer.pre_tokenize_str("ab,")) == 2
+        self.by_word = self._probe()
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _probe(self) -> bool:
+        sides = ("a", "Zz", "\u00e9", "e\u0301", "\u0301", "7", "'s", "'", ",", "-.", "\u4e2d", "\u0627", "\U0001d4b3", "\u00a0", "<", "_")
+        alone = {s: self._whole(s) for s in sides}
+        texts = [(a, space, b) for a in sides for b in sides for space in (" ", "  ", "\t", "\n", "\r\n", "\x0b\x0c")]
+        got = self.tokenizer.encode_batch_fast([" " + "".join(p) + "\n" for p in texts], add_special_tokens=False)
+        return all(g.ids == alone[a] + alone[b] for g, (a, _, b) in zip(got, texts, strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [np.array(g.ids, dtype="<u4").tobytes() for g in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lists, odd = [], False
         for text in texts:
             data = text.encode()
             low = data.lower() if self.lowers else data
-            if b"<" in data and any(s in low for s in self.special):
+            if any(c in low for c in self.begins) and any(s in low for s in self.special):
                 low, odd = data, True
             lists.append(low.split())
         self.words.turn()
@@ -124,7 +140,10 @@ class _Ids:
             self.parts.new[p] = np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-def _pieces(path: str, capacity: int, end_id: int, id_col: str, text_col: str):
+PIECE = ("start", "length", "doc_tokens", "ids")
+
+
+def _pieces(path: str, capacity: int, end_id: int, carried: list[str]):
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,11 +152,11 @@ def _pieces(path: str, capacity: int, end_id: int, id_col: str, text_col: str):
             row, start, length, total, ids, held = [], [], [], [], [], 0
 
             def flush():
-                keys = batch.column(0).take(pa.array(row, pa.int64()))  # noqa: B023
-                return pa.record_batch([keys, pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "start", "length", "doc_tokens", "ids"])  # noqa: B023
+                keys = batch.select(carried).take(pa.array(row, pa.int64())).columns  # noqa: B023
+                return pa.record_batch([*keys, pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], names=[*carried, *PIECE])  # noqa: B023
 
             for first in range(0, batch.num_rows, 64):
-                texts = [t or "" for t in batch.column(1).slice(first, 64).to_pylist()]
+                texts = [t or "" for t in batch.column(batch.num_columns - 1).slice(first, 64).to_pylist()]
                 for i, got in enumerate(encode(texts), first):
                     whole = got + tail
                     n = len(whole) // 4
@@ -157,17 +176,26 @@ def _pieces(path: str, capacity: int, end_id: int, id_col: str, text_col: str):
     return cut
 
 
-def tokenise_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenise_pieces(
+    docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
     """The token ids of each document and ``end_id``, cut into pieces of at most ``capacity``.
 
-    Returns ``id_col``, ``start`` (ids before the piece), ``length``, ``doc_tokens`` and
+    Returns ``id_col``, the columns of ``carry``, ``start`` (ids before the piece), ``length``, ``doc_tokens`` and
     ``ids`` (little-endian unsigned 32-bit). Null and empty texts have only ``end_id``. A
-    very long text gives full pieces and a rest; a null or repeated identifier is carried.
+    very long text gives full pieces and a rest; null and repeated identifiers and repeated rows are carried. An empty
+    table gives an empty result. Columns of ``docs`` may have any names; a carried one called like an added one, in any
+    case, is an error, for one of the two would be lost.
     """
     ship(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, start long, length long, doc_tokens long, ids binary"
-    return docs.select(id_col, text_col).mapInArrow(_pieces(tokenizer_path, capacity, end_id, id_col, text_col), schema)
+    own = Columns(docs)
+    carried = [own.at(c) for c in dict.fromkeys([id_col, *carry])]
+    if clash := {own.named(c).lower() for c in carried} & set(PIECE):
+        raise ValueError(f"rename the columns {sorted(clash)}, pieces have columns of these names")
+    source = own.table.select(*carried, F.col(own.at(text_col)).alias("text"))
+    schema = source.schema[:-1].add("start", "long").add("length", "long").add("doc_tokens", "long").add("ids", "binary")
+    pieces = source.mapInArrow(_pieces(tokenizer_path, capacity, end_id, carried), schema)
+    return pieces.select(*[F.col(c).alias(own.named(c)) for c in carried], *PIECE)
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -203,41 +231,45 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, length_col: str = "leng
     """``pieces`` with ``sequence_id`` and ``offset``: no sequence holds over ``capacity``.
 
     Offsets in a sequence are gapless from 0. Pieces of equal length are ranked by a hash
-    of ``order_cols``; pieces equal in them may change places. Other columns are carried.
+    of ``order_cols``; pieces equal in them may change places. Other columns are carried, nulls, repeated rows and any
+    names included; those called ``sequence_id`` or ``offset``, in any case, are replaced.
     A length that is null, below 1 or above ``capacity`` is an error. Empty in, empty out.
     """
     spark = pieces.sparkSession
-    held = written(pieces.drop("sequence_id", "offset"), "pieces")
-    kept = held.columns
+    own = Columns(pieces, ("sequence_id", "offset"))
+    length, order = own.at(length_col), [own.at(c) for c in order_cols]
+    held = written(own.table, "pieces")
     n = held.count()
     ranges = min(MAX_RANGES, max(1, math.ceil(n / RANGE_ROWS)))
-    keyed = held.withColumn("__key", F.xxhash64(F.lit(17), *order_cols)).withColumn("__range", F.pmod("__key", F.lit(ranges)).cast("int"))
-    cells = keyed.groupBy(length_col, "__range").agg(F.count("*").alias("__n"))
+    keyed = held.select(*dict.fromkeys([*own.kept, length, *order])).withColumn("key", F.xxhash64(F.lit(17), *order)).withColumn("range", F.pmod("key", F.lit(ranges)).cast("int"))
+    cells = keyed.groupBy(length, "range").agg(F.count("*").alias("n"))
     # At most `capacity` rows come to the driver, whatever the input.
-    histogram = {r[length_col]: r["n"] for r in cells.groupBy(length_col).agg(F.sum("__n").alias("n")).collect()}
+    histogram = {r[length]: r["n"] for r in cells.groupBy(length).agg(F.sum("n").alias("n")).collect()}
+    if None in histogram:
+        raise ValueError("a piece has no length")
     taken: dict[int, int] = defaultdict(int)
     sequence, lines = 0, []
     for lengths, count in pack_histogram(histogram, capacity):
         at = 0
-        for length in lengths:
-            lines.append((length, taken[length], taken[length] + count, sequence, at))
-            taken[length] += count
-            at += length
+        for one in lengths:
+            lines.append((one, taken[one], taken[one] + count, sequence, at))
+            taken[one] += count
+            at += one
         sequence += count
     by_length = defaultdict(list)
-    for length, *line in lines:
-        by_length[length].append(line)
+    for one, *line in lines:
+        by_length[one].append(line)
     slots = [(k, [x[1] for x in v], [x[0] for x in v], [x[2] for x in v], [x[3] for x in v]) for k, v in by_length.items()]
     # One row a length; the splits of patterns are bounded by the lengths too, not by the pieces.
-    slots = spark.createDataFrame(slots, f"`{length_col}` long, __ends array<long>, __begins array<long>, __bases array<long>, __offsets array<long>")
-    upto = Window.partitionBy(length_col).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(length_col, "__range", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(length_col, "__range").orderBy("__key", *order_cols)
-    ranked = keyed.withColumn("__in", F.row_number().over(inside) - 1).join(cells, [length_col, "__range"])
-    ranked = ranked.join(F.broadcast(slots), length_col).withColumn("__rank", F.col("__before") + F.col("__in"))
-    at = F.size(F.filter("__ends", lambda e: e <= F.col("__rank")))
+    slots = spark.createDataFrame(slots, f"{length} long, ends array<long>, begins array<long>, bases array<long>, offsets array<long>")
+    upto = Window.partitionBy(length).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(length, "range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(length, "range").orderBy("key", *order)
+    ranked = keyed.withColumn("nth", F.row_number().over(inside) - 1).join(cells, [length, "range"])
+    ranked = ranked.join(F.broadcast(slots), length).withColumn("rank", F.col("before") + F.col("nth"))
+    at = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
     return ranked.select(
-        *kept,
-        (F.get("__bases", at) + F.col("__rank") - F.get("__begins", at)).alias("sequence_id"),
-        F.get("__offsets", at).alias("offset"),
+        *own.own(),
+        (F.get("bases", at) + F.col("rank") - F.get("begins", at)).alias("sequence_id"),
+        F.get("offsets", at).alias("offset"),
     )

@@ -226,3 +226,43 @@ def test_packing_keeps_every_token(spark, odd, empty):
         assert at <= 256
     assert set(place) == set(range(len(place)))
     assert packing.pack_pieces(packing.tokenise_pieces(empty, word_tokenizer())).count() == 0
+
+
+def laid_out(rows, capacity):
+    """Sequences are numbered from 0 and gapless, and none holds too much."""
+    place = defaultdict(list)
+    for r in rows:
+        place[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in place.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    assert set(place) == set(range(len(place)))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_packing_odd(spark, odd, name):
+    """Null and repeated identifiers, repeated rows, carried columns of other names, and a tokenizer that keeps white space."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    assert packing._Ids(path).by_word == (name == "word_bpe_49k.json")
+    docs = odd.filter("doc_id IS NULL OR doc_id <> 7").withColumn("a.b", F.col("lang")).withColumn("OFFSET", F.lit("mine"))
+    pieces = packing.tokenise_pieces(docs, path, 64, carry=("a.b", "size", "OFFSET"))
+    assert pieces.columns == ["doc_id", "a.b", "size", "OFFSET", "start", "length", "doc_tokens", "ids"]
+    packed = packing.pack_pieces(pieces, 64)
+    assert packed.columns == [c for c in pieces.columns if c != "OFFSET"] + ["sequence_id", "offset"]
+    rows = packed.collect()
+    laid_out(rows, 64)
+    encode = Tokenizer.from_file(path).encode
+    want = []
+    for r in docs.collect():
+        ids = [*encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        want += [(r["doc_id"], r["a.b"], r["size"], a, len(ids), ids[a : a + 64]) for a in range(0, len(ids), 64)]
+    got = [(r["doc_id"], r["a.b"], r["size"], r["start"], r["doc_tokens"], np.frombuffer(r["ids"], "<u4").tolist()) for r in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    with pytest.raises(ValueError):
+        packing.tokenise_pieces(docs.withColumn("Start", F.lit(1)), path, carry=("Start",))
