@@ -24,7 +24,8 @@ class Columns:
     """A table's columns by place, so that helper columns clash with none, whatever its columns are called.
 
     ``table`` has the columns ``in_0``, ``in_1`` and so on. ``replaced`` are names that the result adds: columns of
-    these names, in any case, are left out of ``own``, which gives the others their names back.
+    these names, in any case, are left out of ``own``, which gives the others their names back. A select with ``own`` holds
+    plain columns beside it only: in a lambda, a name may be taken for one that the same select gives.
     """
 
     def __init__(self, docs: DataFrame, replaced: Iterable[str] = ()):

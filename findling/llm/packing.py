@@ -268,8 +268,5 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, length_col: str = "leng
     ranked = keyed.withColumn("nth", F.row_number().over(inside) - 1).join(cells, [length, "range"])
     ranked = ranked.join(F.broadcast(slots), length).withColumn("rank", F.col("before") + F.col("nth"))
     at = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
-    return ranked.select(
-        *own.own(),
-        (F.get("bases", at) + F.col("rank") - F.get("begins", at)).alias("sequence_id"),
-        F.get("offsets", at).alias("offset"),
-    )
+    placed = ranked.withColumn("at", at).withColumns({"sequence": F.get("bases", F.col("at")) + F.col("rank") - F.get("begins", F.col("at")), "begin": F.get("offsets", F.col("at"))})
+    return placed.select(*own.own(), F.col("sequence").alias("sequence_id"), F.col("begin").alias("offset"))

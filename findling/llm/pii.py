@@ -165,4 +165,4 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", name: str = "spa
 
     out = own.table.select(*own.kept, F.md5(text).alias("key"), base_spans(text).alias("base")).join(unseen, "key", "left")
     both = F.concat(F.col("base"), F.coalesce("more", F.array().cast(Span)))
-    return out.select(*own.own(), in_order(both, (*KINDS, FOUND)).alias(name))
+    return out.withColumn("all", in_order(both, (*KINDS, FOUND))).select(*own.own(), F.col("all").alias(name))

@@ -121,7 +121,8 @@ def find_secrets(docs: DataFrame, rules: Sequence[SecretRule], text_col: str = "
     kinds = [r.kind for r in rules]
     keyed = own.table.withColumn("text", F.coalesce(F.col(own.at(text_col)), F.lit("")))
     if not indexed:
-        return keyed.select(*own.own(), in_order(spans_of_kinds([_matches(r, F.col("text")) for r in rules]), kinds).alias(name))
+        found = in_order(spans_of_kinds([_matches(r, F.col("text")) for r in rules]), kinds)
+        return keyed.withColumn("found", found).select(*own.own(), F.col("found").alias(name))
 
     # Postings: the trigrams of the rules that each text holds. The lowered text is a column of
     # its own, for a projection that used it inside each test would lower it for each of them.
@@ -139,7 +140,7 @@ def find_secrets(docs: DataFrame, rules: Sequence[SecretRule], text_col: str = "
 
     out = keyed.join(candidates, "key", "left")
     found = [_matches(r, F.col("text")) if queries[r.kind] is None else F.when(F.array_contains("kinds", r.kind), _matches(r, F.col("text"))).otherwise(_none()) for r in rules]
-    return out.select(*own.own(), in_order(spans_of_kinds(found), kinds).alias(name))
+    return out.withColumn("found", in_order(spans_of_kinds(found), kinds)).select(*own.own(), F.col("found").alias(name))
 
 
 def _matches(rule: SecretRule, text: Column) -> Column:

@@ -1,5 +1,8 @@
 import pytest
 
+#: Names of the operators' own columns, in other cases too, and one with a dot.
+CLASHES = ("weight", "SIZE", "KEPT", "__text", "__key", "__k", "__base", "a.b", "SPANS", "Score", "shard", "Slot", "verdict", "HOST", "text_", "key", "n", "node", "comp", "row", "cls", "place", "N_WORDS", "target", "component_id", "keep_id", "in_0", "ids", "start", "base", "more", "found", "all", "ends", "rank", "at", "text0", "gaps", "words", "url", "token", "site", "hash", "prefix", "from", "bytes", "again", "cell", "before", "upto", "range", "tie", "ident")
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
