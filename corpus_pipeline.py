@@ -40,33 +40,51 @@ def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
 
 @_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the counts and whose lines are mostly content."""
+    """Documents that pass the counts and whose lines are mostly content.
+
+    Null, empty and wordless texts go; repeated rows and null identifiers are judged like any other.
+    """
     return clean_documents(docs, line_field(spark, docs, sf_dir))
 
 
 @_stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest identifier."""
+    """One document of each group of equal texts, the one with the largest identifier.
+
+    Null counts as empty; a null identifier stays only where its group has no other, and one of repeated rows stays.
+    """
     return unique_documents(docs, keep="largest")
 
 
 @_stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest identifier."""
+    """One document of each group of near duplicates, the one with the smallest identifier.
+
+    Texts without words stay; null identifiers come last, and one of several rows with the smallest identifier stays.
+    """
     return distinct_documents(docs)
 
 
 @_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies that bring every source to its target."""
-    return mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """The copies that bring every source to its target; the null source is one.
+
+    A text without words gives no copy. A copy that the budget cuts gets its own ``n_chars``, where there is that column.
+    """
+    mixed = mixed_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in mixed.columns else mixed
 
 
 @_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with their sequence and place, and a check sum of the ids."""
-    pieces = tokenise_pieces(docs, word_tokenizer(), SEQUENCE)
-    return pack_pieces(pieces, SEQUENCE).withColumn("ids_crc32", F.crc32("ids"))
+    """Pieces of token ids with their sequence and place, and a check sum of the ids.
+
+    ``copy_id`` tells apart the rows of ``docs``, which hold one document as often as it was mixed in, so each copy's
+    pieces can be put together again. Null and empty texts give the id that ends a document.
+    """
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("copy_id"))
+    pieces = tokenise_pieces(numbered, word_tokenizer(), SEQUENCE, carry=("copy_id",))
+    return pack_pieces(pieces, SEQUENCE, order_cols=("doc_id", "copy_id", "start")).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
