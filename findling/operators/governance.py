@@ -48,9 +48,20 @@ def cache_key(prompt: Column, ids: Column, query: Column) -> Column:
     return F.sha2(F.concat(prompt, F.array_join(F.array_sort(ids), ""), query), 256)
 
 
+#: Fixed value: the name space of domain names in RFC 4122.
+NAMESPACE_DNS = "6ba7b8109dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, namespace: str = NAMESPACE_DNS) -> Column:
+    """The UUID of version 5 of a name."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    variant = F.element_at(F.array(*[F.lit(c) for c in "89ab"]), F.pmod(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int"), F.lit(4)) + 1)
+    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+
+
 def entity_id(workspace: Column, name: Column) -> Column:
     """The same for the same name in whatever case."""
-    return F.sha2(F.concat_ws(":", workspace, F.lower(name)), 256)
+    return uuid5(F.concat_ws(":", workspace, F.lower(name)))
 
 
 def repeated_calls(calls: DataFrame, key_cols: Sequence[str], time_col: str, cooldown_s: int, order_col: str) -> DataFrame:

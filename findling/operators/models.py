@@ -100,3 +100,91 @@ def index_document(entities: DataFrame, relations: DataFrame, known: DataFrame,
     names = known.select("id", "name").unionByName(fresh.select("id", "name"))
     names = names.groupBy(F.lower("name").alias("k")).agg(F.min_by("name", "id").alias("name"), F.min("id").alias("id")).drop("k")
     return fresh, resolve_names(relations, names).withColumn("layer_id", F.lit(layer_id))
+
+
+#: Entities named in a prompt, descriptions of a summary without a model, and the most characters of both.
+PROMPTED, DESCRIBED, SUMMARY_CHARS, TITLE_CHARS = 20, 5, 500, 50
+
+
+def community_summaries(members: DataFrame, load: Callable[[], Callable[[str], dict]] | None = None) -> DataFrame:
+    """(community, title, summary, size) of members (community, id, name, type, description).
+
+    A model gets the first described members by identifier and answers ``title`` and ``summary``. Without one, or where it
+    fails, the summary is made of the first descriptions, or of the size and the most frequent type (of equally frequent
+    ones the first by name). Only so many members of a community as a prompt takes are ever gathered.
+    """
+    from pyspark.sql import Window
+
+    ship(members.sparkSession)
+    kinds = members.groupBy("community", "type").agg(F.count("*").alias("n"))
+    about = kinds.groupBy("community").agg(F.sum("n").alias("size"), F.min(F.struct(-F.col("n"), F.col("type"))).alias("k")).select("community", "size", F.col("k.type").alias("type"))
+    w = Window.partitionBy("community").orderBy("id")
+    first = members.filter(F.coalesce("description", F.lit("")) != "").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= PROMPTED)
+    told = first.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("place", "name", "type", "description"))).alias("told"))
+    plain = F.array_join(F.slice(F.transform("told", lambda x: x["description"]), 1, DESCRIBED), " ")
+    none = F.concat(F.lit("Community of "), F.col("size"), F.lit(" "), F.col("type"), F.lit(" entities"))
+    rows = about.join(told, "community", "left").select(
+        "community",
+        "size",
+        F.concat(F.col("type"), F.lit(" Community ("), F.col("size"), F.lit(" entities)")).alias("title"),
+        F.substring(F.coalesce(plain, none), 1, SUMMARY_CHARS).alias("summary"),
+        F.concat_ws("\n", none, F.array_join(F.transform("told", lambda x: F.concat(F.lit("- "), x["name"], F.lit(" ("), x["type"], F.lit("): "), x["description"])), "\n")).alias("prompt"),
+    )
+    if load is None:
+        return rows.select("community", "title", "summary", "size")
+    kind = members.schema["community"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+
+        def one(r) -> tuple:
+            try:
+                got = model(r.prompt)
+                return str(got["title"])[:TITLE_CHARS], str(got["summary"])[:SUMMARY_CHARS]
+            except Exception:  # noqa: BLE001  any failure of a model means the summary without one
+                return r.title, r.summary
+
+        for frame in frames:
+            made = [one(r) for r in frame.itertuples()]
+            yield pd.DataFrame({"community": frame["community"], "title": [t for t, _ in made], "summary": [t for _, t in made], "size": frame["size"]})
+
+    return rows.mapInPandas(run, f"community {kind}, title string, summary string, size long")
+
+
+def community_index(summaries: DataFrame, load: Callable[[], Embedder], workspace: str, layer: str = "default") -> DataFrame:
+    """Summaries as chunks of the store, one each, under ``community-`` and its name."""
+    named = summaries.select(
+        F.concat(F.lit("community-"), F.col("community").cast("string")).alias("id"),
+        F.concat_ws("\n", "title", "summary").alias("content"),
+        F.lit(workspace).alias("workspace_id"),
+        F.lit(layer).alias("layer_id"),
+        F.to_json(F.struct("size")).alias("metadata"),
+    )
+    return embed_texts(named, load)
+
+
+#: What a model calls a question, and where it goes.
+INTENT_ROUTES = {"factual": "VECTOR", "thematic": "GRAPH", "research": "RESEARCH", "agentic": "RESEARCH", "code_generation": "VECTOR"}
+OTHER_INTENT = "HYBRID"
+
+
+def intent_routes(questions: DataFrame, load: Callable[[], Callable[[str], str]], text_col: str = "text") -> DataFrame:
+    """``questions`` with ``route``: of the intent that a model names, or by keywords where the model fails."""
+    from findling.operators.text import route
+
+    ship(questions.sparkSession)
+    source = questions.withColumn("route", route(F.col(text_col)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+
+        def one(text, fallback: str) -> str:
+            try:
+                return INTENT_ROUTES.get(model(text).strip().lower(), OTHER_INTENT)
+            except Exception:  # noqa: BLE001  any failure of a model means the keywords
+                return fallback
+
+        for frame in frames:
+            yield frame.assign(route=[one(t, r) for t, r in zip(frame[text_col], frame["route"], strict=True)])
+
+    return source.mapInPandas(run, source.schema)

@@ -72,6 +72,18 @@ def recent(rows: DataFrame, by: Sequence[str], order_col: str, n: int) -> DataFr
     return rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).drop("__n")
 
 
+def first_texts(rows: DataFrame, by: str, order_col: str, text_col: str, n: int, most_chars: int, between: str = " ") -> DataFrame:
+    """``summary`` of each group: its ``n`` first texts that aren't empty, joined and cut; null for a group without any.
+
+    A ranking keeps ``n`` rows of a group, so no group is gathered whole.
+    """
+    w = Window.partitionBy(by).orderBy(order_col)
+    first = rows.filter(F.length(text_col) > 0).select(by, order_col, F.substring(text_col, 1, most_chars).alias("t")).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= n)
+    told = first.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("x"))
+    return rows.select(by).distinct().join(told, by, "left").select(by, F.substring(F.array_join(F.col("x.t"), between), 1, most_chars).alias("summary"))
+
+
+#: Fixed value: what stands where a text was cut.
 TRUNCATED = "\n\n--prompt truncated for brevity--\n\n"
 
 
@@ -111,9 +123,18 @@ def pack_history(pairs: list[tuple[str, str]], budget: int) -> list[tuple[int, s
 
 
 def budgeted_history(chats: DataFrame, budget: int, by: str, order_col: str, user_col: str, assistant_col: str) -> DataFrame:
-    """For each conversation the newest pairs within ``budget`` tokens, oldest first in ``place``."""
+    """For each conversation the newest pairs within ``budget`` tokens, oldest first in ``place``.
+
+    Beyond the three newest, a pair is looked at only while those before it are within the budget, so of a long
+    conversation no more than that comes into one call.
+    """
     ship(chats.sparkSession)
     kind = chats.schema[by].dataType.simpleString()
+    newest = Window.partitionBy(by).orderBy(F.col(order_col).desc())
+    tokens = F.floor(F.length(F.coalesce(user_col, F.lit(""))) / 4) + F.floor(F.length(F.coalesce(assistant_col, F.lit(""))) / 4)
+    chats = chats.select(by, order_col, user_col, assistant_col).withColumn("__nth", F.row_number().over(newest)).withColumn("__cost", F.when(F.col("__nth") > 3, tokens).otherwise(0))
+    before = F.coalesce(F.sum("__cost").over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chats = chats.withColumn("__before", before).filter((F.col("__nth") <= 3) | (F.col("__before") < budget))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order_col, ascending=False)

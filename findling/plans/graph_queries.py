@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from findling.operators import graph as op
 from findling.operators import tables
 from findling.plans.registry import query
-from findling.plans.tables import EDGES, ENTITIES, edges, entities
+from findling.plans.tables import UUID5, UUID5_DIGEST, EDGES, ENTITIES, edges, entities
 from findling.session import table
 
 _VISIBLE = "(SELECT id FROM ent WHERE layer_id IN ('default', 'public'))"
@@ -105,14 +105,7 @@ def g9_edges(spark: SparkSession, sf: str) -> DataFrame:
     return op.merge_entities(e, edges(spark, sf), merges)[1].select("id", "source_id", "target_id")
 
 
-@query("g10_stale_communities", "SELECT DISTINCT 'n' || s_nationkey AS community FROM supplier WHERE s_suppkey % 3 = 0 AND s_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 10 = 1)")
-def g10(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("n"), "s_nationkey").alias("community"))
-    stale = s.filter("s_suppkey % 3 = 0").select("community").distinct()
-    return stale.join(s.filter("s_suppkey % 10 = 1").select("community"), "community", "left_anti")
-
-
-@query("g12_entity_keys", f"SELECT id, sha256('ws:' || lower(name)) AS entity_key FROM {ENTITIES}")
+@query("g12_entity_keys", f"SELECT id, {UUID5} AS entity_key FROM (SELECT id, {UUID5_DIGEST.format("'ws:' || lower(name)")} AS s FROM {ENTITIES})")
 def g12(spark: SparkSession, sf: str) -> DataFrame:
     from findling.operators.governance import entity_id
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from findling.operators import models
 from findling.plans.registry import query
+from findling.plans.tables import UUID5, UUID5_DIGEST
 from findling.session import table
 
 
@@ -33,7 +34,7 @@ def a13(spark: SparkSession, sf: str) -> DataFrame:
     return models.map_reduce(c, "conv_id", "text", "o", count, 3)
 
 
-@query("g11_index_document", "SELECT sha256('default:' || lower(lang)) AS source_id, count(*) AS n FROM documents GROUP BY ALL")
+@query("g11_index_document", f"SELECT {UUID5} AS source_id, count(*) AS n FROM (SELECT {UUID5_DIGEST.format("'default:' || lower(lang)")} AS s FROM documents) GROUP BY ALL")
 def g11(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     found = d.select(F.upper("lang").alias("name"), F.lit("LANG").alias("type"), F.lit("").alias("description"), "doc_id")

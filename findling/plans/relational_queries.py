@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from findling.operators import access, governance, tables as op
+from findling.operators import access, governance, jobs, tables as op
 from findling.operators import text as txt
 from findling.plans.registry import query
-from findling.plans.tables import CHUNKS, chunks
+from findling.plans.tables import CHUNKS, UUID5, UUID5_DIGEST, chunks
 from findling.session import table
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -118,12 +118,6 @@ def p16(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- chunk table
-@query("s2_s3_append_defaults", f"SELECT id, coalesce(CASE WHEN doc_id % 5 <> 0 THEN layer_id END, 'default') AS layer_id, coalesce(CASE WHEN doc_id % 7 <> 0 THEN visibility END, 'private') AS visibility FROM {CHUNKS}")
-def s3(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunks(spark, sf)
-    return c.select("id", F.coalesce(F.when(F.col("doc_id") % 5 != 0, F.col("layer_id")), F.lit("default")).alias("layer_id"), F.coalesce(F.when(F.col("doc_id") % 7 != 0, F.col("visibility")), F.lit("private")).alias("visibility"))
-
-
 @query("s4_point_get", f"SELECT id, content FROM {CHUNKS} WHERE id = 'd3-0'")
 def s4(spark: SparkSession, sf: str) -> DataFrame:
     c = chunks(spark, sf)
@@ -140,25 +134,6 @@ def s6(spark: SparkSession, sf: str) -> DataFrame:
     return op.page_with_more(chunks(spark, sf).select("id"), ["id"], 3, 10)
 
 
-@query("s7_update_chunks", f"SELECT id, CASE WHEN doc_id % 10 = 0 THEN 'new ' || id ELSE content END AS content, layer_id FROM {CHUNKS}")
-def s7(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunks(spark, sf)
-    patch = c.filter("doc_id % 10 = 0").select("id", F.concat(F.lit("new "), "id").alias("content"))
-    return op.patched(c, patch, "id", ["content"]).select("id", "content", "layer_id")
-
-
-@query("s8_delete_chunk", f"SELECT id FROM {CHUNKS} WHERE chunk_no <> 0")
-def s8(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunks(spark, sf)
-    return op.without(c, c.filter("chunk_no = 0"), "id").select("id")
-
-
-@query("s9_delete_document", f"SELECT document_id, count(*) AS removed FROM {CHUNKS} WHERE doc_id % 4 = 1 GROUP BY document_id")
-def s9(spark: SparkSession, sf: str) -> DataFrame:
-    gone = T(spark, sf, "documents").filter("doc_id % 4 = 1").select(F.concat(F.lit("doc-"), "doc_id").alias("document_id"))
-    return chunks(spark, sf).join(gone, "document_id", "left_semi").groupBy("document_id").agg(F.count("*").alias("removed"))
-
-
 @query("s12_migrate_schema", f"SELECT id, content, coalesce(NULL, 'default') AS layer_id, 'private' AS visibility, 'v2' AS version FROM {CHUNKS}")
 def s12(spark: SparkSession, sf: str) -> DataFrame:
     from findling.sources.store import migrate_v1
@@ -202,14 +177,6 @@ def s33(spark: SparkSession, sf: str) -> DataFrame:
     return keyed.join(cached, (F.col("key") == F.col("k")) & (F.col("page_id") == F.col("i")), "left_anti")
 
 
-@query("s36_add_documents", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'registered' WHEN length(trim(text)) = 0 THEN 'failed' ELSE 'embedded' END AS status FROM documents")
-def s36(spark: SparkSession, sf: str) -> DataFrame:
-    d = T(spark, sf, "documents").withColumn("path", F.when(F.col("doc_id") % 6 == 0, "archive://x").otherwise("file://x"))
-    remote = F.startswith("path", F.lit("archive://"))
-    routed = d.filter(remote).select("doc_id", F.lit("registered").alias("status"))
-    return routed.unionByName(d.filter(~remote).select("doc_id", F.when(F.length(F.trim("text")) == 0, "failed").otherwise("embedded").alias("status")))
-
-
 # ---- joins
 @query("j1_layer_permissions", f"SELECT l.name, g.role_pattern, g.access_level FROM {LAYERS} l JOIN {GRANTS} g ON g.layer_id = l.id JOIN (SELECT 'w1' AS workspace_id, 'l2' AS layer_id UNION ALL SELECT 'w1', 'l3') m ON m.layer_id = l.id")
 def j1(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,10 +257,13 @@ def a6(spark: SparkSession, sf: str) -> DataFrame:
     return T(spark, sf, "events").filter(F.col("ts") >= now() - F.expr("INTERVAL 3 DAYS")).select("user_id").distinct()
 
 
-@query("a7_daily_limit", "SELECT user_id, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-14 00:00:00' AND ts < TIMESTAMP '2024-01-15 00:00:00') AS sent, user_id % 10 = 0 OR count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-14 00:00:00' AND ts < TIMESTAMP '2024-01-15 00:00:00') < 3 AS may_send FROM events GROUP BY user_id")
+_DAY = "ts > TIMESTAMP '2024-01-14 15:30:00' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '2024-01-14 15:30:00'"
+_then = lambda: F.to_timestamp(F.lit("2024-01-14 15:30:00"))
+
+
+@query("a7_daily_limit", f"SELECT user_id, count(*) FILTER (WHERE {_DAY}) AS sent, user_id % 10 = 0 OR count(*) FILTER (WHERE {_DAY}) < 3 AS may_send FROM events GROUP BY user_id")
 def a7(spark: SparkSession, sf: str) -> DataFrame:
-    day = (F.col("ts") >= F.to_timestamp(F.lit("2024-01-14 00:00:00"))) & (F.col("ts") < F.to_timestamp(F.lit("2024-01-15 00:00:00")))
-    n = T(spark, sf, "events").groupBy("user_id").agg(F.count_if(day).alias("sent"))
+    n = jobs.sent_within(T(spark, sf, "events"), ["user_id"], "ts", _then())
     return n.withColumn("may_send", (F.col("user_id") % 10 == 0) | (F.col("sent") < 3))
 
 
@@ -332,21 +302,15 @@ def a18(spark: SparkSession, sf: str) -> DataFrame:
     return T(spark, sf, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).count().na.fill(0)
 
 
-@query("a19_first_descriptions", "SELECT source, substr(array_to_string(list_slice(list(substr(text, 1, 150) ORDER BY doc_id) FILTER (WHERE length(text) > 0 AND doc_id % 2 = 0), 1, 5), ' '), 1, 500) AS summary FROM documents GROUP BY source")
+@query("a19_first_descriptions", "SELECT source, substr(array_to_string(list_slice(list(text ORDER BY doc_id) FILTER (WHERE length(text) > 0), 1, 5), ' '), 1, 500) AS summary FROM documents GROUP BY source")
 def a19(spark: SparkSession, sf: str) -> DataFrame:
-    # The five first rows of a group come from a ranking that keeps five per task, not from the whole group in one list.
-    w = Window.partitionBy("source").orderBy("doc_id")
-    d = T(spark, sf, "documents").filter((F.length("text") > 0) & (F.col("doc_id") % 2 == 0)).select("source", "doc_id", F.substring("text", 1, 150).alias("t"))
-    d = d.withColumn("n", F.row_number().over(w)).filter("n <= 5")
-    g = d.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("x"))
-    every = T(spark, sf, "documents").select("source").distinct().join(g, "source", "left")
-    return every.select("source", F.substring(F.array_join(F.col("x.t"), " "), 1, 500).alias("summary"))
+    return op.first_texts(T(spark, sf, "documents"), "source", "doc_id", "text", 5, 500)
 
 
-@query("a20_rolling_limits", "SELECT user_id, event_type, count(*) AS n, count(*) >= 2 AS rejected FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' AND ts <= TIMESTAMP '2024-01-21 00:00:00' GROUP BY ALL")
+@query("a20_rolling_limits", f"SELECT user_id, event_type, count(*) FILTER (WHERE {_DAY}) AS n, count(*) FILTER (WHERE {_DAY}) >= 2 AS rejected FROM events GROUP BY ALL")
 def a20(spark: SparkSession, sf: str) -> DataFrame:
-    e = T(spark, sf, "events").filter("ts >= TIMESTAMP '2024-01-20 00:00:00' AND ts <= TIMESTAMP '2024-01-21 00:00:00'")
-    return e.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).withColumn("rejected", F.col("n") >= 2)
+    n = jobs.sent_within(T(spark, sf, "events"), ["user_id", "event_type"], "ts", _then())
+    return n.select("user_id", "event_type", F.col("sent").alias("n"), (F.col("sent") >= 2).alias("rejected"))
 
 
 @query("a21_context_files", "SELECT source, list(doc_id ORDER BY doc_id) AS files, sum(CASE WHEN doc_id % 2 = 0 THEN n_chars ELSE 0 END)::BIGINT AS tokens FROM documents GROUP BY source")
@@ -438,7 +402,7 @@ def m12(spark: SparkSession, sf: str) -> DataFrame:
     return T(spark, sf, "events").select("event_id", governance.parse_iso(text).cast("timestamp_ntz").alias("parsed"))
 
 
-@query("m13_entity_ids", "SELECT c_custkey, sha256('ws:' || lower(c_name)) AS id FROM customer")
+@query("m13_entity_ids", f"SELECT c_custkey, {UUID5} AS id FROM (SELECT c_custkey, {UUID5_DIGEST.format("'ws:' || lower(c_name)")} AS s FROM customer)")
 def m13(spark: SparkSession, sf: str) -> DataFrame:
     return T(spark, sf, "customer").select("c_custkey", governance.entity_id(F.lit("ws"), F.upper("c_name")).alias("id"))
 
@@ -468,12 +432,6 @@ def s32_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     return jsonl(c, "You are helpful.")
 
 
-@query("r1_document_status", "SELECT user_id AS document_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS updated FROM events GROUP BY user_id")
-def r1(spark: SparkSession, sf: str) -> DataFrame:
-    last = governance.latest_state(T(spark, sf, "events"), "user_id", "ts", "event_id", ["event_type"])
-    return last.select(F.col("user_id").alias("document_id"), F.col("event_type").alias("status"), F.col("ts").alias("updated"))
-
-
 @query("r7_sync_difference", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'add' WHEN doc_id % 4 = 1 THEN 'replace' WHEN doc_id % 4 = 2 THEN 'remove' ELSE 'keep' END AS action FROM documents")
 def r7(spark: SparkSession, sf: str) -> DataFrame:
     d = T(spark, sf, "documents")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from findling.session import table
 
+#: UUID of version 5 in DuckDB SQL: of a digest ``s``, and that of a name.
+UUID5 = "(substr(s, 1, 8) || '-' || substr(s, 9, 4) || '-5' || substr(s, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(s, 17, 1)) - 1) % 4 + 1, 1) || substr(s, 18, 3) || '-' || substr(s, 21, 12))"
+UUID5_DIGEST = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode({}))"
 LAYER = "CASE label % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'default' WHEN 2 THEN 'layer_hr' ELSE 'layer_engineering' END"
 #: A chunk table in DuckDB SQL: windows of 1000 characters that begin every 800.
 CHUNKS = """

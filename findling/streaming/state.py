@@ -17,26 +17,44 @@ DAYS_7_MS = 7 * 24 * 3600 * 1000
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The furthest step of a document; state that nothing touches for seven days is dropped."""
+    """The furthest step of a document; state that nothing touches for seven days of event time is dropped."""
     if state.hasTimedOut:
         state.remove()
         return
-    status, n = state.get if state.exists else ("pending", 0)
+    status, n, last = state.get if state.exists else ("pending", 0, 0)
     for frame in frames:
+        frame = frame.sort_values("ts", kind="stable")
         n += len(frame)
+        last = max(last, int(frame["ts"].max().timestamp() * 1000))
         for s in frame["status"]:
             if s in STEPS and (STEPS.index(s) > STEPS.index(status) or (status, s) == ("failed", "queued")):
                 status = s
-    state.update((status, n))
-    state.setTimeoutDuration(DAYS_7_MS)
+    state.update((status, n, last))
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + DAYS_7_MS)
     yield pd.DataFrame({"document_id": [key[0]], "status": [status], "events": [n]})
 
 
-def document_status(events: DataFrame) -> DataFrame:
-    """(document_id, status, events) after each batch of (document_id, status); a failed document may be queued again."""
+def document_status(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(document_id, status, events) after each batch of (document_id, status, ts); a failed document may be queued again.
+
+    Time is that of the events: a timeout by the clock would keep a stream that runs until there is nothing new from ending.
+    """
     ship(events.sparkSession)
     out = "document_id string, status string, events long"
-    return events.groupBy("document_id").applyInPandasWithState(_advance, out, "status string, events long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withWatermark("ts", late)
+    return timed.groupBy("document_id").applyInPandasWithState(_advance, out, "status string, events long, last long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def final_status(events: DataFrame, folder: str, late: str = "1 hour") -> DataFrame:
+    """The last status of each document once all there is has been read; batches are kept under ``folder`` by number."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/status/batch={number}")
+
+    query = document_status(events, late).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    seen = events.sparkSession.read.schema("document_id string, status string, events long, batch int").parquet(f"{folder}/status")
+    return seen.groupBy("document_id").agg(F.max_by("status", F.struct("batch", "events")).alias("status"), F.max("events").alias("events"))
 
 
 def windowed_counts(events: DataFrame, time_col: str = "ts", late: str = "10 minutes", size: str = "1 hour") -> DataFrame:

@@ -1,3 +1,4 @@
+import datetime
 import io
 import zipfile
 
@@ -44,10 +45,29 @@ def test_store(spark, tmp_path):
         store.append(rows.withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
 
 
-def test_sql_refuses_commands(spark):
-    with pytest.raises(ValueError, match="only queries"):
-        sql.run_sql(spark, "/root/testdata/sf0.001", "DROP TABLE region")
-    assert sql.run_sql(spark, "/root/testdata/sf0.001", "SELECT count(*) FROM region").first()[0] == 5
+@pytest.mark.parametrize(
+    "text",
+    [
+        "DROP TABLE region", "INSERT INTO region SELECT * FROM region", "SHOW TABLES", "SELECT reflect('java.lang.System', 'getenv')", "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`",
+        "SELECT * FROM region WHERE r_name IN (SELECT r_name FROM parquet.`/x`)", "WITH a AS (SELECT java_method('java.lang.System', 'getenv') AS x) SELECT * FROM a", "SELECT * FROM spark_catalog.default.region",
+        "SELECT * FROM other", "SELECT (SELECT max(r_name) FROM csv.`/etc/passwd`)", "SELECT * FROM range(5)", "SELECT 1 UNION SELECT try_reflect('java.lang.System', 'getenv')",
+    ],
+)
+def test_sql_refuses(spark, text):
+    with pytest.raises(ValueError):
+        sql.run_sql(spark, "/root/testdata/sf0.001", text)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("SELECT count(*) FROM region", 5), ("WITH a AS (SELECT * FROM region) SELECT count(*) FROM a JOIN nation ON n_regionkey = r_regionkey", 25),
+        ("SELECT count(*) FROM (SELECT r_name, row_number() OVER (ORDER BY r_name) AS n FROM region) AS t WHERE n > 1 AND r_name IN (SELECT r_name FROM region)", 4),
+        ("SELECT sum(n) FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey HAVING count(*) > 1 UNION ALL SELECT 1, 1 ORDER BY 1 LIMIT 10) AS t", 26),
+    ],
+)
+def test_sql_runs_queries(spark, text, want):
+    assert sql.run_sql(spark, "/root/testdata/sf0.001", text).first()[0] == want
 
 
 def test_connection_strings():
@@ -81,8 +101,11 @@ class _State:
     def update(self, value):
         self.exists, self.get = True, value
 
-    def setTimeoutDuration(self, ms):
-        assert ms == state.DAYS_7_MS
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def setTimeoutTimestamp(self, ms):
+        assert ms == 1704067200000 + state.DAYS_7_MS
 
     def remove(self):
         self.exists = False
@@ -92,10 +115,22 @@ def test_document_status_only_advances():
     import pandas as pd
 
     s = _State()
-    step = lambda *names: next(state._advance(("d",), iter([pd.DataFrame({"status": names})]), s)).iloc[0].tolist()
+    step = lambda *names: next(state._advance(("d",), iter([pd.DataFrame({"status": names, "ts": pd.Timestamp("2024-01-01")})]), s)).iloc[0].tolist()
     assert step("queued", "processing") == ["d", "processing", 2]
     assert step("queued", "nonsense") == ["d", "processing", 4]
     assert step("failed") == ["d", "failed", 5]
     assert step("queued") == ["d", "queued", 6]
     s.hasTimedOut = True
     assert list(state._advance(("d",), iter([]), s)) == [] and not s.exists
+
+
+def test_status_stream_ends(spark, tmp_path):
+    """Everything there is, in two runs over the same checkpoint; the second sees only what came since."""
+    folder, data = tmp_path / "out", tmp_path / "in"
+    write = lambda rows: spark.createDataFrame(rows, "document_id string, status string, ts timestamp").write.mode("append").parquet(str(data))
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    write([("a", "queued", at(1)), ("a", "completed", at(3)), ("b", "queued", at(1)), ("b", "failed", at(2))])
+    stream = spark.readStream.schema("document_id string, status string, ts timestamp").parquet(str(data))
+    assert {tuple(r) for r in state.final_status(stream, str(folder)).collect()} == {("a", "completed", 2), ("b", "failed", 2)}
+    write([("a", "processing", at(4)), ("b", "queued", at(5)), ("c", "nonsense", at(5))])
+    assert {tuple(r) for r in state.final_status(stream, str(folder)).collect()} == {("a", "completed", 3), ("b", "queued", 3), ("c", "pending", 1)}
