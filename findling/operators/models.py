@@ -61,13 +61,16 @@ def embed_texts(rows: DataFrame, load: Callable[[], Embedder], text_col: str = "
 
 
 def extract_entities(chunks: DataFrame, load: Callable[[], Callable[[str], list[dict]]], most_chars: int = 4000) -> DataFrame:
-    """Entities (name, type, description, source_chunk_id, confidence) that a model finds in each chunk (id, content); blank chunks are skipped."""
+    """Entities (name, type, description, source_chunk_id, confidence) that a model finds in each chunk (id, content); blank chunks are skipped.
+
+    A model gets at most ``most_chars`` characters at once; a longer chunk goes to it window by window, whole.
+    """
     ship(chunks.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for frame in frames:
-            rows = [(e.get("name"), e.get("type"), e.get("description"), key, float(e.get("confidence", 1.0))) for key, text in zip(frame["id"], frame["content"], strict=True) if text and text.strip() for e in model(text[:most_chars]) if e.get("name")]
+            rows = [(e.get("name"), e.get("type"), e.get("description"), key, float(e.get("confidence", 1.0))) for key, text in zip(frame["id"], frame["content"], strict=True) if text and text.strip() for i in range(0, len(text), most_chars) for e in model(text[i : i + most_chars]) if e.get("name")]
             yield pd.DataFrame(rows, columns=["name", "type", "description", "source_chunk_id", "confidence"])
 
     return chunks.select("id", "content").mapInPandas(run, "name string, type string, description string, source_chunk_id string, confidence double")

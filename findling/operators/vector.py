@@ -76,6 +76,34 @@ def rerank(candidates: DataFrame, k: int, logit_col: str | None = None, fallback
     return candidates.withColumn("rerank_score", score).orderBy(F.col("rerank_score").desc_nulls_last(), id_col).limit(k)
 
 
+def similarity_matrix(rows: DataFrame, queries: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """``dot`` of every row (``a``) with every query (``b``): a stated set of queries against all rows, in blocks.
+
+    Queries are dealt to blocks of BLOCK, and each row meets a block by a matrix product; rows are copied once for each
+    block of queries, queries once for each of as many parts as the rows have partitions. Null vectors have no row.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    blocks = max(1, math.ceil(queries.count() / BLOCK))
+    kind, asked = rows.schema[id_col].dataType, queries.schema[id_col].dataType
+    parts = max(1, spark.sparkContext.defaultParallelism)
+    left = rows.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("a"), V.as_double(F.col(vector_col)).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("part"))
+    left = left.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = queries.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("b"), V.as_double(F.col(vector_col)).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("blk"))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    out = T.StructType([T.StructField("a", kind), T.StructField("b", asked), T.StructField("dot", T.DoubleType())])
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b = x["a"].combine_chunks(), y["b"].combine_chunks()
+        if not len(a) or not len(b):
+            return pa.table([a.slice(0, 0), b.slice(0, 0), pa.array([], pa.float64())], names=["a", "b", "dot"])
+        dots = np.array(x["v"].to_pylist()) @ np.array(y["v"].to_pylist()).T
+        i, j = np.divmod(np.arange(dots.size), len(b))
+        return pa.table([a.take(pa.array(i)), b.take(pa.array(j)), pa.array(dots.ravel())], names=["a", "b", "dot"])
+
+    return left.groupBy("part", "blk").cogroup(right.groupBy("part", "blk")).applyInArrow(compare, out)
+
+
 def similarity_join(rows: DataFrame, least: float = 0.95, type_col: str = "type", id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """Links (source_id later, target_id earlier) of one type with cosine >= ``least``.
 

@@ -142,7 +142,7 @@ def _flaky():
     return embed
 
 
-@query("r8_update_saga", f"SELECT id, CASE WHEN length(id) % 3 = 0 THEN 3 ELSE length(id) % 2 + 1 END AS tries, CASE WHEN length(id) % 3 = 0 THEN 'sync_error' ELSE 'committed' END AS sync_status, CASE WHEN length(id) % 3 = 0 THEN content ELSE id END AS content FROM {CHUNKS} WHERE workspace_id = 'src2'")
+@query("r8_update_saga", f"SELECT id, (CASE WHEN length(id) % 3 = 0 THEN 3 ELSE length(id) % 2 + 1 END)::INT AS tries, CASE WHEN length(id) % 3 = 0 THEN 'sync_error' ELSE 'committed' END AS sync_status, CASE WHEN length(id) % 3 = 0 THEN content ELSE id END AS content FROM {CHUNKS} WHERE workspace_id = 'src2'")
 def r8(spark: SparkSession, sf: str) -> DataFrame:
     store = _store(spark, _kept(spark, sf))
     patches = chunks(spark, sf).filter("workspace_id = 'src2'").select("id", F.col("id").alias("content"))

@@ -424,7 +424,11 @@ def s32_alpaca(spark: SparkSession, sf: str) -> DataFrame:
     return alpaca(c, "You are helpful.").select("conv_id", "turn", "instruction", "input", "output")
 
 
-@query("s32_export_jsonl")
+def _said(role: str, text: str) -> str:
+    return f"""'{{"role":"{role}","content":[{{"type":"text","text":' || to_json({text})::VARCHAR || '}}]}}'"""
+
+
+@query("s32_export_jsonl", f"""SELECT conv_id AS workspace_id, '{{"messages":[' || {_said("system", "'You are helpful.'")} || ',' || string_agg({_said("user", "text")} || ',' || {_said("assistant", "role")}, ',' ORDER BY turn) || ']}}' AS line FROM conversations GROUP BY conv_id""")
 def s32_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     from findling.operators.export import jsonl
 

@@ -26,12 +26,37 @@ def t2(spark: SparkSession, sf: str) -> DataFrame:
     return op.split_texts(D(spark, sf), "recursive", 1000, 200)
 
 
-@query("t3_sentence_chunks")
+def _joined(parts: str) -> str:
+    """The joining of a document's ``parts`` with overlap, and the search for the chunks, step by step in DuckDB SQL."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, {parts} AS parts FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
+p AS (SELECT doc_id, len(parts) AS n, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM d),
+r AS (
+  SELECT doc_id, n, 1::BIGINT AS i, part AS held, NULL::VARCHAR AS done, 0 AS chunks FROM p WHERE i = 1
+  UNION ALL
+  SELECT doc_id, n, i + 1,
+         CASE WHEN part IS NULL THEN NULL WHEN fits THEN held || ' ' || part WHEN length(tail || ' ' || part) > 1000 THEN part ELSE tail || ' ' || part END,
+         CASE WHEN part IS NULL OR NOT fits THEN held END, chunks + CASE WHEN part IS NULL OR NOT fits THEN 1 ELSE 0 END
+  FROM (SELECT r.*, p.part, length(held) + length(p.part) <= 1000 AS fits, CASE WHEN length(held) > 200 THEN right(held, 200) ELSE held END AS tail
+        FROM r LEFT JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1 WHERE r.i <= r.n)),
+c AS (SELECT doc_id, chunks - 1 AS chunk_no, done AS content FROM r WHERE done <> ''),
+o AS (
+  SELECT doc_id, -1 AS chunk_no, NULL::VARCHAR AS content, 0::BIGINT AS start_offset, 0::BIGINT AS next FROM d
+  UNION ALL
+  SELECT doc_id, chunk_no, content, start, greatest(start + 1, start + length(content) - 200)
+  FROM (SELECT o.doc_id, c.chunk_no, c.content, CASE WHEN instr(substr(d.text, o.next + 1), c.content) > 0 THEN o.next + instr(substr(d.text, o.next + 1), c.content) - 1 ELSE o.next END AS start
+        FROM o JOIN c ON c.doc_id = o.doc_id AND c.chunk_no = o.chunk_no + 1 JOIN d ON d.doc_id = o.doc_id))
+SELECT doc_id, chunk_no::INT AS chunk_no, content, length(content)::INT AS char_count, (length(content) // 4)::INT AS token_count, start_offset::INT AS start_offset, (start_offset + length(content))::INT AS end_offset
+FROM o WHERE chunk_no >= 0
+"""
+
+
+@query("t3_sentence_chunks", _joined(r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"))
 def t3(spark: SparkSession, sf: str) -> DataFrame:
     return op.split_texts(D(spark, sf), "sentence", 1000, 200)
 
 
-@query("t3_paragraph_chunks")
+@query("t3_paragraph_chunks", _joined(r"list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"))
 def t3p(spark: SparkSession, sf: str) -> DataFrame:
     return op.split_texts(D(spark, sf), "paragraph", 1000, 200)
 

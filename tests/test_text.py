@@ -27,6 +27,23 @@ def test_recursive_chunks_by_hand():
     assert op.recursive_chunks("abcdef", 4, 0) == ["abcd", "ef"]
     assert op.join_with_overlap(["aaaa", "bbbb"], 6, 1) == ["aaaa", "a bbbb"]
     assert op.join_with_overlap([], 6, 1) == []
+    # The sentence of 43 characters, twice: pieces are filled up by words, joined again by a space while they fit.
+    text = "This is a test text to be split into chunks" * 2
+    assert op.recursive_chunks(text, 20, 0) == ["This is a test text", "to be split into", "chunksThis is a", "test text to be", "split into chunks"]
+    # Paragraphs first; only the one that is too long goes to the finer separators. A piece keeps its separator while
+    # pieces are filled up ("three " and "four " are 11), and what that leaves behind the last word is joined to it.
+    assert op.recursive_chunks("one two\n\nthree four five six", 10, 0) == ["one two", "three", "four five", "six\n "]
+    # A new chunk starts with the tail of the one before, unless that makes it too long.
+    assert op.join_with_overlap(["aaaa", "bb", "cccccc"], 7, 2) == ["aaaa bb", "cccccc"]
+    assert op.join_with_overlap(["aaaa", "bbb", "cccc"], 8, 2) == ["aaaa bbb", "bb cccc"]
+
+
+def test_places_by_hand():
+    """Each search begins one past the last start, or the overlap before the last end, whichever is later; what isn't found stays there."""
+    assert op.locate_chunks("abcabcabc", ["abc", "abc", "abc"], 0) == [(0, 3), (3, 6), (6, 9)]
+    assert op.locate_chunks("abcabcabc", ["abcab", "abca"], 2) == [(0, 5), (3, 7)]
+    assert op.locate_chunks("aaaa", ["aa", "aa"], 5) == [(0, 2), (1, 3)]
+    assert op.locate_chunks("ab cd", ["ab", "xx", "cd"], 0) == [(0, 2), (2, 4), (4, 6)]
 
 
 def test_fixed_windows_cover_the_text(spark):
