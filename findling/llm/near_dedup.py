@@ -12,8 +12,8 @@
    texts: a class is there by the size of its set and the parities of the set's hashes in a table of bits. Two sets differ
    in at least as many elements as their tables do in bits, so a pair whose tables differ in more bits than linked
    sets may differ in elements is no link. That bound is exact and passes next to nothing below a similarity of 0.73. The
-   pairs it leaves are verified on full sets, in rounds: a block names pairs that would join components (a
-   forest in the first round, four times as many forests in each later one), and pairs found unlinked are not named again.
+   pairs it leaves are verified on full sets, in rounds: a block names pairs that would join components (FORESTS
+   forests in the first round, as many times more in each later one), and pairs found unlinked are not named again.
    Rounds end when no pair is left, so every pair that shares a bucket is decided and no block emits all pairs of a group.
 
 At similarity 0.75 a pair shares no bucket with a chance of (1 - 0.75^4)^32 = 5e-6, at 0.8
@@ -38,7 +38,7 @@ from findling.storage import release, written
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: Members of a bucket in one block of the comparison in blocks.
-BLOCK = 1000
+BLOCK = 2000
 #: Bits of a table for each element, and the most bits: with fewer the bound passes more, but nothing less.
 BITS, MOST_BITS = 4, 1 << 17
 #: Elements that go through the permutations together; words whose hash a worker remembers.
@@ -46,6 +46,8 @@ CHUNK, MEMO = 200_000, 500_000
 RANK_BITS = 40
 #: Tasks that share the classes of a component.
 SALTS = 8
+#: Forests of possible pairs that a block names in the first round; each later one names so many times more.
+FORESTS = 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ALL = (1 << 64) - 1
 
@@ -187,12 +189,15 @@ def possible_links(n: np.ndarray, comp: np.ndarray, bits: list[bytes], left: np.
     own = {int(i): table[k] for at, table in tables.values() for k, i in enumerate(at)}
     within = np.zeros(len(n), bool)
     within[right] = True
+    # Where both sides are one block, each pair is looked at once.
+    same = np.array_equal(left, right)
     sides = [(at[within[at]], table[within[at]]) for at, table in tables.values()]
     for i in left:
         for at, table in sides:
             # Linked sets of sizes p <= q have 100 p >= percent q, and differ in at most (100 - percent) / (100 + percent) of p + q elements.
             low, high = np.minimum(n[at], n[i]), np.maximum(n[at], n[i])
-            fit = np.flatnonzero((comp[at] != comp[i]) & (100 * low >= percent * high))
+            fit = (comp[at] != comp[i]) & (100 * low >= percent * high)
+            fit = np.flatnonzero(fit & (at > i) if same else fit)
             if not len(fit):
                 continue
             words = min(table.shape[1], len(own[int(i)]))
@@ -203,8 +208,31 @@ def possible_links(n: np.ndarray, comp: np.ndarray, bits: list[bytes], left: np.
     return [(i, j) for _, i, j in sorted(found)]
 
 
+def _cells(where: DataFrame) -> DataFrame:
+    """Buckets of several components as pairs of blocks (``lower``, ``upper``); ``blk`` is the one that a row is in.
+
+    In a large bucket the members of its largest component, which needs no comparison within, have blocks of their own: they
+    meet the others only, so a group of near copies that is joined already is not copied once for each of its blocks.
+    """
+    sizes = where.groupBy("key", "comp").agg(F.count("*").alias("rows"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("most"), F.sum("rows").alias("all")).filter("most.rows < all")
+    rows = where.join(sizes, "key")
+    large = F.col("all") > BLOCK
+    major = large & (F.col("comp") == F.col("most.comp"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    minors, majors = blocks(F.when(large, F.col("all") - F.col("most.rows")).otherwise(F.col("all"))), blocks(F.col("most.rows"))
+    rows = rows.withColumns({"minors": minors, "majors": majors, "hash": F.xxhash64("node"), "major": major})
+    rows = rows.withColumn("blk", F.when(major, -1 - F.pmod("hash", "majors")).otherwise(F.pmod("hash", "minors")).cast("int"))
+    pair = lambda lower, upper: F.struct(lower.cast("int").alias("lower"), upper.cast("int").alias("upper"))
+    each = F.sequence(F.lit(0), F.col("minors") - 1)
+    own = F.transform(each, lambda i: pair(F.least(F.col("blk"), i), F.greatest(F.col("blk"), i)))
+    cross = F.when(large, F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda j: pair(F.col("blk"), -1 - j))).otherwise(F.slice(own, 1, 0))
+    cells = F.when(F.col("major"), F.transform(each, lambda i: pair(i, F.col("blk")))).otherwise(F.concat(own, cross))
+    return rows.select("key", "node", "comp", "blk", F.explode(cells).alias("cell")).select("key", "node", "comp", "blk", "cell.lower", "cell.upper")
+
+
 def _named(key: tuple, table: pa.Table, forests: int, percent: int) -> pa.Table:
-    """Pairs of classes in one pair of blocks of a bucket that, if linked, would join components."""
+    """Pairs of classes in one pair of blocks of a bucket that, if linked, would join components, and who is left."""
     first, second = key[1].as_py(), key[2].as_py()
     names, blk = table["node"].to_pylist(), table["blk"].to_numpy()
     comp, n = np.unique(table["comp"].to_numpy(), return_inverse=True)[1], table["n"].to_numpy()
@@ -229,10 +257,13 @@ def _named(key: tuple, table: pa.Table, forests: int, percent: int) -> pa.Table:
             else:
                 root[max(p, q)] = min(p, q)
                 out.add((min(names[i], names[j]), max(names[i], names[j])))
-        if len(rest) == len(pairs):
-            break
         pairs = rest
-    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+        if not pairs:
+            break
+    # Who else has a possible pair is named with itself: the next round looks at no others.
+    out.update((names[i], names[i]) for pair in pairs for i in pair)
+    a, b = [a for a, _ in out], [b for _, b in out]
+    return pa.table({"key": pa.array([key[0].as_py()] * len(out), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -313,29 +344,24 @@ def _near(table: DataFrame, id_col: str, text_col: str, width: int, percent: int
         comp = joined(comp, links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         unlinked = unlinked.unionByName(more.filter("NOT linked").select("a", "b"))
     # Buckets that still hold several components are compared in blocks, until no pair is left to verify.
-    forests = 1
+    forests, left = FORESTS, buckets.select("key", "node")
     while True:
-        where = written(placed(buckets.select("key", "node", "members"), comp, "node", "comp"), "near-placed")
-        mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-        blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-        open_rows = where.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        open_rows = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        open_rows = open_rows.withColumns({"lower": F.least("blk", "other"), "upper": F.greatest("blk", "other")})
-        against = unlinked.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("unlinked"))
-        held = classes.select("node", "n", "bits").join(against, "node", "left")
-        open_rows = open_rows.join(held, "node").select("key", "lower", "upper", "blk", "node", "comp", "n", "bits", "unlinked")
-        named = open_rows.groupBy("key", "lower", "upper").applyInArrow(naming(forests), "a long, b long")
-        named = written(named.distinct(), "near-named")
-        release(where)
+        where = written(placed(left, comp, "node", "comp"), "near-placed")
+        held = classes.select("node", "n", "bits").join(unlinked.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("unlinked")), "node", "left")
+        cells = _cells(where).join(held, "node").select("key", "lower", "upper", "blk", "node", "comp", "n", "bits", "unlinked")
+        named = written(cells.groupBy("key", "lower", "upper").applyInArrow(naming(forests), "key long, a long, b long"), "near-named")
         if named.isEmpty():
             break
-        checked = verified(named)
+        checked = verified(named.filter("a < b").select("a", "b").distinct())
         unlinked = unlinked.unionByName(checked.filter("NOT linked").select("a", "b"))
         links = placed(placed(checked.filter("linked"), comp, "a", "ca"), comp, "b", "cb").filter("ca != cb")
         links = written(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "near-links")
         if not links.isEmpty():
             comp = joined(comp, links)
-        forests *= 4
+        # Whoever was not named has no possible pair in that bucket.
+        again = named.select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
+        left = where.select("key", "node").join(again, ["key", "node"], "left_semi")
+        forests *= FORESTS
 
     # Components of several classes only; salted, for one may hold a third of all.
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
