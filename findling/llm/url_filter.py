@@ -43,6 +43,9 @@ class Rule:
         elif body.startswith("|"):
             out, body = "^", body[1:]
         end = body.endswith("|")
+        # A star at an open end says nothing, and would try every place.
+        body = body if out else body.lstrip("*")
+        body = body if end else body.rstrip("*")
         for c in body[:-1] if end else body:
             out += {"*": r"[\s\S]*", "^": r"(?:[^A-Za-z0-9_.%-]|$)"}.get(c) or _quote(c)
         return out + ("$" if end else "")
