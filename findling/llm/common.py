@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from findling.storage import written
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -59,3 +61,17 @@ def digest_key(seed: str, column: Column) -> Column:
     """60 bits that look random and are the same in every engine that has MD5."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(column.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def numbered(df: DataFrame, order: list, name: str, table: str) -> DataFrame:
+    """``df`` with ``name``: the place of each row, from 0, in the given order, which must be total but for equal rows.
+
+    Rows are sorted by range and written; a row's place is the count of rows in the partitions before plus its place in
+    its own, so no task sees more than a range.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("placed", F.monotonically_increasing_id())
+    placed = written(placed, table).withColumns({"part": F.shiftright("placed", 33), "nth": F.col("placed").bitwiseAND(F.lit((1 << 33) - 1))})
+    # As many rows as the sort has partitions.
+    parts = placed.groupBy("part").agg(F.count("*").alias("rows"))
+    parts = parts.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(parts), "part").withColumn(name, F.col("before") + F.col("nth")).drop("placed", "part", "nth", "before")

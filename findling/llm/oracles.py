@@ -65,4 +65,34 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id
 FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-ORACLES = {"op1_mix_sources": MIX_SOURCES, "op4_near_dedup": NEAR_DEDUP, "op8_exact_dedup": EXACT_DEDUP, "op9_filter_urls": FILTER_URLS}
+PREFIX_TRIE = r"""
+WITH digits AS (
+  -- CRC-32 of the decimal digits: each byte, then eight shifts (marked -1).
+  SELECT conv_id, flatten(list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: [ord(substr(conv_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])) AS steps
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, steps), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS h
+      FROM digits),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) - 1 AS i, m, n FROM (
+        SELECT conv_id, turn, md5(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
+               len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM conversations WHERE conv_id IS NOT NULL)),
+r AS (SELECT c.conv_id, 0 AS part, t.i, t.m, t.n FROM c JOIN t ON t.conv_id = c.base WHERE t.i < c.h
+      UNION ALL SELECT c.conv_id, 1, t.i, t.m, t.n FROM c JOIN t USING (conv_id) WHERE t.i >= c.h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, n AS words, string_agg(m, ',') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k
+      FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)),
+q AS (SELECT conv_id, 0 AS depth, 0 AS words, '' AS k FROM c UNION ALL SELECT * FROM p),
+l AS (SELECT conv_id, max(depth) AS last FROM q GROUP BY conv_id),
+n AS (SELECT k, any_value(depth) AS depth, min(q.conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+             string_agg(q.conv_id::VARCHAR, ',' ORDER BY q.conv_id) FILTER (depth = last) AS ends
+      FROM q JOIN l USING (conv_id) GROUP BY k),
+e AS (SELECT n.k, n.depth, n.conv_id, q.k AS up FROM n LEFT JOIN q ON q.conv_id = n.conv_id AND q.depth = n.depth - 1),
+ch AS (SELECT up AS k, count(*) AS n_children FROM e WHERE up IS NOT NULL GROUP BY up),
+-- Every node under each of its prefixes.
+s AS (SELECT a.k, count(*) FILTER (ch.k IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+      FROM n LEFT JOIN ch ON ch.k = n.k JOIN q a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.k)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(ch.n_children, 0)::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN e ON e.k = n.k LEFT JOIN n u ON u.k = e.up LEFT JOIN ch ON ch.k = n.k JOIN s ON s.k = n.k
+"""
+
+ORACLES = {"op1_mix_sources": MIX_SOURCES, "op4_near_dedup": NEAR_DEDUP, "op8_exact_dedup": EXACT_DEDUP, "op9_filter_urls": FILTER_URLS, "op11_prefix_trie": PREFIX_TRIE}

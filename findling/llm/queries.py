@@ -14,6 +14,7 @@ from findling.llm.near_dedup import near_duplicates
 from findling.llm.packing import pack_pieces, tokenise_pieces
 from findling.llm.pii import KINDS as PII_KINDS
 from findling.llm.pii import find_personal_data
+from findling.llm.prefix_trie import numbered_turns, prefix_trie, with_shared_beginnings
 from findling.llm.quality_rules import labelled_sample, quality_rules, train_line_field
 from findling.llm.secrets import SecretRule, find_secrets
 from findling.llm.sharding import shuffle_into_shards
@@ -125,6 +126,12 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack, op3_quality_rules, op4_near_dedup, op5_shard, op6_find_pii, op7_find_secrets, op8_exact_dedup, op9_filter_urls, op10_knn_quality)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = numbered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    trie = prefix_trie(*with_shared_beginnings(turns))
+    return trie.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack, op3_quality_rules, op4_near_dedup, op5_shard, op6_find_pii, op7_find_secrets, op8_exact_dedup, op9_filter_urls, op10_knn_quality, op11_prefix_trie)}
 
 ORACLES = oracles.ORACLES

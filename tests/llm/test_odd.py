@@ -73,7 +73,7 @@ def test_pieces_of_clashing_columns(clashing):
 def test_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = queries.QUERIES[name](spark, sf)
     cols = sorted(got.columns)
