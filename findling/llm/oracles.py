@@ -95,4 +95,13 @@ SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_con
 FROM n JOIN e ON e.k = n.k LEFT JOIN n u ON u.k = e.up LEFT JOIN ch ON ch.k = n.k JOIN s ON s.k = n.k
 """
 
-ORACLES = {"op1_mix_sources": MIX_SOURCES, "op4_near_dedup": NEAR_DEDUP, "op8_exact_dedup": EXACT_DEDUP, "op9_filter_urls": FILTER_URLS, "op11_prefix_trie": PREFIX_TRIE}
+TOPK_SEARCH = """
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.row, q.vec_id AS query_id, c.row AS other, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.row <> c.row AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST, other) AS rank FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES = {"op1_mix_sources": MIX_SOURCES, "op4_near_dedup": NEAR_DEDUP, "op8_exact_dedup": EXACT_DEDUP, "op9_filter_urls": FILTER_URLS, "op11_prefix_trie": PREFIX_TRIE, "op12_topk_search": TOPK_SEARCH}

@@ -19,7 +19,9 @@ from findling.llm.quality_rules import labelled_sample, quality_rules, train_lin
 from findling.llm.secrets import SecretRule, find_secrets
 from findling.llm.sharding import shuffle_into_shards
 from findling.llm.spans import n_of, spelled
+from findling.llm.topk_search import top_products
 from findling.llm.url_filter import Rule, filter_urls
+from findling.llm.whitening import whiten
 
 N_SHARDS = 24
 SEQUENCE = 4096
@@ -132,6 +134,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack, op3_quality_rules, op4_near_dedup, op5_shard, op6_find_pii, op7_find_secrets, op8_exact_dedup, op9_filter_urls, op10_knn_quality, op11_prefix_trie)}
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 256).cast("double"))
+    return top_products(vectors.select("vec_id", whole.alias("embedding")), 5, F.col("vec_id") % 50 == 0)
+
+
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), 8)
+    each = white.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("white", "explained")).alias("at", "one"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("one.white").alias("whitened"), F.col("one.explained").alias("explained"), "identity_error")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack, op3_quality_rules, op4_near_dedup, op5_shard, op6_find_pii, op7_find_secrets, op8_exact_dedup, op9_filter_urls, op10_knn_quality, op11_prefix_trie, op12_topk_search, op13_whiten)}
 
 ORACLES = oracles.ORACLES
