@@ -1,7 +1,7 @@
 """Exact search for the largest inner products, by buckets of vectors of like length.
 
 1. Equal vectors are searched for once, and of equal candidates only as many as a result may hold take part.
-2. The longest candidates, a bounded number of them, give every query a first threshold: its k-th score there.
+2. Some of the longest candidates, a bounded number, give every query a first threshold: its k-th score there.
 3. Candidates are dealt into buckets: levels of length, cut by a hash into parts of bounded size. A query
    is sent only to levels that are long enough: |query| x |candidate| bounds a score.
 4. In a bucket a query's threshold becomes a local one, the cosine that a candidate as long as the bucket's longest
@@ -196,9 +196,11 @@ def top_products(table: DataFrame, k: int = 5, is_query: Column | None = None, i
     queries = rows.filter("asked").select("id", "row", "vector", "dim", "length")
     classes = queries.groupBy("vector").agg(F.min("row").alias("cls"), F.first("dim").alias("dim"))
 
-    # Queries in parts meet the longest of their dimension: parts x LONGEST rows.
-    by_length = Window.partitionBy("dim").orderBy(F.col("length").desc(), "row")
-    longest = candidates.select("id", "row", "vector", "dim", "length").withColumn("nth", F.row_number().over(by_length)).filter(F.col("nth") <= LONGEST)
+    # Candidates of the longest levels, about LONGEST of each dimension: whole levels, and a share of the level where that is reached.
+    levels = written(candidates.groupBy("dim", "level").agg(F.count("*").alias("n")), "search-levels")
+    longer = F.coalesce(F.sum("n").over(Window.partitionBy("dim").orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shares = levels.withColumn("share", (F.lit(LONGEST) - longer) / F.col("n")).filter("share > 0").drop("n")
+    longest = candidates.join(shares, ["dim", "level"]).filter(F.pmod(F.xxhash64(F.lit("longest"), "row"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     classes = written(classes, "search-queries")
     parts = max(1, math.ceil(classes.count() / QUERIES))
     cut = F.pmod(F.xxhash64("cls"), F.lit(parts)).cast("int")
@@ -212,7 +214,7 @@ def top_products(table: DataFrame, k: int = 5, is_query: Column | None = None, i
 
     # Levels of lengths and of thresholds are as many as doubles have, some 17,000 for each dimension, whatever the table.
     parts_of = lambda n, size: F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("int")
-    levels = candidates.groupBy("dim", "level").agg(parts_of(F.count("*"), CANDIDATES).alias("parts"))
+    levels = levels.select("dim", "level", parts_of(F.col("n"), CANDIDATES).alias("parts"))
     needs = seeded.groupBy("dim", "needed").agg(parts_of(F.count("*"), QUERIES).alias("blocks"))
     grid = levels.join(needs, "dim").filter(F.col("level") >= F.col("needed"))
     grid = written(grid, "search-grid")
