@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findling.session import ship
+from findling.storage import written
 
 
 def page(rows: DataFrame, order: Sequence, offset: int, limit: int) -> DataFrame:
@@ -55,15 +55,28 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return last.select(*keys, *[F.col(f"v.{c}").alias(c) for c in cols]).select(*old.columns)
 
 
-def running_before(order: Sequence, value: Column, by: Sequence[str] = ()) -> Column:
-    """Sum of ``value`` over the rows before this one."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(value).over(w), F.lit(0))
+def running_sums(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], values: dict[str, Column]) -> DataFrame:
+    """``rows`` with the sums of ``values`` over the rows of the same ``by`` that come before, under their names.
+
+    Rows are sorted by range and written; sums of whole ranges come before those inside one, so a group
+    may be larger than a task. Rows equal in ``order`` may change places. Null groups are groups.
+    """
+    named = {f"__{n}": v for n, v in values.items()}
+    placed = rows.withColumns(named).repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id())
+    placed = written(placed, "running")
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda w: {n: F.coalesce(F.sum(n).over(w), F.lit(0)) for n in named}
+    parts = placed.groupBy(*by, "__part").agg(*[F.sum(n).alias(n) for n in named]).withColumns(sums(before))
+    inside = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    p, q = placed.withColumns(sums(inside)).alias("p"), parts.alias("q")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in (*by, "__part")]
+    joined = p.join(q, same)
+    return joined.select(*[F.col(f"p.{c}") for c in rows.columns], *[(F.col(f"p.__{n}") + F.col(f"q.__{n}")).alias(n) for n in values])
 
 
 def admit_within(rows: DataFrame, order: Sequence, tokens: Column, budget: int, by: Sequence[str]) -> DataFrame:
     """Rows whose running total before them is under the budget: the last may overshoot."""
-    return rows.withColumn("__b", running_before(order, tokens, by)).filter(F.col("__b") < budget).drop("__b")
+    return running_sums(rows, by, order, {"__before": tokens}).filter(F.col("__before") < budget).drop("__before")
 
 
 def recent(rows: DataFrame, by: Sequence[str], order_col: str, n: int) -> DataFrame:
@@ -87,63 +100,54 @@ def first_texts(rows: DataFrame, by: str, order_col: str, text_col: str, n: int,
 TRUNCATED = "\n\n--prompt truncated for brevity--\n\n"
 
 
-def _count(text: str) -> int:
-    return len(text) // 4
-
-
-def shorten(text: str, most: int, between: str = TRUNCATED) -> str:
-    """The middle of a text cut out, in tokens of four characters, where it has ``most`` tokens or more."""
-    n = _count(text)
-    if not text or not most or n < most:
-        return text
-    tokens = [text[i : i + 4] for i in range(0, len(text), 4)]
-    half, middle = int((n - most) / 2 + 0.5), len(tokens) // 2
-    return "".join(tokens[: max(0, middle - half)]) + between + "".join(tokens[middle + half :])
-
-
-def pack_history(pairs: list[tuple[str, str]], budget: int) -> list[tuple[int, str, str]]:
-    """(index, user, assistant) of the pairs, given newest first, that fit; the three newest may be shortened."""
-    kept, used = [], 0
-    for i, (user, assistant) in enumerate(pairs):
-        total = _count(user) + _count(assistant)
-        if used + total < budget:
-            kept.append((i, user, assistant))
-            used += total
-            continue
-        if i > 2:
-            break
-        most = int(budget / 2.2)
-        user = shorten(user, most) if _count(user) > most else user
-        assistant = shorten(assistant, most) if _count(assistant) > most else assistant
-        total = 6 + _count(user) + _count(assistant) + 5
-        if used + total <= budget:
-            kept.append((i, user, assistant))
-            used += total
-    return kept
+def tokens_of(text: Column) -> Column:
+    """Tokens of four characters; a null text has none."""
+    return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4)
+
+
+def without_middle(text: Column, most: int, between: str = TRUNCATED) -> Column:
+    """A text of at least ``most`` tokens with about so many left: what is cut stands around the middle, in whole tokens."""
+    middle = F.floor(F.ceil(F.length(text) / 4) / 2)
+    half = F.floor((tokens_of(text) - most + 1) / 2)
+    left = F.substring(text, F.lit(1), (4 * F.greatest(F.lit(0), middle - half)).cast("int"))
+    right = F.substring(text, (4 * (middle + half) + 1).cast("int"), F.length(text))
+    return F.concat(left, F.lit(between), right)
+
+
+#: Pairs that may be shortened, the share of the budget that a side may keep then, tokens that a shortened pair costs besides.
+SHORTENED, SIDE, EXTRA = 3, 2.2, 11
 
 
 def budgeted_history(chats: DataFrame, budget: int, by: str, order_col: str, user_col: str, assistant_col: str) -> DataFrame:
     """For each conversation the newest pairs within ``budget`` tokens, oldest first in ``place``.
 
-    Beyond the three newest, a pair is looked at only while those before it are within the budget, so of a long
-    conversation no more than that comes into one call.
+    A pair is taken whole while the total stays below the budget. One of the three newest that overflows is shortened, and left
+    out if it still doesn't fit; an older one that overflows ends the history. So three pairs a conversation are decided
+    one after the other, in one row, and all older ones by their running sum. Null texts count as empty.
     """
-    ship(chats.sparkSession)
-    kind = chats.schema[by].dataType.simpleString()
-    newest = Window.partitionBy(by).orderBy(F.col(order_col).desc())
-    tokens = F.floor(F.length(F.coalesce(user_col, F.lit(""))) / 4) + F.floor(F.length(F.coalesce(assistant_col, F.lit(""))) / 4)
-    chats = chats.select(by, order_col, user_col, assistant_col).withColumn("__nth", F.row_number().over(newest)).withColumn("__cost", F.when(F.col("__nth") > 3, tokens).otherwise(0))
-    before = F.coalesce(F.sum("__cost").over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chats = chats.withColumn("__before", before).filter((F.col("__nth") <= 3) | (F.col("__before") < budget))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_col, ascending=False)
-        kept = pack_history(list(zip(pdf[user_col].fillna(""), pdf[assistant_col].fillna(""), strict=True)), budget)
-        kept = kept[::-1]
-        return pd.DataFrame({by: pdf[by].iloc[0], "place": range(len(kept)), order_col: [pdf[order_col].iloc[i] for i, _, _ in kept], "user": [u for _, u, _ in kept], "assistant": [a for _, _, a in kept]})
-
-    order = chats.schema[order_col].dataType.simpleString()
-    return chats.select(by, order_col, user_col, assistant_col).groupBy(by).applyInPandas(run, f"{by} {kind}, place int, {order_col} {order}, user string, assistant string")
+    most = int(budget / SIDE)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    less = lambda c: F.when(tokens_of(c) > most, without_middle(c, most)).otherwise(c)
+    pairs = chats.select(F.col(by).alias("by"), F.col(order_col).alias("order"), text(user_col).alias("user"), text(assistant_col).alias("assistant"))
+    pairs = pairs.withColumn("cost", tokens_of(F.col("user")) + tokens_of(F.col("assistant")))
+    pairs = running_sums(pairs, ["by"], [F.col("order").desc()], {"nth": F.lit(1), "older": F.col("cost")})
+    newest = pairs.filter(F.col("nth") < SHORTENED).withColumns({"less_user": less(F.col("user")), "less_assistant": less(F.col("assistant"))})
+    newest = newest.withColumn("less", tokens_of(F.col("less_user")) + tokens_of(F.col("less_assistant")) + EXTRA)
+    costs = [F.max(F.when(F.col("nth") == i, F.struct("cost", "less"))).alias(f"p{i}") for i in range(SHORTENED)]
+    used, fates = F.lit(0), []
+    for i in range(SHORTENED):
+        whole, less_cost = F.col(f"p{i}.cost"), F.col(f"p{i}.less")
+        fate = F.when(used + whole < budget, "whole").when(used + less_cost <= budget, "less").otherwise("out")
+        fates.append(fate)
+        used = used + F.when(F.col(f"p{i}").isNull(), 0).when(fate == "whole", whole).when(fate == "less", less_cost).otherwise(0)
+    decided = newest.groupBy("by").agg(*costs, F.sum("cost").alias("three")).select("by", "three", used.alias("used"), F.array(*fates).alias("fates"))
+    joined = pairs.alias("p").join(decided.alias("d"), F.col("p.by").eqNullSafe(F.col("d.by"))).drop(F.col("d.by"))
+    older = F.col("used") + F.col("older") - F.col("three") + F.col("cost") < budget
+    fate = F.when(F.col("nth") >= SHORTENED, F.when(older, "whole").otherwise("out")).otherwise(F.get("fates", F.col("nth").cast("int")))
+    kept = joined.withColumn("fate", fate).filter("fate <> 'out'")
+    side = lambda c: F.when(F.col("fate") == "less", less(F.col(c))).otherwise(F.col(c)).alias(c)
+    place = F.row_number().over(Window.partitionBy("by").orderBy("order")) - 1
+    return kept.select(F.col("by").alias(by), place.alias("place"), F.col("order").alias(order_col), side("user"), side("assistant"))
 
 
 def interval_speakers(segments: DataFrame, turns: DataFrame, by: str, bucket_s: float = 60.0) -> DataFrame:

@@ -328,7 +328,22 @@ def k10(spark: SparkSession, sf: str) -> DataFrame:
     return op.recent(cited.join(pinned, "doc_id", "left_anti"), ["source"], "doc_id", 4).select("source", "doc_id")
 
 
-@query("k11_budgeted_history")
+_CUT = "CASE WHEN length({0}) // 4 > 54 THEN substr({0}, 1, 4 * greatest(0, ceil(length({0}) / 4.0)::INT // 2 - (length({0}) // 4 - 53) // 2)) || '\n\n--prompt truncated for brevity--\n\n' || substr({0}, 4 * (ceil(length({0}) / 4.0)::INT // 2 + (length({0}) // 4 - 53) // 2) + 1) ELSE {0} END"
+
+
+@query(
+    "k11_budgeted_history",
+    f"""WITH RECURSIVE p AS (SELECT conv_id, turn, coalesce(max(CASE WHEN role = 'user' THEN text END), '') AS u, coalesce(max(CASE WHEN role <> 'user' THEN text END), '') AS a FROM conversations GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS nth, length(u) // 4 + length(a) // 4 AS cost, {_CUT.format("u")} AS su, {_CUT.format("a")} AS sa FROM p),
+c AS (SELECT *, length(su) // 4 + length(sa) // 4 + 11 AS less FROM n),
+r AS (SELECT DISTINCT conv_id, -1::BIGINT AS nth, 0::BIGINT AS used, 'start' AS fate FROM c
+      UNION ALL
+      SELECT conv_id, nth, used + CASE fate WHEN 'whole' THEN cost WHEN 'less' THEN less ELSE 0 END, fate
+      FROM (SELECT c.conv_id, c.nth, r.used, c.cost, c.less, CASE WHEN r.used + c.cost < 120 THEN 'whole' WHEN c.nth > 2 THEN 'stop' WHEN r.used + c.less <= 120 THEN 'less' ELSE 'out' END AS fate
+            FROM r JOIN c ON c.conv_id = r.conv_id AND c.nth = r.nth + 1 WHERE r.fate <> 'stop'))
+SELECT c.conv_id, (row_number() OVER (PARTITION BY c.conv_id ORDER BY turn) - 1)::INT AS place, turn, CASE WHEN fate = 'less' THEN su ELSE u END AS user, CASE WHEN fate = 'less' THEN sa ELSE a END AS assistant
+FROM r JOIN c USING (conv_id, nth) WHERE fate IN ('whole', 'less')""",
+)
 def k11(spark: SparkSession, sf: str) -> DataFrame:
     c = T(spark, sf, "conversations")
     pairs = c.select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).alias("u"), F.when(F.col("role") != "user", F.col("text")).alias("a"))

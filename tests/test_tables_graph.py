@@ -77,12 +77,27 @@ def test_speakers(spark):
     assert [r["speaker"] for r in tables.interval_speakers(seg, turn, "m").orderBy("seg_id").collect()] == ["A", "C", "Unknown"]
 
 
-def test_history_budget():
-    pairs = [("u" * 40, "a" * 40)] * 5
-    assert [i for i, _, _ in tables.pack_history(pairs, 50)] == [0, 1]
-    kept = tables.pack_history([("u" * 4000, "a" * 40)], 100)
-    assert len(kept) == 1 and tables.TRUNCATED in kept[0][1]
-    assert tables.shorten("abc", 100) == "abc"
+def test_history_shortens_the_newest(spark):
+    rows = [("x", 1, "u" * 40, "a" * 40), ("y", 1, "u" * 4000, "a" * 40), ("z", 1, "abcdefgh" * 10, None)]
+    got = {r["c"]: r for r in tables.budgeted_history(spark.createDataFrame(rows, "c string, t int, u string, a string"), 100, "c", "t", "u", "a").collect()}
+    assert got["x"]["user"] == "u" * 40 and got["z"]["assistant"] == ""
+    assert tables.TRUNCATED in got["y"]["user"] and len(got["y"]["user"]) // 4 <= 100 and got["y"]["assistant"] == "a" * 40
+
+
+def test_middle_goes_in_whole_tokens(spark):
+    cut = spark.createDataFrame([("".join(chr(97 + i) * 4 for i in range(9)) + "z",)], "x string").select(tables.without_middle(F.col("x"), 4, "|")).first()[0]
+    # 9 whole tokens and one of a character; the middle is 5, and (9 - 4 + 1) / 2 = 3 go on either side of it.
+    assert cut == "aaaabbbb|iiiiz"
+
+
+def test_running_sums_of_a_hot_group(spark):
+    rows = spark.range(5000).selectExpr("IF(id % 3 > 0, NULL, CAST(id % 7 AS STRING)) AS g", "id", "id % 11 AS v").repartition(5)
+    got = tables.running_sums(rows, ["g"], ["id"], {"before": F.col("v"), "nth": F.lit(1)}).collect()
+    sums = {}
+    for r in sorted(got, key=lambda r: r["id"]):
+        assert (r["before"], r["nth"]) == sums.get(r["g"], (0, 0))
+        sums[r["g"]] = (r["before"] + r["v"], r["nth"] + 1)
+    assert len(got) == 5000
 
 
 def test_merge_moves_edges(spark):
