@@ -2,32 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Entities that expressions find, with what replaces them, in the order of replacement.
+from findling.functions import checks
+
+#: Entities that expressions find, with what replaces them and the check that a match must pass, in the order of replacement.
+#: Where one class of characters ends another begins, so runs are taken whole and from their start: no match goes back over one,
+#: begins in the middle of one, or recurses.
 ENTITIES = (
-    ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "<EMAIL_ADDRESS>"),
-    ("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", "<IBAN>"),
-    ("IP_ADDRESS", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", "<IP_ADDRESS>"),
-    ("PHONE_NUMBER", r"\+[0-9][0-9() .-]{8,}[0-9]", "<PHONE_NUMBER>"),
-    ("CREDIT_CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", "<CREDIT_CARD>"),
+    ("EMAIL_ADDRESS", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "<EMAIL_ADDRESS>", None),
+    ("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", "<IBAN>", checks.iban),
+    ("IP_ADDRESS", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", "<IP_ADDRESS>", checks.octets),
+    ("PHONE_NUMBER", r"\+[0-9][0-9() .-]{8,}[0-9]", "<PHONE_NUMBER>", None),
+    ("CREDIT_CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", "<CREDIT_CARD>", checks.luhn),
+    ("CRYPTO_WALLET", r"\b(?:[13][1-9A-HJ-NP-Za-km-z]{25,34}|(?i:bc1)[02-9A-Za-z]{11,71})\b", "<CRYPTO_WALLET>", checks.wallet),
 )
 SECRET = r"(?i)(?:password|secret|token|api_?key)[ ]*[:=]|AKIA[A-Z0-9]{16}|-----BEGIN [A-Z ]*PRIVATE KEY"
 
 
 def detect(text: Column) -> Column:
-    """A struct of the strings found for each entity."""
-    return F.struct(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(name) for name, p, _ in ENTITIES])
+    """A struct of the strings found for each entity; what fails its check is none."""
+    found = lambda p, good: F.regexp_extract_all(text, F.lit(p), F.lit(0)) if good is None else F.filter(F.regexp_extract_all(text, F.lit(p), F.lit(0)), good)
+    return F.struct(*[found(p, good).alias(name) for name, p, _, good in ENTITIES])
+
+
+def replaced(text: Column, pattern: str, by: str, good: Callable[[Column], Column]) -> Column:
+    """``text`` with ``by`` for each match that is ``good``; the others stay as they are."""
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.zip_with(between, found, lambda b, m: F.concat(b, F.when(m.isNull(), "").when(good(m), by).otherwise(m)))
+    return F.when(F.rlike(text, F.lit(pattern)), F.array_join(parts, "")).otherwise(text)
 
 
 def redact(text: Column) -> Column:
-    """Entities replaced by their names; a failure fails the row's task instead of passing the text on."""
-    for _, pattern, by in ENTITIES:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(by))
-    return text
+    """Entities replaced by their names; a failure fails the row's task instead of passing the text on.
+
+    Each step's text is bound as an element, so the next one reads it instead of computing it again. All kinds but mail have
+    a digit, so a text without one is done after the first step.
+    """
+    (_, mail, by, _), *others = ENTITIES
+
+    def rest(t: Column) -> Column:
+        for _, pattern, by, good in others:
+            t = F.regexp_replace(t, F.lit(pattern), F.lit(by)) if good is None else F.get(F.transform(F.array(t), lambda x: replaced(x, pattern, by, good)), F.lit(0))  # noqa: B023
+        return t
+
+    first = F.array(F.regexp_replace(text, F.lit(mail), F.lit(by)))
+    return F.get(F.transform(first, lambda t: F.when(F.rlike(t, F.lit("[0-9]")), rest(t)).otherwise(t)), F.lit(0))
 
 
 def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:

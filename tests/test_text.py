@@ -95,6 +95,27 @@ def test_redaction_fails_closed_and_names_kinds(spark):
     assert got == "mail <EMAIL_ADDRESS>, call <PHONE_NUMBER>, ip <IP_ADDRESS>, card <CREDIT_CARD>"
 
 
+WALLETS = ("1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2", "3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy", "bc1qar0srrr7xfkvy5l643lydnw9re59gtzzwf5mdq", "bc1p0xlxvlhemja6c4dqv22uapctqupfhlxm9h8z3k2e72q4k9hcz7vqzk5jj0", "BC1QW508D6QEJXTDG4Y5R3ZARVARY0C5XW7KV8F3T4")
+IBANS = ("GB82WEST12345698765432", "DE89370400440532013000", "FR1420041010050500013M02606")
+
+
+def test_checks_tell_planted_errors(spark):
+    """Each identifier is found, and stays where one character is wrong."""
+    for kind, good in (("<CRYPTO_WALLET>", WALLETS), ("<IBAN>", IBANS), ("<CREDIT_CARD>", ("4111 1111 1111 1111", "378282246310005")), ("<IP_ADDRESS>", ("10.1.2.255",))):
+        for v in good:
+            middle = len(v) // 2 + (v[len(v) // 2] == " ")
+            wrong = v[:middle] + next(c for c in ("2", "3", "a", "Z") if c.lower() != v[middle].lower() and (c.isdigit() or not v.isdigit())) + v[middle + 1 :] if kind != "<IP_ADDRESS>" else "10.1.2.256"
+            assert one(spark, gov.redact(F.col("x")), x=f"it is {v}, or {wrong}.") == f"it is {kind}, or {wrong}."
+    found = one(spark, gov.detect(F.col("x")), x=" ".join([*WALLETS, *IBANS, "DE00370400440532013000", "111111111111111111111111111111"]))
+    assert (tuple(found["CRYPTO_WALLET"]), tuple(found["IBAN_CODE"])) == (WALLETS, IBANS)
+
+
+def test_redaction_of_long_runs(spark):
+    for text in ("a@" + "b." * 200_000 + "c", "x" * 300_000 + "@", "1 " * 200_000, "A" * 300_000):
+        got = one(spark, gov.redact(F.col("x")), x=text)
+        assert got == ("<EMAIL_ADDRESS>" if text.startswith("a@") else text)
+
+
 def test_intent_defaults(spark):
     assert tuple(one(spark, op.parse_intent(F.col("x")), x="x")) == ("FACTUAL", 0.5)
     assert tuple(one(spark, op.parse_intent(F.col("x")), x='<think>{"intent": "RESEARCH"}</think>{"intent": "code", "confidence": 3}')) == ("CODE_GENERATION", 1.0)
