@@ -13,6 +13,10 @@ from findling.storage import written
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of the longest word that a worker remembers something about: times the number of words, that bounds a memory.
+REMEMBERED = 64
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

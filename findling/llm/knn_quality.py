@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findling.llm.common import Columns
+from findling.llm.common import REMEMBERED, Columns
 from findling.session import ship
 
 #: Labelled texts of each label in the sample and their most characters, columns of the space, neighbours that vote.
@@ -54,9 +54,11 @@ class _Terms(dict):
     """Word -> buckets of the word and of its shape."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) > MEMO:
-            self.clear()
-        self[word] = out = (_bucket("word " + word.strip(_MARKS).lower()), _bucket("shape " + shape(word)))
+        out = (_bucket("word " + word.strip(_MARKS).lower()), _bucket("shape " + shape(word)))
+        if len(word) <= REMEMBERED:
+            if len(self) > MEMO:
+                self.clear()
+            self[word] = out
         return out
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findling.llm.common import Columns
+from findling.llm.common import REMEMBERED, Columns
 from findling.plans.components import connected_components
 from findling.session import ship
 from findling.storage import release, written
@@ -54,9 +54,11 @@ _ALL = (1 << 64) - 1
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= REMEMBERED:
+            if len(self) > MEMO:
+                self.clear()
+            self[word] = h
         return h
 
 

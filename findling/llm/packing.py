@@ -13,25 +13,35 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findling.llm.common import Columns
+from findling.llm.common import REMEMBERED, Columns
 from findling.session import ship
 from findling.storage import written
 
-#: Words, and parts of words, whose ids a worker remembers in each of two generations; a full one replaces the older.
-MEMO = 600_000
+#: Words, and parts of words, whose ids a worker remembers in each of two generations; a full one replaces the older. None is
+#: longer than REMEMBERED bytes, so a generation has less than 200 MB, whatever the texts.
+MEMO = 400_000
+#: Longer words are looked up alone, in parts of about so many characters where a probe shows that the tokenizer parts them.
+PART = 1 << 15
+#: Characters after which, and before which, a long word may be cut.
+CUT_AFTER, CUT_BEFORE = "0123456789\u3002\uff0c\u3001\uff1b", "0123456789a-zA-Z\u4e00-\u9fff"
+#: Texts, and their characters, that go through the tokenizer together.
+TEXTS, CHARACTERS = 64, 1_000_000
 #: Marks that end a word and are cut off before the rest is looked up.
 ENDS = b".,;:!?*#$%&"
 #: Pieces of all lengths that share a range of the hash, on average, and the most ranges.
 RANGE_ROWS, MAX_RANGES = 500, 1 << 16
 _MEMO: dict[str, _Ids] = {}
+_CUT = re.compile(f"(?<=[{CUT_AFTER}])(?=[{CUT_BEFORE}])")
 
 
 class _Memory:
@@ -80,6 +90,7 @@ class _Ids:
         self.lowers = t.normalizer is not None and t.normalizer.normalize_str("A") == "a"
         self.parts_marks = t.pre_tokenizer is not None and len(t.pre_tokenizer.pre_tokenize_str("ab,")) == 2
         self.by_word = self._probe()
+        self.cuts = self._probe_cuts()
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -91,6 +102,23 @@ class _Ids:
         got = self.tokenizer.encode_batch_fast([" " + "".join(p) + "\n" for p in texts], add_special_tokens=False)
         return all(g.ids == alone[a] + alone[b] for g, (a, _, b) in zip(got, texts, strict=True))
 
+    def _probe_cuts(self) -> bool:
+        """If every character to cut after ends a token before each kind of character to cut before."""
+        befores = ("7", "a", "Q", "s", "\u4e2d", "\u6587")
+        return all(self._whole(f"b{x}{y}c") == self._whole(f"b{x}") + self._whole(f"{y}c") for x in CUT_AFTER for y in befores)
+
+    def _long(self, word: str) -> bytes:
+        """The ids of a long word; a run of letters without a place to cut is tokenised whole."""
+        if not self.cuts or len(word) <= PART or any(s.decode() in word for s in self.special):
+            parts = [word]
+        else:
+            ends, parts, begin = [m.start() for m in _CUT.finditer(word)] + [len(word)], [], 0
+            for a, b in zip(ends, [*ends[1:], None], strict=True):
+                if b is None or b - begin > PART:
+                    parts.append(word[begin:a])
+                    begin = a
+        return b"".join(np.array(self._whole(p), dtype="<u4").tobytes() for p in parts)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [np.array(g.ids, dtype="<u4").tobytes() for g in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,10 +130,13 @@ class _Ids:
                 low, odd = data, True
             lists.append(low.split())
         self.words.turn()
-        new = self.words.missing(set().union(*lists))
+        words = set().union(*lists)
+        long = {w: self._long(w.decode()) for w in words if len(w) > REMEMBERED}
+        new = self.words.missing(words.difference(long))
         if new:
             self._learn(new, odd)
-        of = self.words.new.__getitem__
+        known = self.words.new
+        of = (lambda w: long[w] if w in long else known[w]) if long else known.__getitem__
         return [b"".join(map(of, words)) for words in lists]
 
     def _learn(self, new: list[bytes], odd: bool) -> None:
@@ -155,8 +186,11 @@ def _pieces(path: str, capacity: int, end_id: int, carried: list[str]):
                 keys = batch.select(carried).take(pa.array(row, pa.int64())).columns  # noqa: B023
                 return pa.record_batch([*keys, pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], names=[*carried, *PIECE])  # noqa: B023
 
-            for first in range(0, batch.num_rows, 64):
-                texts = [t or "" for t in batch.column(batch.num_columns - 1).slice(first, 64).to_pylist()]
+            lengths = pc.fill_null(pc.utf8_length(batch.column(batch.num_columns - 1)), 0).to_pylist()
+            first = 0
+            while first < batch.num_rows:
+                some = next((k for k in range(1, TEXTS) if sum(lengths[first : first + k + 1]) > CHARACTERS), TEXTS)
+                texts = [t or "" for t in batch.column(batch.num_columns - 1).slice(first, some).to_pylist()]
                 for i, got in enumerate(encode(texts), first):
                     whole = got + tail
                     n = len(whole) // 4
@@ -168,6 +202,7 @@ def _pieces(path: str, capacity: int, end_id: int, carried: list[str]):
                         total.append(n)
                         ids.append(part)
                         held += len(part)
+                first += some
                 if held > 8_000_000:
                     yield flush()
                     row, start, length, total, ids, held = [], [], [], [], [], 0

@@ -266,3 +266,33 @@ def test_packing_odd(spark, odd, name):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     with pytest.raises(ValueError):
         packing.tokenise_pieces(docs.withColumn("Start", F.lit(1)), path, carry=("Start",))
+
+
+def test_long_words_are_not_remembered():
+    """Texts without spaces: ids equal those of whole texts, nothing long is kept, and 20 MB stay within bounds."""
+    import subprocess
+    import sys
+
+    from tokenizers import Tokenizer
+
+    path = word_tokenizer()
+    rng = random.Random(5)
+    encode, whole = packing._Ids(path), Tokenizer.from_file(path)
+    chinese = "".join(rng.choice("\u4e2d\u6587\u5b57\u6f22\u7684\u3002\uff0c1a") for _ in range(90_000))
+    code = "".join(rng.choice("abcXYZ019(){};=+/'s") for _ in range(120_000))
+    texts = [chinese, code, f"short words {code[:90]} again", "1" * 70_000, ""]
+    assert encode.cuts
+    for got, text in zip(encode(texts), texts, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert max(map(len, encode.words.new)) <= 64
+    work = f"""
+import resource, random
+from findling.llm import packing
+e = packing._Ids({path!r})
+low = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = "".join(random.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=200_000)) * 100
+assert len(e([text])[0]) > 4_000_000
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - low) // 1024)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", work], capture_output=True, text=True, check=True, timeout=200).stdout)
+    assert grown < 500
