@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from findling.operators.vector import PUBLIC_LAYERS
 from findling.plans.components import connected_components
 from findling.session import ship
-from findling.storage import release, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -117,55 +116,6 @@ def resolve_names(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return out.join(e, F.lower("target_entity") == F.col("k")).withColumnRenamed("i", "target_id").drop("k")
 
 
-def communities(edges: DataFrame, levels: int = 3, rounds: int = 6, gamma: float = 1.0) -> DataFrame:
-    """(id, level, community): modularity communities at resolutions 1, 2, 4 and so on.
-
-    Every round offers each node the neighbouring community with the largest gain; a
-    node moves in rounds of its own parity, so neighbours don't swap for ever. This is a
-    parallel approximation of sequential refinement: labels differ from other
-    implementations, modularity is what tests look at.
-    """
-    w = both_ways_weighted(edges)
-    w = written(w, "community-edges")
-    strength = w.groupBy("a").agg(F.sum("w").alias("k"))
-    total = strength.agg(F.sum("k")).first()[0] or 1.0
-    out = None
-    for level in range(levels):
-        res = gamma * 2**level / total
-        state = written(strength.select(F.col("a").alias("id"), "k", F.col("a").alias("c")), "community")
-        for r in range(rounds):
-            sums = state.groupBy("c").agg(F.sum("k").alias("ks"))
-            links = w.join(state.select(F.col("id").alias("b"), F.col("c").alias("nc")), "b").groupBy("a", "nc").agg(F.sum("w").alias("wc"))
-            gain = links.join(sums.withColumnRenamed("c", "nc"), "nc").join(state.select(F.col("id").alias("a"), "k", "c"), "a")
-            own = F.when(F.col("nc") == F.col("c"), F.col("k")).otherwise(0.0)
-            best = gain.withColumn("g", F.col("wc") - F.lit(res) * F.col("k") * (F.col("ks") - own)).groupBy("a").agg(F.max(F.struct(F.round("g", 9).alias("g"), F.col("nc"))).alias("m"), F.max(F.when(F.col("nc") == F.col("c"), F.round("g", 9))).alias("stay"))
-            turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-            moved = state.join(best.withColumnRenamed("a", "id"), "id", "left")
-            new = moved.select("id", "k", F.when(turn & (F.col("m.g") > F.coalesce("stay", F.lit(0.0))), F.col("m.nc")).otherwise(F.col("c")).alias("c"))
-            new = written(new, "community")
-            release(state)
-            state = new
-        part = state.select("id", F.lit(level).alias("level"), F.col("c").alias("community"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def both_ways_weighted(edges: DataFrame) -> DataFrame:
-    """Undirected weights, parallel edges added up, loops left out."""
-    e = edges.filter("source_id <> target_id").groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.sum("weight").alias("w"))
-    return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-
-
-def modularity(edges: DataFrame, members: DataFrame) -> float:
-    w = both_ways_weighted(edges)
-    m = members.select("id", "community")
-    j = w.join(m.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(m.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
-    total = w.agg(F.sum("w")).first()[0]
-    inside = j.filter("ca = cb").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-    sums = w.groupBy("a").agg(F.sum("w").alias("k")).join(m, F.col("a") == F.col("id")).groupBy("community").agg(F.sum("k").alias("k"))
-    return inside / total - sums.agg(F.sum(F.col("k") * F.col("k"))).first()[0] / total**2
-
-
 def dominant_type(members: DataFrame, by: str, type_col: str = "type") -> DataFrame:
     """``dominant`` type of each group; ties by name."""
     n = members.groupBy(by, type_col).agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findling.operators import graph as op
+from findling.operators.communities import communities
 from findling.operators import tables
 from findling.plans.registry import query
 from findling.plans.tables import UUID5, UUID5_DIGEST, EDGES, ENTITIES, edges, entities
@@ -13,8 +14,6 @@ from findling.session import table
 
 _VISIBLE = "(SELECT id FROM ent WHERE layer_id IN ('default', 'public'))"
 _WAYS = "(SELECT source_id AS a, target_id AS b FROM edg UNION ALL SELECT target_id, source_id FROM edg)"
-#: A sparse graph for components: orders of one priority join customers with the order's tens.
-_THIN = "(SELECT 'c' || o_custkey AS source_id, 'k' || (o_orderkey // 40) AS target_id FROM orders WHERE o_orderpriority LIKE '1%')"
 
 
 @query("g1_upsert_entities", f"SELECT id, CASE WHEN id LIKE 'c%1' THEN 'Renamed ' || id ELSE name END AS name, type FROM {ENTITIES}")
@@ -50,9 +49,6 @@ def g3_compat(spark: SparkSession, sf: str) -> DataFrame:
     return op.local_search(entities(spark, sf), edges(spark, sf), seeds, 2, strict_path=False)
 
 
-_COMPONENTS = f"WITH RECURSIVE thin AS (SELECT DISTINCT * FROM {_THIN}), w AS (SELECT source_id AS a, target_id AS b FROM thin UNION SELECT target_id, source_id FROM thin), r AS (SELECT a AS id, a AS root FROM w UNION SELECT w.b, r.root FROM r JOIN w ON w.a = r.id), comp AS (SELECT id, min(root) AS component FROM r GROUP BY id)"
-
-
 @query("g6_components")
 def g6(spark: SparkSession, sf: str) -> DataFrame:
     return op.components(edges(spark, sf))
@@ -66,7 +62,7 @@ def g6_small(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g7_communities")
 def g7(spark: SparkSession, sf: str) -> DataFrame:
-    return op.communities(edges(spark, sf))
+    return communities(edges(spark, sf))
 
 
 _NATIONS = "(SELECT 'n' || s_nationkey AS component, 's' || s_suppkey AS id, s_suppkey FROM supplier)"
