@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findling.operators import governance, graph, jobs, models
-from findling.plans.registry import query
+from findling.plans.registry import ORACLES, query
+from findling.plans import text_queries  # noqa: F401  its SQL is used here
 from findling.plans.tables import CHUNKS, ENTITIES, chunks, entities
-from findling.session import table
+from findling.session import table, table_stream
 from findling.sources.store import ChunkStore
-from findling.storage import shared_root
+from findling.storage import folder
 
 AS_OF = "2024-01-31 00:00:00"
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/findling/{name}-{uuid.uuid4().hex}"
-
-
 def _store(spark: SparkSession, rows: DataFrame) -> ChunkStore:
-    store = ChunkStore(spark, _folder(spark, "store"), 4)
+    store = ChunkStore(spark, folder(spark, "store"), 4)
     store.append(rows)
     return store
 
@@ -80,7 +75,7 @@ def s11(spark: SparkSession, sf: str) -> DataFrame:
 @query("s36_add_documents", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 OR length(trim(text)) = 0 THEN 0 ELSE greatest(1, ceil((length(text) - 200) / 800.0))::BIGINT END AS chunks, CASE WHEN doc_id % 6 = 0 THEN 'registered' WHEN length(trim(text)) = 0 THEN 'failed' ELSE 'embedded' END AS status FROM documents")
 def s36(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("workspace_id"), F.when(F.col("doc_id") % 6 == 0, "archive://x").otherwise("file://x").alias("path"))
-    return jobs.add_documents(ChunkStore(spark, _folder(spark, "store"), 8), docs, models.hash_embedder(8))
+    return jobs.add_documents(ChunkStore(spark, folder(spark, "store"), 8), docs, models.hash_embedder(8))
 
 
 # ---- jobs
@@ -103,9 +98,71 @@ _STEP = "CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing
 def r1(spark: SparkSession, sf: str) -> DataFrame:
     from findling.streaming.state import final_status
 
-    source = table(spark, sf, "events")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return final_status(stream.select(F.col("user_id").cast("string").alias("document_id"), F.expr(_STEP).alias("status"), F.col("ts").cast("timestamp").alias("ts")), _folder(spark, "status"))
+    return final_status(table_stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("document_id"), F.expr(_STEP).alias("status"), F.col("ts").cast("timestamp").alias("ts")), folder(spark, "status"))
+
+
+@query("r1_status_history", ORACLES["r1_document_status"])
+def r1_history(spark: SparkSession, sf: str) -> DataFrame:
+    from findling.streaming.documents import status_with_history
+
+    rows = table_stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("document_id"), F.expr(_STEP).alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    return status_with_history(rows, folder(spark, "history")).select("document_id", "status", "events")
+
+
+@query("t21_think_fragments", "SELECT conv_id || '-' || turn AS id, text AS visible, role AS thought FROM conversations")
+def t21_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    from findling.streaming.documents import think_stream
+
+    said = table_stream(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat(F.lit("<think>"), "role", F.lit("</think>"), "text").alias("t"))
+    last = F.floor((F.length("t") - 1) / 9).cast("long")
+    cut = said.withColumn("last", last).withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    parts = think_stream(cut.select("id", "seq", F.substring(F.col("t"), (F.col("seq") * 9 + 1).cast("int"), F.lit(9)).alias("fragment"), (F.col("seq") == F.col("last")).alias("is_last")), folder(spark, "thoughts"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", c))), lambda x: x[c]), "").alias(c)
+    return parts.groupBy("id").agg(joined("visible"), joined("thought"))
+
+
+#: Nations with their suppliers, then with their regions; every fifth supplier and the first region leave again.
+_CHANGES = "SELECT 'n' || s_nationkey AS a, 's' || s_suppkey AS b FROM supplier WHERE s_suppkey % 5 > 0 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation WHERE n_regionkey > 0"
+
+
+@query("g11_incremental_components", f"WITH RECURSIVE e AS ({_CHANGES}), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS root FROM w UNION SELECT w.b, r.root FROM r JOIN w ON w.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY node")
+def g11_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    from findling.streaming.components import IncrementalComponents
+
+    named = lambda t, a, b: t.select(F.concat(F.lit(a[0]), a[1]).alias("source_id"), F.concat(F.lit(b[0]), b[1]).alias("target_id"))
+    sold = named(table(spark, sf, "supplier"), ("n", "s_nationkey"), ("s", "s_suppkey"))
+    lie = named(table(spark, sf, "nation"), ("n", "n_nationkey"), ("r", "n_regionkey"))
+    fifth = named(table(spark, sf, "supplier").filter("s_suppkey % 5 = 0"), ("s", "s_suppkey"), ("n", "s_nationkey"))
+    index = IncrementalComponents(spark, folder(spark, "graph"))
+    for number, (rows, gone) in enumerate(((sold, False), (lie, False), (fifth.unionByName(lie.filter("target_id = 'r0'")), True))):
+        index.apply(rows.withColumns({"is_deleted": F.lit(gone), "seq": F.lit(0)}), number)
+    return index.members()
+
+
+def _late():
+    """Fails at first on texts of some lengths, and always on others."""
+
+    def embed(text: str, n: int) -> list[float]:
+        if len(text) % 11 == 0 or len(text) % 3 == 0 and n == 1:
+            raise RuntimeError("not now")
+        return [float(len(text))]
+
+    return embed
+
+
+@query(
+    "r2_document_chain",
+    f"""SELECT doc_id, CASE WHEN n % 11 = 0 OR n % 3 = 0 AND batch = 2 THEN 'failed' ELSE 'completed' END AS status, (CASE WHEN n % 11 = 0 THEN 3 - batch WHEN n % 3 = 0 AND batch < 2 THEN 2 ELSE 1 END)::INT AS tries
+FROM (SELECT doc_id, coalesce(length(redacted), 0) AS n, doc_id % 3 AS batch FROM ({ORACLES["c2_redact"]}))""",
+)
+def r2_chain(spark: SparkSession, sf: str) -> DataFrame:
+    from findling.streaming.documents import DocumentChain
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    chain = DocumentChain(spark, folder(spark, "chain"), _late(), lambda text: [w for w in text.split()[:8] if w[:1].isupper()])
+    for number in range(3):
+        chain.apply(docs.filter(F.col("doc_id") % 3 == number), number)
+    return chain.documents().select("doc_id", "status", "tries")
 
 
 @query("r1_latest_state", "SELECT user_id AS document_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS updated FROM events GROUP BY user_id")
@@ -173,7 +230,7 @@ def e6(spark: SparkSession, sf: str) -> DataFrame:
 @query("e7_community_index", f"SELECT 'community-' || community AS id, title || chr(10) || summary AS content, 'w' AS workspace_id, 8 AS dimension FROM ({_SUMMARIES})")
 def e7(spark: SparkSession, sf: str) -> DataFrame:
     index = models.community_index(models.community_summaries(_described(spark, sf)), models.hash_embedder(8), "w")
-    store = ChunkStore(spark, _folder(spark, "store"), 8)
+    store = ChunkStore(spark, folder(spark, "store"), 8)
     store.append(index)
     return store.read().select("id", "content", "workspace_id", F.size("embedding").alias("dimension"))
 
@@ -204,7 +261,7 @@ def e10(spark: SparkSession, sf: str) -> DataFrame:
 @query("r2_vector_to_graph", "SELECT 'embedded' AS status, count(*) AS n FROM documents WHERE length(trim(text)) > 0 GROUP BY ALL UNION ALL SELECT 'entity', count(DISTINCT lower(lang)) FROM documents WHERE length(trim(text)) > 0")
 def r2(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").filter(F.length(F.trim("text")) > 0).select("doc_id", "text", "lang", F.lit("w").alias("workspace_id"), F.lit("file://x").alias("path"))
-    status = jobs.add_documents(ChunkStore(spark, _folder(spark, "store"), 8), docs, models.hash_embedder(8))
+    status = jobs.add_documents(ChunkStore(spark, folder(spark, "store"), 8), docs, models.hash_embedder(8))
     found = docs.select(F.col("lang").alias("name"), F.lit("LANG").alias("type"), F.lit("").alias("description"), "doc_id")
     named = graph.dedup_entities(found, "doc_id").select(F.lit("entity").alias("status"))
     return status.select("status").unionByName(named).groupBy("status").agg(F.count("*").alias("n"))

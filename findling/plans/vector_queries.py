@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from findling.functions import vectors as V
 from findling.operators import vector as op
-from findling.plans.registry import query
+from findling.operators.vector_index import VectorIndex
+from findling.plans.registry import ORACLES, query
 from findling.plans.tables import LAYER, query_vector, vectors
 from findling.session import table
+from findling.storage import folder
 
 _Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
 _COS = "list_cosine_similarity(embedding::DOUBLE[], q)"
@@ -29,6 +31,24 @@ def k2(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("vec_id", "layer_id", R("score").alias("score"))
 
 
+def _index(spark: SparkSession, rows: DataFrame, metric: str) -> VectorIndex:
+    index = VectorIndex(spark, folder(spark, "index"), metric)
+    index.build(rows)
+    return index
+
+
+@query("k1_indexed_topk", ORACLES["k1_l2_topk"])
+def k1_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    found = _index(spark, vectors(spark, sf), "l2").search(query_vector(spark, sf), 10)
+    return found.select("vec_id", R("score").alias("score"))
+
+
+@query("k2_indexed_topk", ORACLES["k2_cosine_topk"])
+def k2_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    found = _index(spark, vectors(spark, sf).filter("vec_id <> 0"), "cosine").search(query_vector(spark, sf), 10, ["default", "public", "layer_hr"])
+    return found.select("vec_id", "layer_id", R("score").alias("score"))
+
+
 @query("k2_threshold_search", f"SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, {_COS} AS s FROM embeddings, {_Q} WHERE {LAYER} IN ('default', 'public') ORDER BY s DESC, vec_id LIMIT 4) WHERE s >= 0.25")
 def k2_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return op.threshold_search(vectors(spark, sf), query_vector(spark, sf)).select("vec_id", R("score").alias("score"))

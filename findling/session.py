@@ -32,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str):
+    """One of the provided tables as a stream of its files, be it one file or a folder: a pattern may name either."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that weren't started with it on their path."""
     sc = spark.sparkContext

@@ -43,6 +43,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for what an operator keeps itself, deleted with the intermediate tables."""
+    path = f"{shared_root(spark)}/findling/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def appended(spark: SparkSession, chunks: Iterable[list[tuple]], schema: str, name: str) -> DataFrame:
     """A table written from the driver part by part, so that only one part is held."""
     path = f"{shared_root(spark)}/findling/{name}-{uuid.uuid4().hex}"

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,27 @@ def test_similarity_join_without_links(spark):
     data = [(1, "a", [1.0, 0.0]), (2, "a", [0.0, 1.0]), (3, "b", [1.0, 0.0])]
     rows = spark.createDataFrame(data, "id long, type string, embedding array<double>")
     assert op.similarity_join(rows).count() == 0 and op.similarity_join(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_index_reads_few_cells_without_loss(spark, metric):
+    """Clustered vectors: the results of the full scan, from a part of the cells; layers are looked at before ranking."""
+    import tempfile
+
+    from findling.operators.vector_index import VectorIndex
+
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(12, 6)) * 4
+    v = centers[rng.integers(12, size=900)] + 0.2 * rng.normal(size=(900, 6))
+    rows = [(i, r.tolist(), ("public", "layer_a")[i % 2]) for i, r in enumerate(v)] + [(1000, None, "public")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, layer_id string")
+    index = VectorIndex(spark, tempfile.mkdtemp(prefix="findling-"), metric)
+    index.build(df, 24)
+    for q in (v[0] * 1.01, centers[3], rng.normal(size=6)):
+        for allowed in (None, ["layer_a"]):
+            want = op.top_k(df, q.tolist(), 7, metric, allowed).collect()
+            got = index.search(q.tolist(), 7, allowed, first=2).collect()
+            assert [r["vec_id"] for r in got] == [r["vec_id"] for r in want]
+            assert len(index.cells_read) < 24
+    plan = index.read([1, 2])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "cell" in plan.split("PartitionFilters: [")[1].split("]")[0]
