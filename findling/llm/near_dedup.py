@@ -8,13 +8,14 @@
    can still improve.
 3. Bands of slots are buckets. In each bucket the members are verified against one pivot,
    on full sets; verified links are joined into components.
-4. What then lies in one bucket but in different components is compared in blocks of bounded size, without
-   texts: a class is there by the size of its set and the parities of the set's hashes in a table of bits. Two sets differ
+4. What then lies in one bucket but in different components is compared in blocks of bounded size: a class is
+   there by the size of its set and the parities of the set's hashes in a table of bits. Two sets differ
    in at least as many elements as their tables do in bits, so a pair whose tables differ in more bits than linked
-   sets may differ in elements is no link. That bound is exact and passes next to nothing below a similarity of 0.73. The
-   pairs it leaves are verified on full sets, in rounds: a block names pairs that would join components (FORESTS
-   forests in the first round, as many times more in each later one), and pairs found unlinked are not named again.
-   Rounds end when no pair is left, so every pair that shares a bucket is decided and no block emits all pairs of a group.
+   sets may differ in elements is no link. That bound is exact and passes next to nothing below a similarity of 0.7.
+5. Classes that it leaves with a possible pair come to the blocks again with their whole sets of hashes, each once to a block
+   whose size is bounded by their elements. There every possible pair of different components is decided, in the first of the bands that it
+   shares, and what is linked is joined at once. Blocks give links only, at most one less than they have members: no pairs
+   leave a block, whatever a group's similarity.
 
 At similarity 0.75 a pair shares no bucket with a chance of (1 - 0.75^4)^32 = 5e-6, at 0.8
 of 5e-8; the README has the recall against all pairs.
@@ -46,8 +47,8 @@ CHUNK, MEMO = 200_000, 500_000
 RANK_BITS = 40
 #: Tasks that share the classes of a component.
 SALTS = 8
-#: Forests of possible pairs that a block names in the first round; each later one names so many times more.
-FORESTS = 4
+#: Elements of all members of a bucket in one block where whole sets are compared.
+ELEMENTS = 1_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ALL = (1 << 64) - 1
 
@@ -184,9 +185,8 @@ def _folded(table: np.ndarray, words: int) -> np.ndarray:
     return table
 
 
-def possible_links(n: np.ndarray, comp: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Places (one of ``left``, one of ``right``) of different components that the bound leaves possible, likeliest first."""
-    found = []
+def possible_partners(n: np.ndarray, comp: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For places of ``left`` the places of ``right`` in other components that the bound leaves possible, where there are any."""
     tables = _tables(bits)
     own = {int(i): table[k] for at, table in tables.values() for k, i in enumerate(at)}
     within = np.zeros(len(n), bool)
@@ -194,7 +194,8 @@ def possible_links(n: np.ndarray, comp: np.ndarray, bits: list[bytes], left: np.
     # Where both sides are one block, each pair is looked at once.
     same = np.array_equal(left, right)
     sides = [(at[within[at]], table[within[at]]) for at, table in tables.values()]
-    for i in left:
+    for i in left.tolist():
+        found = []
         for at, table in sides:
             # Linked sets of sizes p <= q have 100 p >= percent q, and differ in at most (100 - percent) / (100 + percent) of p + q elements.
             low, high = np.minimum(n[at], n[i]), np.maximum(n[at], n[i])
@@ -202,21 +203,23 @@ def possible_links(n: np.ndarray, comp: np.ndarray, bits: list[bytes], left: np.
             fit = np.flatnonzero(fit & (at > i) if same else fit)
             if not len(fit):
                 continue
-            words = min(table.shape[1], len(own[int(i)]))
-            differ = np.bitwise_count(_folded(table[fit], words) ^ _folded(own[int(i)], words)).sum(axis=1, dtype=np.int64)
-            both = n[at[fit]] + n[i]
-            near = np.flatnonzero((100 + percent) * differ <= (100 - percent) * both)
-            found += [(differ[k] / both[k], int(i), int(at[fit[k]])) for k in near]
-    return [(i, j) for _, i, j in sorted(found)]
+            words = min(table.shape[1], len(own[i]))
+            differ = np.bitwise_count(_folded(table[fit], words) ^ _folded(own[i], words)).sum(axis=1, dtype=np.int64)
+            found.append(at[fit[(100 + percent) * differ <= (100 - percent) * (n[at[fit]] + n[i])]])
+        near = np.concatenate(found) if found else np.empty(0, np.int64)
+        if len(near):
+            yield i, near
 
 
-def _cells(where: DataFrame) -> DataFrame:
+def _cells(where: DataFrame, elements: int | None = None) -> DataFrame:
     """Buckets of several components as pairs of blocks (``lower``, ``upper``); ``blk`` is the one that a row is in.
 
     In a large bucket the members of its largest component, which needs no comparison within, have blocks of their own: they
-    meet the others only, so a group of near copies that is joined already is not copied once for each of its blocks.
+    meet the others only, so a group of near copies that is joined already is not copied once for each of its blocks. With
+    ``elements``, blocks also hold so many of them on average; ``where`` has them as ``n`` then.
     """
-    sizes = where.groupBy("key", "comp").agg(F.count("*").alias("rows"))
+    count = F.count("*") if elements is None else F.greatest(F.count("*"), F.ceil(F.sum("n") * F.lit(BLOCK / elements)))
+    sizes = where.groupBy("key", "comp").agg(count.alias("rows"))
     sizes = sizes.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("most"), F.sum("rows").alias("all")).filter("most.rows < all")
     rows = where.join(sizes, "key")
     large = F.col("all") > BLOCK
@@ -233,39 +236,83 @@ def _cells(where: DataFrame) -> DataFrame:
     return rows.select("key", "node", "comp", "blk", F.explode(cells).alias("cell")).select("key", "node", "comp", "blk", "cell.lower", "cell.upper")
 
 
-def _named(key: tuple, table: pa.Table, forests: int, percent: int) -> pa.Table:
-    """Pairs of classes in one pair of blocks of a bucket that, if linked, would join components, and who is left."""
-    first, second = key[1].as_py(), key[2].as_py()
-    names, blk = table["node"].to_pylist(), table["blk"].to_numpy()
-    comp, n = np.unique(table["comp"].to_numpy(), return_inverse=True)[1], table["n"].to_numpy()
-    unlinked = [set(x or ()) for x in table["unlinked"].to_pylist()]
-    pairs = possible_links(n, comp, table["bits"].to_pylist(), np.flatnonzero(blk == first), np.flatnonzero(blk == second), percent)
-    pairs = [(i, j) for i, j in pairs if names[j] not in unlinked[i] and names[i] not in unlinked[j]]
-    out = set()
-    for _ in range(forests):
-        root = list(range(int(comp.max()) + 1))
-
-        def find(x: int) -> int:
-            while root[x] != x:  # noqa: B023
-                root[x] = root[root[x]]  # noqa: B023
-                x = root[x]  # noqa: B023
-            return x
-
-        rest = []
-        for i, j in pairs:
+def _possible(percent: int):
+    """The classes of a pair of blocks that have a possible pair there."""
+
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        names, n, comp, left, right = _sides(key, table)
+        marked = np.zeros(len(n), bool)
+        for i, near in possible_partners(n, comp, table["bits"].to_pylist(), left, right, percent):
+            marked[i] = True
+            marked[near] = True
+        return pa.table({"key": pa.array([key[0].as_py()] * int(marked.sum()), pa.int64()), "node": names[marked]})
+
+    return work
+
+
+def _sides(key: tuple, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names, sizes and components of the members of a pair of blocks, and the places of those on either side."""
+    blk = table["blk"].to_numpy()
+    comp = np.unique(table["comp"].to_numpy(), return_inverse=True)[1]
+    return table["node"].to_numpy(), table["n"].to_numpy(), comp, np.flatnonzero(blk == key[1].as_py()), np.flatnonzero(blk == key[2].as_py())
+
+
+def decided_links(n: np.ndarray, comp: np.ndarray, partners: Iterator[tuple[int, np.ndarray]], sets: list[np.ndarray], slots: np.ndarray, band: int, percent: int) -> list[tuple[int, int]]:
+    """The links among possible ``partners`` that join components; pairs that share an earlier band are left to that one.
+
+    Elements are numbered in the block, so what a set shares with all its partners is counted at once.
+    """
+    root, out = list(range(int(comp.max(initial=-1)) + 1)), []
+    ends = np.cumsum([0, *map(len, sets)])
+    names, code = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True)
+    own = np.zeros(len(names), bool)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, near in partners:
+        near = near[~(slots[near, :band] == slots[i, :band]).all(axis=2).any(axis=1)]
+        p = find(comp[i])
+        near = near[[find(c) != p for c in comp[near].tolist()]] if len(near) else near
+        if not len(near):
+            continue
+        mine = code[ends[i] : ends[i + 1]]
+        own[mine] = True
+        shared = np.add.reduceat(own[np.concatenate([code[ends[j] : ends[j + 1]] for j in near.tolist()])], np.cumsum([0, *n[near[:-1]]]), dtype=np.int64)
+        own[mine] = False
+        for j in near[100 * shared >= percent * (n[i] + n[near] - shared)].tolist():
             p, q = find(comp[i]), find(comp[j])
-            if p == q:
-                rest.append((i, j))
-            else:
+            if p != q:
                 root[max(p, q)] = min(p, q)
-                out.add((min(names[i], names[j]), max(names[i], names[j])))
-        pairs = rest
-        if not pairs:
-            break
-    # Who else has a possible pair is named with itself: the next round looks at no others.
-    out.update((names[i], names[i]) for pair in pairs for i in pair)
-    a, b = [a for a, _ in out], [b for _, b in out]
-    return pa.table({"key": pa.array([key[0].as_py()] * len(out), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                out.append((i, j))
+    return out
+
+
+def _decided(percent: int):
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        names, n, comp, left, right = _sides(key, table)
+        partners = possible_partners(n, comp, table["bits"].to_pylist(), left, right, percent)
+        sets = [np.frombuffer(x, np.uint64) for x in table["elements"].to_pylist()]
+        slots = np.frombuffer(b"".join(table["slots"].to_pylist()), "<u2").reshape(-1, BANDS, ROWS)
+        links = decided_links(n, comp, partners, sets, slots, key[0].as_py() & (BANDS - 1), percent)
+        return pa.table({"a": names[np.array([i for i, _ in links], np.int64)], "b": names[np.array([j for _, j in links], np.int64)]})
+
+    return work
+
+
+def _elements(width: int):
+    """Texts as the bytes of their sets."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                yield pa.record_batch([part.column(0), pa.array([shingle_set(t, width).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["node", "elements"])
+
+    return work
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -300,7 +347,8 @@ def _near(table: DataFrame, id_col: str, text_col: str, width: int, percent: int
 
     banded = classes.select("node", "slots", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     piece = F.expr(f"substring(slots, band * {2 * ROWS} + 1, {2 * ROWS})")
-    keys = banded.select("node", F.xxhash64("band", piece).alias("key"))
+    # The last bits of a key are its band.
+    keys = banded.select("node", F.xxhash64("band", piece).bitwiseAND(F.lit(-BANDS)).bitwiseOR(F.col("band")).alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
     buckets = written(keys.join(shared, "key"), "near-buckets")
 
@@ -329,9 +377,6 @@ def _near(table: DataFrame, id_col: str, text_col: str, width: int, percent: int
         c = comp.select(F.col("node").alias(node), F.col("comp").alias("c"))
         return members.join(c, node, "left").withColumn(name, F.coalesce("c", node)).drop("c")
 
-    def naming(forests: int):
-        return lambda key, rows: _named(key, rows, forests, percent)
-
     # First one pivot a class, then the pivots of all its buckets that this hasn't joined.
     pairs = buckets.filter("pivot != node").groupBy("node").agg(F.min("pivot").alias("a")).select("a", F.col("node").alias("b"))
     done = verified(pairs)
@@ -339,31 +384,28 @@ def _near(table: DataFrame, id_col: str, text_col: str, width: int, percent: int
     star = buckets.filter("pivot != node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     star = placed(placed(star, comp, "a", "ca"), comp, "b", "cb").filter("ca != cb")
     star = written(star.join(done.select("a", "b"), ["a", "b"], "left_anti"), "near-stars")
-    unlinked = done.filter("NOT linked").select("a", "b")
     if not star.isEmpty():
         more = verified(star.select("a", "b"))
         links = star.join(more.filter("linked"), ["a", "b"], "left_semi")
         comp = joined(comp, links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        unlinked = unlinked.unionByName(more.filter("NOT linked").select("a", "b"))
-    # Buckets that still hold several components are compared in blocks, until no pair is left to verify.
-    forests, left = FORESTS, buckets.select("key", "node")
-    while True:
-        where = written(placed(left, comp, "node", "comp"), "near-placed")
-        held = classes.select("node", "n", "bits").join(unlinked.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("unlinked")), "node", "left")
-        cells = _cells(where).join(held, "node").select("key", "lower", "upper", "blk", "node", "comp", "n", "bits", "unlinked")
-        named = written(cells.groupBy("key", "lower", "upper").applyInArrow(naming(forests), "key long, a long, b long"), "near-named")
-        if named.isEmpty():
-            break
-        checked = verified(named.filter("a < b").select("a", "b").distinct())
-        unlinked = unlinked.unionByName(checked.filter("NOT linked").select("a", "b"))
-        links = placed(placed(checked.filter("linked"), comp, "a", "ca"), comp, "b", "cb").filter("ca != cb")
-        links = written(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "near-links")
+    # Buckets that still hold several components are compared in blocks.
+    where = written(placed(buckets.select("key", "node"), comp, "node", "comp"), "near-placed")
+    held = classes.select("node", "n", "bits")
+    cells = _cells(where).join(held, "node").select("key", "lower", "upper", "blk", "node", "comp", "n", "bits")
+    possible = written(cells.groupBy("key", "lower", "upper").applyInArrow(_possible(percent), "key long, node long").distinct(), "near-possible")
+    if not possible.isEmpty():
+        need = possible.select("node").distinct()
+        texts = table.select(F.col("row").alias("node"), "text").join(need, "node")
+        sets = written(texts.mapInArrow(_elements(width), "node long, elements binary"), "near-sets")
+        rest = where.join(possible, ["key", "node"], "left_semi").join(classes.select("node", "n"), "node")
+        whole = classes.select("node", "n", "bits", "slots").join(sets, "node")
+        cells = _cells(rest, ELEMENTS).join(whole, "node").select("key", "lower", "upper", "blk", "node", "comp", "n", "bits", "slots", "elements")
+        links = written(cells.groupBy("key", "lower", "upper").applyInArrow(_decided(percent), "a long, b long"), "near-links")
+        release(sets)
+        links = placed(placed(links, comp, "a", "ca"), comp, "b", "cb").filter("ca != cb")
+        links = written(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "near-links")
         if not links.isEmpty():
             comp = joined(comp, links)
-        # Whoever was not named has no possible pair in that bucket.
-        again = named.select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
-        left = where.select("key", "node").join(again, ["key", "node"], "left_semi")
-        forests *= FORESTS
 
     # Components of several classes only; salted, for one may hold a third of all.
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")

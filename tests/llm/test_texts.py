@@ -84,13 +84,14 @@ def test_bound_loses_no_link():
             sets.append(np.unique(np.concatenate([base[: n - k], base[n : n + k]])))
     n = np.array([len(s) for s in sets])
     every = np.arange(len(sets))
-    got = set(near_dedup.possible_links(n, every, [near_dedup.parities(s) for s in sets], every, every, 75))
+    possible = lambda *sides: {(i, j) for i, near in near_dedup.possible_partners(n, every, [near_dedup.parities(s) for s in sets], *sides, 75) for j in near.tolist()}
+    got = possible(every, every)
     both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in every for j in every if i < j}
     want = {(i, j) for (i, j), b in both.items() if 100 * b >= 75 * (n[i] + n[j] - b)}
     assert want <= got and len(want) > 20
     assert all(b / (n[i] + n[j] - b) > 0.7 for (i, j), b in both.items() if (i, j) in got and min(n[i], n[j]) >= 300)
     half = len(sets) // 2
-    across = near_dedup.possible_links(n, every, [near_dedup.parities(s) for s in sets], every[:half], every[half:], 75)
+    across = possible(every[:half], every[half:])
     assert set(across) == {(i, j) for i, j in got if i < half <= j}
 
 
@@ -366,3 +367,14 @@ def test_spans_digest(spark):
     df = spark.createDataFrame([("a@b.cd 1.2.3.4",)], "t string")
     s = df.select(spelled(base_spans(F.col("t")), KINDS).alias("s")).first()["s"]
     assert s == "email:0:6,ip:7:14" and len(hashlib.sha256(s.encode()).hexdigest()) == 64
+
+
+def test_group_just_below_the_threshold(spark):
+    """Documents of similarity 0.74 to each other, and a pair above it: one link, decided inside the blocks."""
+    rng = random.Random(74)
+    core = " ".join(f"core{i}" for i in range(860))
+    texts = [core + " " + " ".join(f"own{d}x{i}" for i in range(150)) for d in range(250)]
+    texts.append(texts[7][: texts[7].rindex(" ")] + " changed")
+    rng.shuffle(rows := list(enumerate(texts)))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == {d: 7 if d == 250 else d for d in range(251)}
