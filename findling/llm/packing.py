@@ -131,13 +131,18 @@ class _Ids:
             lists.append(low.split())
         self.words.turn()
         words = set().union(*lists)
-        long = {w: self._long(w.decode()) for w in words if len(w) > REMEMBERED}
-        new = self.words.missing(words.difference(long))
+        long = [w for w in words if len(w) > REMEMBERED]
+        words.difference_update(long)
+        new = self.words.missing(words)
         if new:
             self._learn(new, odd)
         known = self.words.new
-        of = (lambda w: long[w] if w in long else known[w]) if long else known.__getitem__
-        return [b"".join(map(of, words)) for words in lists]
+        # Known for as long as these texts take.
+        known.update((w, self._long(w.decode())) for w in long)
+        out = [b"".join(map(known.__getitem__, words)) for words in lists]
+        for w in long:
+            del known[w]
+        return out
 
     def _learn(self, new: list[bytes], odd: bool) -> None:
         self.parts.turn()
