@@ -3,7 +3,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from findling.operators import access, graph, tables
+from findling.operators import access, communities, graph, tables
 from findling.operators import governance as gov
 from findling.plans import components as comp
 from findling.plans import graph_queries
@@ -111,8 +111,8 @@ def test_merge_moves_edges(spark):
 def test_communities_find_two_cliques(spark):
     clique = lambda p: [(f"{p}{i}", f"{p}{j}", 1.0) for i in range(6) for j in range(i)]
     edges = spark.createDataFrame([*clique("a"), *clique("b"), ("a0", "b0", 1.0)], "source_id string, target_id string, weight double")
-    found = graph.communities(edges, levels=1, rounds=8).withColumnRenamed("level", "l")
-    assert graph.modularity(edges, found) > 0.3
+    found = communities.communities(edges, levels=1).withColumnRenamed("level", "l")
+    assert communities.modularity(edges, found) > 0.3
 
 
 def test_python_chunks(spark):
