@@ -5,12 +5,13 @@ normalised text, a hash of the whole text, identifier), sorted externally inside
 each partition by (those bytes, the hash, the text, identifier), and each text is
 compared in full with its neighbour. The identifier is part of the splitters, so a
 text that a third of all rows share spreads over many partitions; what a run of equal
-texts has on either side of a partition's edge is joined by comparing the at most two
-edge texts of each partition. Splitters hold a bounded prefix, never whole texts.
+texts has on either side of a partition's edge is joined by the length and SHA-256 of the
+at most two edge texts of each partition. Splitters hold a bounded prefix, never whole texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +30,12 @@ from findling.storage import written
 PREFIX_CHARS = 64
 
 
+def _edge_key(text: str) -> bytes:
+    """Length and SHA-256 of a text, 40 bytes however long it is."""
+    content = text.encode()
+    return len(content).to_bytes(8, "big") + hashlib.sha256(content).digest()
+
+
 def _runs(id_col: str, carried: list[str], keep_type: pa.DataType, heads: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Label runs of equal neighbours in a sorted partition.
 
@@ -47,7 +54,7 @@ def _runs(id_col: str, carried: list[str], keep_type: pa.DataType, heads: bool)
         out = {c: rows[c] for c in carried}
         out["pid"] = pa.array(np.full(n, TaskContext.get().partitionId(), dtype=np.int32))
         out["edge"] = pa.array(np.full(n, edge, dtype=np.int32))
-        out["edge_text"] = pa.array([text, *[None] * (n - 1)] if edge else [None] * n, pa.string())
+        out["edge_key"] = pa.array([_edge_key(text), *[None] * (n - 1)] if edge else [None] * n, pa.binary())
         out["keep"] = rows[id_col].take(pa.array(of)).cast(keep_type)
         out["size"] = pa.array(size.astype(np.int64))
         out["head"] = pa.array(of == np.arange(n))
@@ -142,14 +149,14 @@ def _labelled(table: DataFrame, id_col: str, text_col: str, carried: list[str],
     out = [*carried, *(["digest"] if sha else [])]
     kind = ordered.schema[id_col].dataType
     schema = T.StructType([ordered.schema[c] for c in out])
-    for name, added in (("pid", T.IntegerType()), ("edge", T.IntegerType()), ("edge_text", T.StringType()), ("keep", kind), ("size", T.LongType()), ("head", T.BooleanType())):
+    for name, added in (("pid", T.IntegerType()), ("edge", T.IntegerType()), ("edge_key", T.BinaryType()), ("keep", kind), ("size", T.LongType()), ("head", T.BooleanType())):
         schema = schema.add(name, added)
     runs = written(ordered.mapInArrow(_runs(id_col, out, to_arrow_type(kind), heads), schema), "exact-runs")
-    edge = runs.filter(F.col("edge_text").isNotNull()).select("pid", "edge", "edge_text", "keep", "size")
-    joined = edge.groupBy("edge_text").agg(F.min("pid").alias("first"), F.min_by("keep", "pid").alias("all_keep"), F.sum("size").alias("all_size"))
-    # At most two rows for each partition of the sort: bounded by the number of partitions, not by the data.
-    edges = F.broadcast(edge.join(joined, "edge_text").select("pid", "edge", "first", "all_keep", "all_size"))
-    whole = runs.drop("edge_text").join(edges, ["pid", "edge"], "left")
+    edge = runs.filter(F.col("edge_key").isNotNull()).select("pid", "edge", "edge_key", "keep", "size")
+    joined = edge.groupBy("edge_key").agg(F.min("pid").alias("first"), F.min_by("keep", "pid").alias("all_keep"), F.sum("size").alias("all_size"))
+    # At most two rows of some 100 bytes for each partition of the sort: bounded by the number of partitions, not by the data.
+    edges = F.broadcast(edge.join(joined, "edge_key").select("pid", "edge", "first", "all_keep", "all_size"))
+    whole = runs.drop("edge_key").join(edges, ["pid", "edge"], "left")
     at_edge = F.col("first").isNotNull()
     return whole.select(
         *out,
