@@ -1,15 +1,12 @@
 """From raw documents to packed training sequences.
 
 Each stage reads what the one before has written and keeps its columns; the last
-returns the pieces of the packed sequences. By the time that a stage is called, the result
-of the one before has been written, so its intermediate tables are deleted then.
+returns the pieces of the packed sequences. ``run`` deletes what a stage wrote for itself as soon as its
+result is written; who calls stages one by one does so with :func:`findling.storage.release_all`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,23 +19,7 @@ from findling.llm.quality_rules import clean_documents
 from findling.llm.queries import SEQUENCE, line_field, word_tokenizer
 from findling.storage import discard, tables_now, written
 
-_LEFT: set[str] = set()
-
-
-def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    @wraps(work)
-    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(spark, _LEFT)
-        before = tables_now()
-        out = work(spark, docs, sf_dir)
-        _LEFT.clear()
-        _LEFT.update(tables_now() - before)
-        return out
 
-    return call
-
-
-@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counts and whose lines are mostly content.
 
@@ -47,7 +28,6 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return clean_documents(docs, line_field(spark, docs, sf_dir))
 
 
-@_stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, the one with the largest identifier.
 
@@ -56,7 +36,6 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return unique_documents(docs, keep="largest")
 
 
-@_stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest identifier.
 
@@ -65,7 +44,6 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return distinct_documents(docs)
 
 
-@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies that bring every source to its target; the null source is one.
 
@@ -75,7 +53,6 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in mixed.columns else mixed
 
 
-@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their sequence and place, and a check sum of the ids.
 
@@ -103,5 +80,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of all documents of ``sf_dir``."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = tables_now()
+        result = stage(spark, docs, sf_dir)
+        own = tables_now() - before
+        docs = written(result, f"pipeline-{name}")
+        discard(spark, own)
     return docs
