@@ -67,9 +67,10 @@ def s10(spark: SparkSession, sf: str) -> DataFrame:
 @query("s11_switch_table", f"SELECT count(*) AS n FROM {CHUNKS} WHERE layer_id = 'public'")
 def s11(spark: SparkSession, sf: str) -> DataFrame:
     blue, green = _store(spark, _kept(spark, sf)), _store(spark, _kept(spark, sf).filter("layer_id = 'public'"))
-    blue.activate("active_chunks")
-    green.activate("active_chunks")
-    return spark.table("active_chunks").agg(F.count("*").alias("n"))
+    pointer = f"{folder(spark, 'active')}/chunks"
+    blue.activate(pointer)
+    green.activate(pointer)
+    return ChunkStore.active(spark, pointer).read().agg(F.count("*").alias("n"))
 
 
 @query("s36_add_documents", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 OR length(trim(text)) = 0 THEN 0 ELSE greatest(1, ceil((length(text) - 200) / 800.0))::BIGINT END AS chunks, CASE WHEN doc_id % 6 = 0 THEN 'registered' WHEN length(trim(text)) = 0 THEN 'failed' ELSE 'embedded' END AS status FROM documents")

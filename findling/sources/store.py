@@ -1,7 +1,10 @@
-"""The table of chunks: one logical table, a partition for each workspace."""
+"""The table of chunks: one logical table in versions, a partition for each workspace."""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,30 +45,67 @@ def migrate_v1(rows: DataFrame, layer: str = "default") -> DataFrame:
 
 
 class ChunkStore:
-    """A Parquet table under ``path``, local or in an object store; partitions are workspaces."""
-
-    def __init__(self, spark: SparkSession, path: str, dimension: int):
-        self.spark, self.path, self.dimension = spark, path.rstrip("/"), dimension
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(CHUNK).parquet(self.path)
-
-    def append(self, rows: DataFrame, files: int | None = None) -> None:
-        """Append chunks; ragged vectors are an error. ``files`` compacts what is written."""
+    """A table under ``path``, local or in an object store, whose every change makes a new version.
+
+    Rows lie in ``data/part_id=.../workspace_id=...``; a written part never changes. The file ``current`` names the parts of
+    the version in force and, for each, the workspaces that later parts replaced. It is replaced by one rename when all rows are written, so a
+    reader sees a whole version, keeps it as long as it likes, and a write that fails leaves nothing to see. One writer at a time.
+    ``vacuum`` deletes what no version in force needs. ``options`` are settings of the file system, such as an
+    object store's ``fs.s3a.endpoint``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, dimension: int, options: dict[str, str] | None = None):
+        self.spark, self.dimension, self.options = spark, dimension, dict(options or {})
+        self.path = path.rstrip("/").replace("s3://", "s3a://", 1)
+
+    def version(self) -> dict:
+        """``parts`` (name, replaced workspaces) in force and the last number of each stream in ``batches``."""
+        text = _read_file(self.spark, f"{self.path}/current", self.options)
+        return json.loads(text) if text else {"parts": [], "batches": {}}
+
+    def read(self, version: dict | None = None) -> DataFrame:
+        """The version in force now, or one that :meth:`version` gave before."""
+        parts = (version or self.version())["parts"]
+        names = [f.name for f in CHUNK]
+        if not parts:
+            return self.spark.createDataFrame([], CHUNK)
+        stored = self.spark.read.options(**self.options).option("basePath", f"{self.path}/data")
+        rows = stored.schema(T.StructType([*CHUNK, T.StructField("part_id", T.StringType())])).parquet(*[f"{self.path}/data/part_id={p['name']}" for p in parts])
+        for p in parts:
+            if p["replaced"]:
+                rows = rows.filter((F.col("part_id") != p["name"]) | ~F.coalesce(F.col("workspace_id").isin(p["replaced"]), F.lit(False)))
+        return rows.select(*names)
+
+    def append(self, rows: DataFrame, files: int | None = None, batch: tuple[str, int] | None = None) -> None:
+        """Append chunks; ragged vectors are an error. ``files`` compacts what is written; a ``batch``, a stream's name and a number that rises, is appended once only."""
+        now = self.version()
+        if batch is not None and batch[1] <= now["batches"].get(batch[0], -1):
+            return
+        part = self._write(rows, files)
+        self._publish([*now["parts"], part], {**now["batches"], **(dict([batch]) if batch is not None else {})})
+
+    def compact(self, files: int | None = None) -> None:
+        """A version of one part with the same rows."""
+        now = self.version()
+        self._publish([self._write(self.read(now), files)], now["batches"])
+
+    def _write(self, rows: DataFrame, files: int | None = None) -> dict:
         rows = with_defaults(rows)
         sized = F.when(F.size("embedding") == self.dimension, F.col("embedding")).otherwise(F.raise_error(F.lit(f"vectors must have {self.dimension} numbers")))
         rows = rows.withColumn("embedding", F.when(F.col("embedding").isNotNull(), sized))
-        (rows.repartition(files, "workspace_id") if files else rows).write.mode("append").partitionBy("workspace_id").parquet(self.path)
+        name = uuid.uuid4().hex
+        out = (rows.repartition(files, "workspace_id") if files else rows).write.options(**self.options)
+        out.partitionBy("workspace_id").parquet(f"{self.path}/data/part_id={name}")
+        return {"name": name, "replaced": []}
 
-    def _replace(self, workspace: str, rows: DataFrame) -> None:
-        """Write the workspace anew beside the old files, then swap them."""
-        from findling.storage import release, written
+    def _publish(self, parts: list[dict], batches: dict[str, int]) -> None:
+        _replace_file(self.spark, f"{self.path}/current", json.dumps({"parts": parts, "batches": batches}), self.options)
 
-        held = written(rows, "store")
-        held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace_id").parquet(self.path)
-        if held.isEmpty():
-            self.drop(workspace)
-        release(held)
+    def _replace(self, workspace: str, rows: DataFrame | None) -> None:
+        """A version in which ``workspace`` has only ``rows``, read from the version in force."""
+        now = self.version()
+        older = [{"name": p["name"], "replaced": sorted({*p["replaced"], workspace})} for p in now["parts"]]
+        self._publish([*older, *([] if rows is None else [self._write(rows)])], now["batches"])
 
     def delete(self, workspace: str, ids: DataFrame, key: str = "id") -> int:
         """Remove chunks by identifier or document; the number removed."""
@@ -82,10 +122,67 @@ class ChunkStore:
         self._replace(workspace, patched(own, patches, "id", cols).select(*[f.name for f in CHUNK]))
 
     def drop(self, workspace: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/workspace_id={workspace}")
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-    def activate(self, name: str = "chunks") -> None:
-        """Point the active name at this store: the swap between two versions of a table."""
-        self.read().createOrReplaceTempView(name)
+        self._replace(workspace, None)
+
+    def vacuum(self) -> int:
+        """Delete parts that the version in force doesn't name; readers of older versions must be done. The number deleted."""
+        live = {f"part_id={p['name']}" for p in self.version()["parts"]}
+        fs, data = _file_system(self.spark, f"{self.path}/data", self.options)
+        dead = [s.getPath() for s in fs.listStatus(data) if s.getPath().getName().startswith("part_id=") and s.getPath().getName() not in live]
+        for path in dead:
+            fs.delete(path, True)
+        return len(dead)
+
+    def activate(self, pointer: str) -> None:
+        """Let the file ``pointer`` name this store: the swap between two tables, for every session that opens it by :meth:`active`."""
+        _replace_file(self.spark, pointer, json.dumps({"path": self.path, "dimension": self.dimension}), self.options)
+
+    @classmethod
+    def active(cls, spark: SparkSession, pointer: str, options: dict[str, str] | None = None) -> ChunkStore:
+        """The store that ``pointer`` names now."""
+        text = _read_file(spark, pointer, options or {})
+        if text is None:
+            raise ValueError(f"{pointer} names no store yet")
+        named = json.loads(text)
+        return cls(spark, named["path"], named["dimension"], options)
+
+
+def _file_system(spark: SparkSession, path: str, options: dict[str, str]):
+    """The file system of ``path`` and the path in it."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = fs.Path(path)
+    return target.getFileSystem(_settings(spark, options)), target
+
+
+def _settings(spark: SparkSession, options: dict[str, str]):
+    conf = spark.sparkContext._jvm.org.apache.hadoop.conf.Configuration(spark.sparkContext._jsc.hadoopConfiguration())
+    for name, value in options.items():
+        conf.set(name, value)
+    return conf
+
+
+def _read_file(spark: SparkSession, path: str, options: dict[str, str]) -> str | None:
+    fs, target = _file_system(spark, path, options)
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _replace_file(spark: SparkSession, path: str, text: str, options: dict[str, str]) -> None:
+    """Write beside ``path`` and rename over it, so readers see the old content or the new."""
+    fs, target = _file_system(spark, path, options)
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(beside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), _settings(spark, options)).rename(beside, target, how)

@@ -68,14 +68,14 @@ def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], check
     q.awaitTermination()
 
 
-def ingest_stream(files: DataFrame, store, embed: Callable[[DataFrame], DataFrame], size: int = 512, overlap: int = 50):
-    """A ``work`` for :func:`run_batches`: redact, split, embed and append the texts of a batch (doc_id, text, workspace_id)."""
+def ingest_stream(files: DataFrame, store, embed: Callable[[DataFrame], DataFrame], size: int = 512, overlap: int = 50, name: str = "ingest"):
+    """A ``work`` for :func:`run_batches`: redact, split, embed and append the texts of a batch (doc_id, text, workspace_id); ``name`` tells streams into one store apart."""
     from findling.operators.governance import redact
     from findling.operators.text import fixed_windows
 
     def work(batch: DataFrame, number: int) -> None:
         clean = batch.withColumn("text", redact(F.col("text")))
         chunks = fixed_windows(clean, size, overlap).select(F.concat_ws("_chunk_", F.col("doc_id").cast("string"), "chunk_no").alias("id"), "content", F.col("doc_id").cast("string").alias("document_id"), "workspace_id")
-        store.append(embed(chunks))
+        store.append(embed(chunks), batch=(name, number))
 
     return work
