@@ -35,7 +35,8 @@ def resolve_layers(roles: DataFrame, layers: DataFrame, permissions: DataFrame,
 
     Grants are first brought down to live layers, the workspace's and the asked level, and to
     distinct patterns; roles to distinct ones. Exact grants join by equality; only
-    patterns with a wildcard meet the distinct roles by LIKE.
+    patterns with a wildcard are tried by LIKE, and only on roles that begin as the pattern does before its
+    first wildcard: each role gives its beginnings of the lengths that patterns have, and those join by equality.
     """
     live = layers.filter(~F.col("is_soft_deleted")).select(F.col("id").alias("layer_id"))
     if mapping is not None:
@@ -46,7 +47,12 @@ def resolve_layers(roles: DataFrame, layers: DataFrame, permissions: DataFrame,
     wild = F.contains("role_pattern", F.lit("*")) | F.contains("role_pattern", F.lit("%")) | F.contains("role_pattern", F.lit("_"))
     exact = grants.join(names, F.col("role_pattern") == F.col("role")).select("role", "layer_id")
     loose = grants.filter(wild).withColumn("p", like_pattern(F.col("role_pattern")))
-    by_pattern = names.join(loose, F.expr("role LIKE p")).select("role", "layer_id")
+    loose = loose.withColumn("begin", F.regexp_extract("p", r"^[^%_\\]*", 0))
+    # One row: no more lengths than the longest pattern has characters.
+    lengths = loose.agg(F.collect_set(F.length("begin")).alias("lengths"))
+    begins = names.join(F.broadcast(lengths), F.lit(True)).select("role", F.explode(F.filter("lengths", lambda n: n <= F.length("role"))).alias("n"))
+    begins = begins.select("role", F.substring("role", F.lit(1), F.col("n")).alias("begin"))
+    by_pattern = begins.join(loose, "begin").filter(F.expr("role LIKE p")).select("role", "layer_id")
     own = roles.join(exact.unionByName(by_pattern).distinct(), "role").select("user_id", "layer_id")
     public = public_layers(layers, permissions).agg(F.collect_set("id").alias("ids"))
     # The set of public layers is one row.
@@ -54,6 +60,12 @@ def resolve_layers(roles: DataFrame, layers: DataFrame, permissions: DataFrame,
     return own.unionByName(everyone).distinct()
 
 
+def layer_permissions(layers: DataFrame, permissions: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Every grant of the layers that a workspace is mapped to: (workspace_id, name, role_pattern, access_level)."""
+    named = layers.select(F.col("id").alias("layer_id"), "name")
+    return permissions.join(named, "layer_id").join(mapping, "layer_id").select("workspace_id", "name", "role_pattern", "access_level")
+
+
 def may_write(users: DataFrame, permissions: DataFrame, layer_id: str) -> DataFrame:
     """``allowed``: a grant to write or more for anyone or for the user."""
     grants = permissions.filter((F.col("layer_id") == layer_id) & F.col("access_level").isin(*LEVELS["WRITE"])).select("role_pattern").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +17,50 @@ AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 now = lambda: F.to_timestamp(F.lit("2024-01-31 00:00:00"))
 T = table
 
-# ---- inline tables, the same text for both engines
-LAYERS = "(SELECT * FROM (VALUES ('l1', 'public', 'SYSTEM', false, 100, 150), ('l2', 'engineering', 'TEAM', false, 100, 50), ('l3', 'hr', 'TEAM', false, 100, 100), ('l4', 'old', 'SYSTEM', true, 10, 0)) AS t(id, name, type, is_soft_deleted, storage_quota_bytes, storage_used_bytes))"
-GRANTS = "(SELECT * FROM (VALUES ('l1', '*', 'READ'), ('l2', 'engineering*', 'WRITE'), ('l3', 'hr', 'WRITE'), ('l3', 'user:7', 'ADMIN'), ('l4', '*', 'READ'), ('l2', 'lead_1', 'ADMIN')) AS t(layer_id, role_pattern, access_level))"
-ROLES = "(SELECT * FROM (VALUES ('alice', 'hr'), ('bob', 'engineering'), ('bob', 'engineering-intern'), ('charlie', 'admin'), ('dave', 'lead-1'), ('dave', 'lead_1')) AS t(user_id, role))"
-I = lambda spark, text: spark.sql(f"SELECT * FROM {text}")  # noqa: E731, E741
+# ---- access tables from the given ones: a layer for each nation, a user for each customer; the same in SQL and in Spark
+LAYERS = """(SELECT 'n' || n_nationkey AS id, n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN 'SYSTEM' ELSE 'TEAM' END AS type, n_nationkey % 7 = 3 AS is_soft_deleted,
+ 15000 * n_regionkey AS storage_quota_bytes, coalesce(used, 0)::BIGINT AS storage_used_bytes
+ FROM nation LEFT JOIN (SELECT s_nationkey AS k, sum(l_quantity) AS used FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey) ON k = n_nationkey)"""
+GRANTS = """(SELECT 'n' || n_nationkey AS layer_id, 'nation-' || n_nationkey AS role_pattern, 'WRITE' AS access_level FROM nation
+ UNION ALL SELECT 'n' || n_nationkey, '*', 'READ' FROM nation WHERE n_nationkey % 10 = 0
+ UNION ALL SELECT 'n' || n_nationkey, 'nation-' || n_regionkey || '*', 'READ' FROM nation WHERE n_nationkey % 4 = 1
+ UNION ALL SELECT 'n' || n_nationkey, 'nation-_' || n_regionkey, 'ADMIN' FROM nation WHERE n_nationkey % 6 = 2
+ UNION ALL SELECT DISTINCT 'n' || s_nationkey, 'user:' || o_custkey, CASE WHEN o_custkey % 4 = 0 THEN 'ADMIN' ELSE 'READ' END
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey)"""
+ROLES = "(SELECT c_custkey AS user_id, 'nation-' || c_nationkey AS role FROM customer UNION ALL SELECT c_custkey, 'user:' || c_custkey FROM customer)"
+named = lambda prefix, key: F.concat(F.lit(prefix), F.col(key).cast("string"))
+
+
+def _layers(spark: SparkSession, sf: str) -> DataFrame:
+    """A layer for each nation; what its suppliers sold is its storage."""
+    sold = T(spark, sf, "lineitem").join(T(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_nationkey").agg(F.sum("l_quantity").alias("used"))
+    nation = T(spark, sf, "nation").join(sold, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    kind = F.when(F.col("n_nationkey") % 5 == 0, "SYSTEM").otherwise("TEAM").alias("type")
+    used = F.coalesce(F.col("used").cast("long"), F.lit(0)).alias("storage_used_bytes")
+    return nation.select(named("n", "n_nationkey").alias("id"), F.col("n_name").alias("name"), kind, (F.col("n_nationkey") % 7 == 3).alias("is_soft_deleted"), (F.col("n_regionkey") * 15_000).alias("storage_quota_bytes"), used)
+
+
+def _grants(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations write to their layers, patterns reach several nations, customers read where they bought."""
+    n = T(spark, sf, "nation")
+    layer, level = named("n", "n_nationkey").alias("layer_id"), lambda name: F.lit(name).alias("access_level")
+    pattern = lambda c: c.alias("role_pattern")
+    kinds = [
+        n.select(layer, pattern(named("nation-", "n_nationkey")), level("WRITE")),
+        n.filter("n_nationkey % 10 = 0").select(layer, pattern(F.lit("*")), level("READ")),
+        n.filter("n_nationkey % 4 = 1").select(layer, pattern(F.concat(named("nation-", "n_regionkey"), F.lit("*"))), level("READ")),
+        n.filter("n_nationkey % 6 = 2").select(layer, pattern(named("nation-_", "n_regionkey")), level("ADMIN")),
+    ]
+    bought = T(spark, sf, "lineitem").join(T(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(T(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    bought = bought.select("s_nationkey", "o_custkey").distinct()
+    kinds.append(bought.select(named("n", "s_nationkey").alias("layer_id"), pattern(named("user:", "o_custkey")), F.when(F.col("o_custkey") % 4 == 0, "ADMIN").otherwise("READ").alias("access_level")))
+    return reduce(DataFrame.unionByName, kinds)
+
+
+def _roles(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer has the role of its nation and one of its own."""
+    roles = F.array(named("nation-", "c_nationkey"), named("user:", "c_custkey"))
+    return T(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.explode(roles).alias("role"))
 
 
 @query(
@@ -32,33 +73,40 @@ def p2(spark: SparkSession, sf: str) -> DataFrame:
     return users.select("user_id", F.array_sort(access.token_layers(F.concat(F.lit("u"), "user_id"), roles)).alias("layers"))
 
 
-_LIKE = "(role = role_pattern OR role LIKE replace(role_pattern, '*', '%'))"
 _PUBLIC = f"SELECT l.id FROM {LAYERS} l WHERE type = 'SYSTEM' AND NOT is_soft_deleted AND EXISTS (SELECT 1 FROM {GRANTS} g WHERE g.layer_id = l.id AND g.role_pattern IN ('*', '%'))"
 
 
-@query("p3_resolve_layers", f"SELECT DISTINCT user_id, layer_id FROM (SELECT r.user_id, g.layer_id FROM {ROLES} r JOIN {GRANTS} g ON {_LIKE} JOIN {LAYERS} l ON l.id = g.layer_id WHERE NOT l.is_soft_deleted UNION ALL SELECT r.user_id, p.id FROM {ROLES} r, ({_PUBLIC}) p)")
+def _resolved(only: str = "") -> str:
+    """A pattern without wildcard is like itself only, so the two kinds are joined apart."""
+    live = f"SELECT layer_id, role_pattern FROM {GRANTS} g JOIN {LAYERS} l ON l.id = g.layer_id WHERE NOT l.is_soft_deleted {only}"
+    wild = "(contains(role_pattern, '*') OR contains(role_pattern, '%') OR contains(role_pattern, '_'))"
+    return f"""WITH g AS ({live}), r AS {ROLES} SELECT DISTINCT user_id, layer_id FROM (SELECT user_id, layer_id FROM r JOIN g ON role = role_pattern
+ UNION ALL SELECT user_id, layer_id FROM r JOIN (SELECT DISTINCT * FROM g WHERE {wild}) w ON role LIKE replace(role_pattern, '*', '%') UNION ALL SELECT user_id, p.id FROM r, ({_PUBLIC}) p)"""
+
+
+@query("p3_resolve_layers", _resolved())
 def p3(spark: SparkSession, sf: str) -> DataFrame:
-    return access.resolve_layers(I(spark, ROLES), I(spark, LAYERS), I(spark, GRANTS))
+    return access.resolve_layers(_roles(spark, sf), _layers(spark, sf), _grants(spark, sf))
 
 
-@query("p3_resolve_writable", f"SELECT DISTINCT user_id, layer_id FROM (SELECT r.user_id, g.layer_id FROM {ROLES} r JOIN {GRANTS} g ON {_LIKE} JOIN {LAYERS} l ON l.id = g.layer_id WHERE NOT l.is_soft_deleted AND access_level IN ('WRITE', 'ADMIN') UNION ALL SELECT r.user_id, p.id FROM {ROLES} r, ({_PUBLIC}) p)")
+@query("p3_resolve_writable", _resolved("AND access_level IN ('WRITE', 'ADMIN')"))
 def p5(spark: SparkSession, sf: str) -> DataFrame:
-    return access.resolve_layers(I(spark, ROLES), I(spark, LAYERS), I(spark, GRANTS), level="WRITE")
+    return access.resolve_layers(_roles(spark, sf), _layers(spark, sf), _grants(spark, sf), level="WRITE")
 
 
 @query("p4_public_layers", f"SELECT id, name FROM {LAYERS} WHERE id IN ({_PUBLIC})")
 def p4(spark: SparkSession, sf: str) -> DataFrame:
-    return access.public_layers(I(spark, LAYERS), I(spark, GRANTS))
+    return access.public_layers(_layers(spark, sf), _grants(spark, sf))
 
 
-@query("p6_may_write", f"SELECT c_custkey AS user_id, EXISTS (SELECT 1 FROM {GRANTS} g WHERE layer_id = 'l3' AND access_level IN ('WRITE', 'ADMIN') AND role_pattern IN ('*', '%', 'user:' || c_custkey)) AS allowed FROM customer")
+@query("p6_may_write", f"SELECT c_custkey AS user_id, EXISTS (SELECT 1 FROM {GRANTS} g WHERE layer_id = 'n3' AND access_level IN ('WRITE', 'ADMIN') AND role_pattern IN ('*', '%', 'user:' || c_custkey)) AS allowed FROM customer")
 def p6(spark: SparkSession, sf: str) -> DataFrame:
-    return access.may_write(T(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), I(spark, GRANTS), "l3")
+    return access.may_write(T(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), _grants(spark, sf), "n3")
 
 
 @query("p7_quota", f"SELECT id, greatest(0, storage_used_bytes - 120)::BIGINT AS used_after, greatest(0, storage_used_bytes - 120) >= storage_quota_bytes AS exceeded FROM {LAYERS}")
 def p7(spark: SparkSession, sf: str) -> DataFrame:
-    return access.quota(I(spark, LAYERS), F.lit(-120)).select("id", F.col("used_after").cast("long").alias("used_after"), "exceeded")
+    return access.quota(_layers(spark, sf), F.lit(-120)).select("id", F.col("used_after").cast("long").alias("used_after"), "exceeded")
 
 
 @query("p8_retention_delete", f"SELECT event_id FROM events WHERE event_type = 'error' AND ts <= {AS_OF} - INTERVAL 15 DAY")
@@ -178,11 +226,10 @@ def s33(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- joins
-@query("j1_layer_permissions", f"SELECT l.name, g.role_pattern, g.access_level FROM {LAYERS} l JOIN {GRANTS} g ON g.layer_id = l.id JOIN (SELECT 'w1' AS workspace_id, 'l2' AS layer_id UNION ALL SELECT 'w1', 'l3') m ON m.layer_id = l.id")
+@query("j1_layer_permissions", f"SELECT workspace_id, l.name, g.role_pattern, g.access_level FROM {LAYERS} l JOIN {GRANTS} g ON g.layer_id = l.id JOIN (SELECT DISTINCT c_mktsegment AS workspace_id, 'n' || c_nationkey AS layer_id FROM customer WHERE c_acctbal > 9000) m ON m.layer_id = l.id")
 def j1(spark: SparkSession, sf: str) -> DataFrame:
-    layers, grants = I(spark, LAYERS), I(spark, GRANTS)
-    m = spark.sql("SELECT 'w1' AS workspace_id, 'l2' AS layer_id UNION ALL SELECT 'w1', 'l3'")
-    return layers.join(grants, layers["id"] == grants["layer_id"]).join(m.select(F.col("layer_id").alias("x")), F.col("id") == F.col("x")).select("name", "role_pattern", "access_level")
+    mapping = T(spark, sf, "customer").filter("c_acctbal > 9000").select(F.col("c_mktsegment").alias("workspace_id"), named("n", "c_nationkey").alias("layer_id")).distinct()
+    return access.layer_permissions(_layers(spark, sf), _grants(spark, sf), mapping)
 
 
 @query("j2_workspace_layers", "SELECT c_mktsegment AS workspace, n_name AS layer, count(*) AS members FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")

@@ -25,6 +25,16 @@ def test_quota(spark):
     assert [r["used_after"] for r in access.quota(rows, F.lit(-200)).collect()] == [0, 0, 0]
 
 
+def test_patterns_meet_roles_that_begin_alike(spark):
+    layers = spark.createDataFrame([(i, i, "TEAM", False) for i in "abcdef"], "id string, name string, type string, is_soft_deleted boolean")
+    patterns = {"a": "eng*", "b": "*", "c": "e_g", "d": "eng", "e": "%r", "f": "engineering-team*"}
+    grants = spark.createDataFrame([(k, v, "READ") for k, v in patterns.items()] * 2, "layer_id string, role_pattern string, access_level string")
+    roles = spark.createDataFrame([(1, "eng"), (2, "engineer"), (3, ""), (4, None), (5, "hr")], "user_id int, role string")
+    got = {(r["user_id"], r["layer_id"]) for r in access.resolve_layers(roles, layers, grants).collect()}
+    assert got == {(1, "a"), (1, "b"), (1, "c"), (1, "d"), (2, "a"), (2, "b"), (2, "e"), (3, "b"), (5, "b"), (5, "e")}
+
+
+
 @pytest.mark.parametrize("block", [3, 250_000])
 def test_components_of_any_shape(spark, monkeypatch, block):
     monkeypatch.setattr(comp, "BLOCK", block)
