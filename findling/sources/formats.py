@@ -8,10 +8,12 @@ import email.policy
 import io
 import json
 import mailbox
+import posixpath
 import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -160,10 +162,48 @@ def _xlsx(content: bytes) -> list[tuple[str, str]]:
         return out
 
 
-def _zipped_text(pattern: str) -> Callable[[bytes], list[tuple[str, str]]]:
+def _targets(z: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """Members of a container by the identifier that ``part`` refers to them with."""
+    folder, name = posixpath.split(part)
+    rels = ElementTree.fromstring(z.read(f"{folder}/_rels/{name}.rels"))
+    return {r.get("Id"): posixpath.normpath(posixpath.join(folder, r.get("Target"))).lstrip("/") for r in rels}
+
+
+def _spine(z: zipfile.ZipFile) -> list[str]:
+    """Members of a book in reading order: container, package, the spine's items through the manifest."""
+    package = ElementTree.fromstring(z.read("META-INF/container.xml")).find(".//{*}rootfile").get("full-path")
+    book = ElementTree.fromstring(z.read(package))
+    items = {i.get("id"): posixpath.normpath(posixpath.join(posixpath.dirname(package), unquote(i.get("href")))) for i in book.iterfind(".//{*}manifest/{*}item")}
+    return [items[i.get("idref")] for i in book.iterfind(".//{*}spine/{*}itemref")]
+
+
+def _slides(z: zipfile.ZipFile) -> list[str]:
+    """Slides in the order of the presentation; other office files have one content."""
+    if "content.xml" in z.namelist():
+        return ["content.xml"]
+    part = "ppt/presentation.xml"
+    by_id = _targets(z, part)
+    shown = ElementTree.fromstring(z.read(part)).iterfind(".//{*}sldIdLst/{*}sldId")
+    return [by_id[value] for s in shown for key, value in s.attrib.items() if key.endswith("}id")]
+
+
+def _natural(name: str) -> list[tuple[int, str]]:
+    """A key that puts slide2 before slide10."""
+    return [(int(x), "") if x.isdigit() else (-1, x) for x in re.split(r"([0-9]+)", name)]
+
+
+def _zipped_text(order: Callable[[zipfile.ZipFile], list[str]], pattern: str) -> Callable[[bytes], list[tuple[str, str]]]:
+    """Text of the members that ``order`` names; where a container's own order can't be read, of those like ``pattern``, by number."""
+
     def read(content: bytes) -> list[tuple[str, str]]:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            return [("", "\n".join(t for n in sorted(z.namelist()) if re.search(pattern, n) if (t := _html(z.read(n))[0][1])))]
+            held = set(z.namelist())
+            try:
+                names = [n for n in order(z) if n in held]
+            except (KeyError, AttributeError, TypeError, ElementTree.ParseError):
+                names = []
+            names = names or sorted((n for n in held if re.search(pattern, n)), key=_natural)
+            return [("", "\n".join(t for n in names if (t := _html(z.read(n))[0][1])))]
 
     return read
 
@@ -178,7 +218,7 @@ def _pdf(content: bytes) -> list[tuple[str, str]]:
 
 READERS: dict[str, Callable[[bytes], list[tuple[str, str]]]] = {
     "text": lambda c: [("", decode(c))], "html": _html, "csv": _csv, "json": _json, "docx": _docx, "mbox": _mbox, "xlsx": _xlsx, "pdf": _pdf,
-    "epub": _zipped_text(r"\.x?html?$"), "office": _zipped_text(r"(content|slides/slide\d+)\.xml$"),
+    "epub": _zipped_text(_spine, r"\.x?html?$"), "office": _zipped_text(_slides, r"(content|slides/slide\d+)\.xml$"),
 }
 DOCUMENT = "path string, part int, title string, content string, char_count int, word_count int, error string"
 

@@ -45,6 +45,68 @@ def test_store(spark, tmp_path):
         store.append(rows.withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
 
 
+_ROW = "id string, content string, embedding array<float>, document_id string, workspace_id string"
+
+
+def test_store_versions(spark, tmp_path):
+    def rows(*ids, workspace="w1"):
+        return spark.createDataFrame([(i, i, [1.0], f"d{i}", workspace) for i in ids], _ROW)
+
+    def ids(df):
+        return sorted(r["id"] for r in df.collect())
+
+    store = ChunkStore(spark, str(tmp_path / "s"), 1)
+    assert ids(store.read()) == []
+    store.append(rows("1", "2"), batch=("s", 0))
+    store.append(rows("1", "2"), batch=("s", 0))
+    store.append(rows("3", workspace=None))
+    before, held = store.version(), store.read()
+    assert store.delete("w1", spark.createDataFrame([("1",)], "id string")) == 1
+    assert ids(store.read()) == ["2", "3"]
+    assert ids(held) == ids(store.read(before)) == ["1", "2", "3"]
+    with pytest.raises(Exception, match="1 numbers"):
+        store.append(rows("4").withColumn("embedding", F.array().cast("array<float>")))
+    assert ids(store.read()) == ["2", "3"]
+    store.drop("w1")
+    store.append(rows("5"))
+    store.compact()
+    assert ids(store.read()) == ["3", "5"] and len(store.version()["parts"]) == 1
+    assert store.vacuum() >= 4 and ids(store.read()) == ["3", "5"]
+
+
+def test_switch_outlives_the_session(spark, tmp_path):
+    blue, green = (ChunkStore(spark, str(tmp_path / n), 1) for n in ("blue", "green"))
+    blue.append(spark.createDataFrame([("b", "", [1.0], "d", "w")], _ROW))
+    green.append(spark.createDataFrame([("g", "", [1.0], "d", "w")], _ROW))
+    with pytest.raises(ValueError, match="no store"):
+        ChunkStore.active(spark, str(tmp_path / "active"))
+    for store, want in ((blue, "b"), (green, "g")):
+        store.activate(str(tmp_path / "active"))
+        assert [r["id"] for r in ChunkStore.active(spark.newSession(), str(tmp_path / "active")).read().collect()] == [want]
+
+
+def _container(path, members):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, content in members.items():
+            z.writestr(name, content)
+
+
+def test_containers_in_reading_order(spark, tmp_path):
+    spine = '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="x" href="a%20one.xhtml"/><item id="y" href="text/b.xhtml"/></manifest><spine><itemref idref="y"/><itemref idref="x"/></spine></package>'
+    box = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/book.opf"/></rootfiles></container>'
+    pages = {"OEBPS/a one.xhtml": "<p>last</p>", "OEBPS/text/b.xhtml": "<p>first</p>"}
+    _container(tmp_path / "a.epub", {"META-INF/container.xml": box, "OEBPS/book.opf": spine, **pages})
+    _container(tmp_path / "b.epub", pages)
+    slides = {f"ppt/slides/slide{i}.xml": f"<p>s{i}</p>" for i in (1, 2, 10)}
+    shown = '<p:presentation xmlns:p="p" xmlns:r="r"><p:sldIdLst>' + "".join(f'<p:sldId id="{i}" r:id="r{n}"/>' for i, n in enumerate((10, 1, 2))) + "</p:sldIdLst></p:presentation>"
+    rels = "<Relationships>" + "".join(f'<Relationship Id="r{n}" Target="slides/slide{n}.xml"/>' for n in (1, 2, 10)) + "</Relationships>"
+    _container(tmp_path / "c.pptx", {"ppt/presentation.xml": shown, "ppt/_rels/presentation.xml.rels": rels, **slides})
+    _container(tmp_path / "d.pptx", slides)
+    _container(tmp_path / "e.odt", {"content.xml": "<p>whole</p>", "styles.xml": "<p>no</p>"})
+    got = {r["path"].rpartition("/")[2]: r["content"] for r in formats.read_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.epub": "first\nlast", "b.epub": "last\nfirst", "c.pptx": "s10\ns1\ns2", "d.pptx": "s1\ns2\ns10", "e.odt": "whole"}
+
+
 @pytest.mark.parametrize(
     "text",
     [
