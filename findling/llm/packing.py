@@ -27,15 +27,15 @@ from findling.llm.common import REMEMBERED, Columns
 from findling.session import ship
 from findling.storage import written
 
-#: Words, and parts of words, whose ids a worker remembers in each of two generations; a full one replaces the older. None is
-#: longer than REMEMBERED bytes, so a generation has less than 200 MB, whatever the texts.
-MEMO = 400_000
+#: Words whose ids a worker remembers in each of two generations; a full one replaces the older. None is
+#: longer than REMEMBERED bytes, so a generation has less than 400 MB, whatever the texts.
+MEMO = 800_000
 #: Longer words are looked up alone, in parts of about so many characters where a probe shows that the tokenizer parts them.
 PART = 1 << 15
 #: Characters after which, and before which, a long word may be cut.
 CUT_AFTER, CUT_BEFORE = "0123456789\u3002\uff0c\u3001\uff1b", "0123456789a-zA-Z\u4e00-\u9fff"
 #: Texts, and their characters, that go through the tokenizer together.
-TEXTS, CHARACTERS = 64, 1_000_000
+TEXTS, CHARACTERS = 256, 1_000_000
 #: Marks that end a word and are cut off before the rest is looked up.
 ENDS = b".,;:!?*#$%&"
 #: Pieces of all lengths that share a range of the hash, on average, and the most ranges.
@@ -83,7 +83,7 @@ class _Ids:
         from tokenizers import Tokenizer
 
         t = self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.parts = _Memory(), _Memory()
+        self.words = _Memory()
         self.special = {v.content.encode(): i for i, v in t.get_added_tokens_decoder().items()}
         self.begins = {s[:1] for s in self.special}
         self.mark = next(iter(self.special), b"")
@@ -130,10 +130,10 @@ class _Ids:
                 low, odd = data, True
             lists.append(low.split())
         self.words.turn()
-        words = set().union(*lists)
-        long = [w for w in words if len(w) > REMEMBERED]
-        words.difference_update(long)
-        new = self.words.missing(words)
+        new = self.words.missing(set().union(*lists))
+        long = [w for w in new if len(w) > REMEMBERED]
+        if long:
+            new = [w for w in new if len(w) <= REMEMBERED]
         if new:
             self._learn(new, odd)
         known = self.words.new
@@ -145,19 +145,22 @@ class _Ids:
         return out
 
     def _learn(self, new: list[bytes], odd: bool) -> None:
-        self.parts.turn()
-        cuts, needed = {}, set()
-        for w in new if self.parts_marks else ():
-            core = w.rstrip(ENDS)
-            if core and len(core) < len(w) and core.decode().isalpha():
-                cuts[w] = end = (core, w[len(core) :])
-                needed.update(end)
-        needed.update(w for w in new if w not in cuts) if cuts else needed.update(new)
-        self._encode(self.parts.missing(needed), odd)
-        of, words = self.parts.new, self.words.new
+        """Words with marks at their end from what stands before and the marks, which are words too."""
+        cuts, plain, needed = [], [], set()
         for w in new:
-            end = cuts.get(w)
-            words[w] = of[w] if end is None else of[end[0]] + of[end[1]]
+            core = w.rstrip(ENDS) if self.parts_marks else w
+            if len(core) < len(w) and (core.isalpha() or core.decode().isalpha()):
+                end = w[len(core) :]
+                cuts.append((w, core, end))
+                needed.add(core)
+                needed.add(end)
+            else:
+                plain.append(w)
+        needed.difference_update(plain)
+        self._encode(plain + self.words.missing(needed), odd)
+        known = self.words.new
+        for w, core, end in cuts:
+            known[w] = known[core] + known[end]
 
     def _encode(self, parts: list[bytes], odd: bool) -> None:
         apart = [p for p in parts if any(s in p for s in self.special)] if odd or not self.mark else []
@@ -171,9 +174,9 @@ class _Ids:
                 raise ValueError("the tokenizer didn't keep its special token apart")
             data = ids.tobytes()
             for p, a, b in zip(some, [0, *(4 * e + 4 for e in ends)], [*(4 * e for e in ends), len(data)], strict=True):
-                self.parts.new[p] = data[a:b]
+                self.words.new[p] = data[a:b]
         for p in alone:
-            self.parts.new[p] = np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            self.words.new[p] = np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 PIECE = ("start", "length", "doc_tokens", "ids")
@@ -191,10 +194,11 @@ def _pieces(path: str, capacity: int, end_id: int, carried: list[str]):
                 keys = batch.select(carried).take(pa.array(row, pa.int64())).columns  # noqa: B023
                 return pa.record_batch([*keys, pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], names=[*carried, *PIECE])  # noqa: B023
 
-            lengths = pc.fill_null(pc.utf8_length(batch.column(batch.num_columns - 1)), 0).to_pylist()
+            ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             first = 0
             while first < batch.num_rows:
-                some = next((k for k in range(1, TEXTS) if sum(lengths[first : first + k + 1]) > CHARACTERS), TEXTS)
+                before = int(ends[first - 1]) if first else 0
+                some = min(TEXTS, max(1, int(np.searchsorted(ends, before + CHARACTERS, "right")) - first))
                 texts = [t or "" for t in batch.column(batch.num_columns - 1).slice(first, some).to_pylist()]
                 for i, got in enumerate(encode(texts), first):
                     whole = got + tail
