@@ -166,7 +166,7 @@ class _Ids:
         apart = [p for p in parts if any(s in p for s in self.special)] if odd or not self.mark else []
         alone = set(apart if self.mark else parts)
         plain = [p for p in parts if p not in alone] if alone else parts
-        groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        groups = [plain[i : i + 50] for i in range(0, len(plain), 50)]
         for some, got in zip(groups, self.tokenizer.encode_batch_fast([self.mark.join(g).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, dtype="<u4")
             ends = np.flatnonzero(ids == self.special[self.mark]).tolist()
