@@ -51,6 +51,31 @@ def normalise(url: Column) -> Column:
     return F.regexp_replace(u, "/$", "")
 
 
+def resolve(base: Column, href: Column) -> Column:
+    """``href`` as it stands on the page ``base``: absolute, without fragment and dot segments; null where it names no page.
+
+    Fragments alone, empty references, other schemes than http(s) and null are no pages.
+    """
+    to = F.substring_index(F.trim(href), "#", 1)
+    scheme, authority = F.substring_index(base, "://", 1), _authority(base)
+    path = F.regexp_extract(base, "://[^/?#]*([^?#]*)", 1)
+    root = F.concat(scheme, F.lit("://"), authority)
+    whole = (
+        F.when(F.rlike(to, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), to)
+        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
+        .when(F.startswith(to, F.lit("/")), F.concat(root, to))
+        .when(F.startswith(to, F.lit("?")), F.concat(root, path, to))
+        .otherwise(F.concat(root, F.regexp_replace(path, "[^/]*$", ""), F.when(F.contains(path, F.lit("/")), F.lit("")).otherwise("/"), to))
+    )
+    folders = F.split(F.regexp_extract(whole, "://[^/?#]*([^?]*)", 1), "/")
+    last = F.element_at(folders, -1)
+    open_end = F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    up = lambda kept: F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+    kept = F.aggregate(folders, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    clean = F.concat(F.regexp_extract(whole, "^([^:]*://[^/?#]*)", 1), F.array_join(F.concat(kept, open_end), "/"), F.regexp_extract(whole, r"(\?.*)$", 1))
+    return F.when((to != "") & F.rlike(whole, F.lit("^https?://[^/?#]")), clean)
+
+
 def youtube_id(url: Column) -> Column:
     """Identifier of the video, null for other URLs.
 

@@ -9,7 +9,7 @@ from findling.functions import urls
 from findling.operators import governance, text as op
 from findling.plans.registry import query
 from findling.session import table
-from findling.sources import formats
+from findling.sources import crawl, formats
 
 D = lambda spark, sf: table(spark, sf, "documents")
 
@@ -276,3 +276,48 @@ def s27(spark: SparkSession, sf: str) -> DataFrame:
     ident = F.lpad(F.col("page_id").cast("string"), 11, "a")
     url = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://youtu.be/"), ident)).when(F.col("page_id") % 4 == 2, F.concat(F.lit("www.youtube.com/watch?t=1&v="), ident, F.lit("&x=1"))).otherwise(F.col("url"))
     return table(spark, sf, "pages").select("page_id", urls.youtube_id(url).alias("video"))
+
+
+#: A site for each registered name: its pages, and a listing for each first folder, which links to the pages under it.
+_SITE, _FOLDER, _PATH = r"([^./:?#]+[.][^./:?#]+)(?:[/?#]|$)", r"://[^/?#]*(/[^/?#]+)", r"://[^/?#]*([^#]*)"
+_START = "http://example.org/de"
+SITE_LINKS = rf"""
+(SELECT src, dst, min(position) AS position FROM (
+   SELECT src, 'http://' || site || link AS dst, i AS position FROM (
+     SELECT 'http://' || site || path AS src, site, unnest(links) AS link, generate_subscripts(links, 1) - 1 AS i FROM (
+       SELECT regexp_extract(url, '{_SITE}', 1) AS site, regexp_extract(url, '{_PATH}', 1) AS path, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS links FROM pages))
+   UNION ALL
+   SELECT 'http://' || regexp_extract(url, '{_SITE}', 1) || regexp_extract(url, '{_FOLDER}', 1), 'http://' || regexp_extract(url, '{_SITE}', 1) || regexp_extract(url, '{_PATH}', 1), page_id FROM pages)
+ GROUP BY src, dst)
+"""
+
+
+def _reached(depth: int, columns: str, end: str) -> str:
+    """Breadth first by the least path of places: level by level, so that nodes met again later don't matter."""
+    return f"""
+WITH RECURSIVE l AS (SELECT src, dst, lpad(position::VARCHAR, 12, '0') || ' ' || dst AS step FROM {SITE_LINKS} WHERE starts_with(dst, 'http://example.org/')),
+r AS (
+  SELECT '{_START}' AS url, 0 AS depth, ['']::VARCHAR[] AS way
+  UNION ALL
+  SELECT dst, any_value(depth) + 1, min(list_append(way, step)) FROM r JOIN l ON src = url WHERE depth < {depth} GROUP BY dst)
+SELECT {columns} FROM (SELECT url, min(depth)::INT AS depth, arg_min(way, depth) AS way FROM r GROUP BY url) {end}
+"""
+
+
+def _site_links(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    part = lambda pattern: F.regexp_extract("url", pattern, 1)
+    root = F.concat(F.lit("http://"), part(_SITE))
+    site = pages.select("page_id", F.concat(root, part(_PATH)).alias("url"), F.concat(root, part(_FOLDER)).alias("listing"), "html")
+    listed = site.select(F.col("listing").alias("src"), F.col("url").alias("dst"), F.col("page_id").alias("position"))
+    return crawl.page_links(site).unionByName(listed).groupBy("src", "dst").agg(F.min("position").alias("position"))
+
+
+@query("s25_crawl", _reached(4, "url, depth, row_number() OVER (ORDER BY depth, way) - 1 AS place", "ORDER BY depth, way LIMIT 200"))
+def s25_crawl(spark: SparkSession, sf: str) -> DataFrame:
+    return crawl.crawl(_site_links(spark, sf), _START, 4, most=200, scope="http://example.org/")
+
+
+@query("s25_reachable", _reached(6, "url, depth", ""))
+def s25_reachable(spark: SparkSession, sf: str) -> DataFrame:
+    return crawl.crawl(_site_links(spark, sf), _START, 6, scope="http://example.org/").select("url", "depth")

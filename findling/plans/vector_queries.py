@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findling.functions import vectors as V
-from findling.operators import vector as op
+from findling.operators import memory, vector as op
 from findling.operators.vector_index import VectorIndex
 from findling.plans.registry import ORACLES, query
 from findling.plans.tables import LAYER, query_vector, vectors
@@ -181,3 +181,36 @@ def e5(spark: SparkSession, sf: str) -> DataFrame:
 def e8(spark: SparkSession, sf: str) -> DataFrame:
     own = vectors(spark, sf).filter("label = 3").withColumn("layer_id", F.lit("default"))
     return op.top_k(own, query_vector(spark, sf), 5).select("vec_id", R("score").alias("score"))
+
+
+#: Turns of conversations, described by how often each letter stands in them: answers are remembered, what users say are facts.
+_TURNS = """(SELECT conv_id // 20 AS user_id, conv_id * 10000 + coalesce(turn, -1) AS id, role, text, coalesce(turn, -1) >= 4 AS forget,
+ list_transform(range(97, 123), lambda c: (length(text) - length(replace(text, chr(c::INT), '')))::DOUBLE) AS v FROM conversations)"""
+_NEAR = 0.97
+DECISIONS = f"""
+WITH t AS {_TURNS}, held AS (SELECT * FROM t WHERE role <> 'user'), fact AS (SELECT * FROM t WHERE role = 'user'),
+p AS (SELECT f.id AS fact_id, h.id AS memory_id, h.text AS known, round(list_cosine_similarity(f.v, h.v), 9) AS s FROM fact f JOIN held h ON f.user_id = h.user_id
+ WHERE list_dot_product(f.v, f.v) > 0 AND list_dot_product(h.v, h.v) > 0),
+b AS (SELECT * FROM p WHERE s >= {_NEAR} QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY s DESC, memory_id) = 1),
+a AS (SELECT user_id, id AS fact_id, text, memory_id, s, CASE WHEN memory_id IS NOT NULL AND forget THEN 'DELETE' WHEN forget OR known = text THEN 'NONE' WHEN memory_id IS NOT NULL THEN 'UPDATE' ELSE 'ADD' END AS act FROM fact LEFT JOIN b ON fact_id = id),
+d AS (SELECT user_id, fact_id, memory_id, text, s, CASE WHEN act IN ('DELETE', 'UPDATE') AND fact_id < max(fact_id) FILTER (act IN ('DELETE', 'UPDATE')) OVER (PARTITION BY memory_id) THEN 'NONE'
+ WHEN act = 'ADD' AND fact_id > min(fact_id) FILTER (act = 'ADD') OVER (PARTITION BY user_id, text) THEN 'NONE' ELSE act END AS action FROM a)
+"""
+
+
+def _turns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    turn, text = F.coalesce("turn", F.lit(-1)), F.col("text")
+    letters = F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(chr(c)), F.lit("")))).cast("double") for c in range(97, 123)])
+    rows = table(spark, sf, "conversations").select(F.floor(F.col("conv_id") / 20).alias("user_id"), (F.col("conv_id") * 10_000 + turn).alias("id"), "role", text.alias("content"), letters.alias("embedding"), (turn >= 4).alias("forget"))
+    return rows.filter("role <> 'user'").withColumnRenamed("id", "memory_id").drop("role", "forget"), rows.filter("role = 'user'").withColumnRenamed("id", "fact_id").drop("role")
+
+
+@query("e8_memory_decisions", DECISIONS + "SELECT user_id, fact_id, memory_id, round(s, 6) AS similarity, action FROM d")
+def e8_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    return memory.decide(*_turns(spark, sf), _NEAR).select("user_id", "fact_id", "memory_id", R("similarity").alias("similarity"), "action")
+
+
+@query("e8_memory_after", DECISIONS + """SELECT user_id, id AS memory_id, coalesce(c.text, h.text) AS content FROM held h LEFT JOIN (SELECT memory_id, text, action FROM d WHERE action IN ('UPDATE', 'DELETE')) c ON c.memory_id = h.id
+WHERE action IS DISTINCT FROM 'DELETE' UNION ALL SELECT user_id, fact_id, text FROM d WHERE action = 'ADD'""")
+def e8_after(spark: SparkSession, sf: str) -> DataFrame:
+    return memory.remember(*_turns(spark, sf), _NEAR).select("user_id", "memory_id", "content")

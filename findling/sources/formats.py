@@ -61,19 +61,6 @@ def links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.withColumn("link", F.explode(F.regexp_extract_all(html_col, F.lit('href="([^"]*)"'), F.lit(1))))
 
 
-def crawl(pages: DataFrame, start: str, depth: int, most: int, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, depth) of fetched pages within ``depth`` links of ``start`` and under its prefix, at most ``most``."""
-    prefix = start.rsplit("/", 1)[0] if start.count("/") > 2 else start
-    edges = pages.select(F.col(url_col).alias("src"), F.explode(F.regexp_extract_all(html_col, F.lit('href="([^"]*)"'), F.lit(1))).alias("dst"))
-    host = F.regexp_extract("src", "^(https?://[^/?#]+)", 1)
-    edges = edges.withColumn("dst", F.when(F.startswith("dst", F.lit("/")), F.concat(host, "dst")).otherwise(F.col("dst"))).filter(F.startswith("dst", F.lit(prefix))).distinct()
-    seen = pages.sparkSession.createDataFrame([(start, 0)], "url string, depth int")
-    for step in range(1, depth + 1):
-        found = seen.filter(F.col("depth") == step - 1).join(edges, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()
-        seen = seen.unionByName(found.join(seen, "url", "left_anti").select("url", F.lit(step).alias("depth")))
-    return seen.orderBy("depth", "url").limit(most)
-
-
 def decode(content: bytes) -> str:
     """UTF-8, then UTF-16 where a mark says so, else Latin-1."""
     for encoding in ("utf-8", "utf-16"):
