@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findling.operators import graph as op
+from findling.operators import code, graph as op
 from findling.operators.communities import communities
 from findling.operators import tables
 from findling.plans.registry import query
@@ -184,3 +186,32 @@ def j8(spark: SparkSession, sf: str) -> DataFrame:
     hit = li.filter("l_partkey BETWEEN 1 AND 5").select("l_orderkey")
     held = li.join(hit, "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
     return held
+
+
+#: A source file for each part, in five languages, that say the same: a class with a base, a method that calls, an import.
+_SOURCES = {
+    "py": "import {mod}\n# {name} {\nclass {cls}({base}):\n    def run(x):\n        return {call}('}', x)\n",
+    "js": "import '{mod}';\n/* {name} { */ class {cls} extends {base} {\n  run(x) { return {call}(`}${x}`, /[{]/); }\n}\n",
+    "ts": "import '{mod}';\nclass {cls} implements {base} { // {name} }\n  run(x: string): { a: number } { return {call}('{', x); }\n}\n",
+    "go": "package p\nimport \"{mod}\"\n/* {name} { */\ntype {cls} struct {\n  {base}\n  x int\n}\nfunc (c *{cls}) run(x int) int { return {call}('}', x) }\n",
+    "rs": "use {mod};\n/* {name} /* nested { */ */ struct {cls}<'a> { x: &'a str }\nimpl<'a> {base} for {cls}<'a> { fn run(x: i32) -> i32 { {call}(r#\"}\"#, x) } }\n",
+}
+_FILES = """(SELECT 'p' || p_partkey || '.' || list_extract(['py', 'js', 'ts', 'go', 'rs'], (p_partkey % 5 + 1)::INT) AS path, 'C' || p_size AS cls, 'B' || p_size % 9 AS base,
+ 'm' || right(p_brand, 1) AS mod, 'call' || p_partkey % 11 AS call FROM part)"""
+
+
+@query("g14_code_edges", f"""SELECT path AS source_id, path || '::' || cls AS target_id, 'CONTAINS' AS type FROM {_FILES} UNION ALL SELECT path || '::' || cls, path || '::' || cls || '::run', 'HAS_METHOD' FROM {_FILES}
+UNION ALL SELECT path, mod, 'IMPORTS' FROM {_FILES} UNION ALL SELECT path || '::' || cls, base, 'INHERITS' FROM {_FILES} UNION ALL SELECT path || '::' || cls || '::run', call, 'CALLS' FROM {_FILES}""")
+def g14(spark: SparkSession, sf: str) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    part = table(spark, sf, "part").select(
+        F.concat(F.lit("p"), "p_partkey", F.lit("."), F.element_at(F.array(*map(F.lit, _SOURCES)), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("file_path"), F.concat(F.lit("C"), "p_size").alias("cls"), F.concat(F.lit("B"), (F.col("p_size") % 9).cast("string")).alias("base"),
+        F.concat(F.lit("m"), F.right("p_brand", F.lit(1))).alias("mod"), F.concat(F.lit("call"), (F.col("p_partkey") % 11).cast("string")).alias("call"), text("p_name").alias("name")
+    )
+    written = F.lit(None)
+    for ext, form in _SOURCES.items():
+        pieces = re.split(r"\{(mod|name|cls|base|call)\}", form)
+        body = F.concat(*[F.col(x) if i % 2 else F.lit(x) for i, x in enumerate(pieces)])
+        written = F.when(F.endswith("file_path", F.lit("." + ext)), body).otherwise(written)
+    return op.code_edges(code.code_chunks(part.select("file_path", written.alias("text"))).filter("error IS NULL"))
+
