@@ -30,3 +30,9 @@ def test_l2_normalise(spark, tmp_path):
     got, want = both(spark, tmp_path, "m1_l2_normalise", vectors([-1e-9, 1.0] * 32, [0.0] * 64, None, [0.5, None] * 32, []))
     assert got == want
     assert "-0.0" not in want[0]
+
+
+def test_mean_pool(spark, tmp_path):
+    got, want = both(spark, tmp_path, "m3_mean_pool", vectors([-1e-9] * 64, [0.25] * 64, None, [0.5, None] * 32, [], [0.25] * 40))
+    assert got == want
+    assert "-0.0" not in want[0]
