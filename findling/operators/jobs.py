@@ -20,7 +20,9 @@ MOST_TRIES = 3
 
 def admitted(requests: DataFrame, by: str, time_col: str, order_col: str, most: int = 5, seconds: int = 60) -> DataFrame:
     """Requests with ``is_admitted``: the first ``most`` of each ``seconds`` of a caller."""
-    slot = F.floor(F.unix_timestamp(F.col(time_col).cast("timestamp")) / seconds)
+    at = F.unix_micros(F.col(time_col).cast("timestamp"))
+    # Whole seconds would be cut towards 1970, so a slot is where it begins.
+    slot = at - F.pmod(at, F.lit(seconds * 1_000_000))
     w = Window.partitionBy(by, slot).orderBy(time_col, order_col)
     return requests.withColumn("is_admitted", F.row_number().over(w) <= most)
 

@@ -36,3 +36,14 @@ def test_mean_pool(spark, tmp_path):
     got, want = both(spark, tmp_path, "m3_mean_pool", vectors([-1e-9] * 64, [0.25] * 64, None, [0.5, None] * 32, [], [0.25] * 40))
     assert got == want
     assert "-0.0" not in want[0]
+
+
+def test_rate_limit_ends_of_days(spark, tmp_path):
+    """A request in the last half second of a day counts for that day, be it before 1970."""
+    schema = pa.schema([("event_id", pa.int64()), ("ts", pa.timestamp("us")), ("user_id", pa.int64())])
+    rows = []
+    for day in (dt.datetime(2024, 1, 2), dt.datetime(1969, 12, 30)):
+        rows += [{"ts": day - dt.timedelta(milliseconds=300)}] + [{"ts": day + dt.timedelta(hours=h)} for h in range(5)]
+    got, want = both(spark, tmp_path, "r3_rate_limit", ("events", [r | {"event_id": i, "user_id": 1} for i, r in enumerate(rows)], schema))
+    assert got == want
+    assert all("True" in r for r in want)
