@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from findling.operators.vector import PUBLIC_LAYERS
 from findling.plans.components import connected_components
-from findling.session import ship
+from findling.session import dealt, ship
+
+#: Type of a list of edges.
+EDGES = "array<struct<source_id:string,target_id:string,type:string>>"
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -125,10 +128,15 @@ def dominant_type(members: DataFrame, by: str, type_col: str = "type") -> DataFr
 def code_edges(chunks: DataFrame) -> DataFrame:
     """Edges of a code graph from chunks (id, file_path, node_type, parent_id, imports, bases, calls)."""
     inside = F.when(F.col("parent_id").isNotNull() & (F.col("node_type") == "function"), "HAS_METHOD").otherwise("CONTAINS")
-    held = chunks.select(F.coalesce("parent_id", "file_path").alias("source_id"), F.col("id").alias("target_id"), inside.alias("type"))
-    for col, kind, source in (("imports", "IMPORTS", "file_path"), ("bases", "INHERITS", "id"), ("calls", "CALLS", "id")):
-        held = held.unionByName(chunks.select(F.col(source).alias("source_id"), F.explode(col).alias("target_id"), F.lit(kind).alias("type")))
-    return held.distinct()
+
+    def named(col: str, kind: str, source: str) -> Column:
+        edges = F.transform(col, lambda t: F.struct(F.col(source).alias("source_id"), t.alias("target_id"), F.lit(kind).alias("type")))
+        return F.coalesce(edges.cast(EDGES), F.array().cast(EDGES))
+
+    held = F.array(F.struct(F.coalesce("parent_id", "file_path").alias("source_id"), F.col("id").alias("target_id"), inside.alias("type")))
+    # One list for a chunk, so that the chunks (which may come from a parser) are made once.
+    lists = [held.cast(EDGES), named("imports", "IMPORTS", "file_path"), named("bases", "INHERITS", "id"), named("calls", "CALLS", "id")]
+    return chunks.select(F.explode(F.concat(*lists)).alias("e")).select("e.*").distinct()
 
 
 def python_chunks(files: DataFrame) -> DataFrame:
@@ -163,7 +171,7 @@ def python_chunks(files: DataFrame) -> DataFrame:
                 visit(tree, None)
             yield pd.DataFrame(out, columns=["file_path", "id", "node_type", "name", "parent_id", "start_line", "end_line", "signature", "imports", "bases", "calls", "error"])
 
-    return files.select("file_path", "text").mapInPandas(run, schema)
+    return dealt(files.select("file_path", "text")).mapInPandas(run, schema)
 
 
 def node_size(degree: Column) -> Column:

@@ -130,3 +130,14 @@ def test_hard_texts_take_linear_time(text, language):
     began = time.perf_counter()
     code._File("f", text, language).parse()
     assert time.perf_counter() - began < 10
+
+
+def test_files_are_parsed_once_by_all_cores(spark):
+    """Edges of all kinds come from one pass over the files, which one partition of input doesn't keep to one task."""
+    files = spark.createDataFrame([(f"f{i}.{'py' if i % 2 else 'js'}", "import a\nclass A(B):\n    def f(x):\n        return g(x)\n" if i % 2 else "class A extends B { f(x) { return g(x); } }\n") for i in range(64)], "file_path string, text string").coalesce(1)
+    chunks = code.code_chunks(files)
+    assert chunks.rdd.getNumPartitions() >= 2 * 8
+    edges = code_edges(chunks)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 2
+    assert edges.count() == 64 * 4 + 32
