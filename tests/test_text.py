@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -131,3 +132,15 @@ def test_header(spark):
     args = (F.col("t"), F.col("p"), F.col("s"))
     assert one(spark, op.header(*args, prefix="q: "), t="T", p="", s="link://https://x") == "q: <document_metadata>\nsourceDocument: T\nsource: https://x\n</document_metadata>\n\n"
     assert one(spark, op.header(*args), t="", p=None, s="file://x") == ""
+
+
+@pytest.mark.parametrize("strategy", ["sentence", "paragraph"])
+def test_split_texts_holds_few_texts(spark, strategy):
+    """A batch of many texts comes back in parts of a few, with the same chunks."""
+    rows = spark.createDataFrame([(i, f"One {i}. Two.\n\nThree! " * 60) for i in range(1000)], "doc_id long, text string").coalesce(1)
+    found = op.split_texts(rows, strategy, 1000, 200)
+    assert found.groupBy("doc_id").count().filter("count > 0").count() == 1000
+    given = pa.record_batch([pa.array(range(1000)), pa.array([f"One {i}. Two." for i in range(1000)])], names=["doc_id", "text"])
+    parts = list(op.chunk_batches(iter([given]), lambda text: [text], 200))
+    assert [p.num_rows for p in parts] == [op.TEXTS] * (1000 // op.TEXTS) + [1000 % op.TEXTS]
+    assert pa.Table.from_batches(parts)["doc_id"].to_pylist() == list(range(1000))
