@@ -101,3 +101,13 @@ def test_index_reads_few_cells_without_loss(spark, metric):
             assert len(index.cells_read) < 24
     plan = index.read([1, 2])._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and "cell" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_similarity_matrix_in_bounded_blocks(spark, monkeypatch):
+    """Blocks of rows grow in number with the rows, not in size; all pairs are there."""
+    monkeypatch.setattr(op, "BLOCK", 20)
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(2000)], "vec_id long, embedding array<float>")
+    found = op.similarity_matrix(rows, rows.filter("vec_id % 50 = 0"), "vec_id")
+    assert "sequence(0, 99" in found._jdf.queryExecution().analyzed().toString()
+    got = found.collect()
+    assert len(got) == 2000 * 40 and all(r["dot"] == (r["a"] % 7) * (r["b"] % 7) + 1 for r in got)
