@@ -32,3 +32,26 @@ def test_most_edges_join_nothing_in_rounds(spark, monkeypatch, shape):
         assert found[start] == min(seen)
     assert found.keys() == near.keys()
     assert shape == "chains" and len(taken) == 2 or sum(taken) < len(rows)
+
+
+def test_nothing_that_grows_with_the_graph_is_broadcast(spark, monkeypatch, tmp_path):
+    """Batches of an incremental graph over several blocks: no plan that is written holds a broadcast."""
+    from pyspark.sql import DataFrameWriter
+    from pyspark.sql import functions as F
+
+    from findling.streaming.components import IncrementalComponents
+
+    monkeypatch.setattr(op, "BLOCK", 60)
+    plans, write = [], DataFrameWriter.parquet
+
+    def noted(self, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    edges = spark.range(400).select(F.concat(F.lit("d"), "id").alias("source_id"), F.concat(F.lit("e"), (F.col("id") * 7 % 90)).alias("target_id"), F.lit(False).alias("is_deleted"), F.lit(0).alias("seq"), (F.col("id") % 2).alias("half"))
+    graph = IncrementalComponents(spark, str(tmp_path))
+    for number in range(2):
+        graph.apply(edges.filter(F.col("half") == number).drop("half"), number)
+    assert graph.members().count() == 490 and graph.members().select("component").distinct().count() == 90
+    assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
