@@ -73,6 +73,31 @@ def test_similarity_join_matches_brute_force(spark, monkeypatch, block):
     assert got == sorted(want) and len(want) > 40
 
 
+@pytest.mark.parametrize("shape", ["spread", "clustered"])
+def test_similarity_join_sends_no_more_than_pairs_of_blocks(spark, monkeypatch, shape):
+    """Where vectors visit most cells, they aren't written once for each; where they cluster, cells stay. No link is lost either way."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(op, "BLOCK", 12)
+    monkeypatch.setattr(op, "PAIR", 40, raising=False)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 24)) if shape == "spread" else np.repeat(rng.normal(size=(20, 24)), 15, axis=0) + 0.05 * rng.normal(size=(300, 24))
+    v = v.astype(np.float32)
+    tables, write = [], op.written
+    monkeypatch.setattr(op, "written", lambda df, name: tables.append(write(df, name)) or tables[-1])
+    least = 0.4 if shape == "spread" else 0.9
+    rows = spark.createDataFrame([(i, "t", x.tolist()) for i, x in enumerate(v)], "id long, type string, embedding array<float>")
+    links = op.similarity_join(rows, least)
+    got = links.select("source_id", "target_id", F.round("similarity", 6).alias("s")).collect()
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    near = u @ u.T
+    assert sorted((r[0], r[1]) for r in got) == [(i, j) for i in range(300) for j in range(i) if near[i, j] >= least] and len(got) > 60
+    assert all(abs(r["s"] - near[r[0], r[1]]) < 1e-6 for r in got)
+    assert sum(t.count() for t in tables) < 2 * 300
+    cells = {r["c"] for r in tables[-1].collect()}
+    assert len(cells) > 5 if shape == "clustered" else cells == {0}
+
+
 def test_similarity_join_without_links(spark):
     data = [(1, "a", [1.0, 0.0]), (2, "a", [0.0, 1.0]), (3, "b", [1.0, 0.0])]
     rows = spark.createDataFrame(data, "id long, type string, embedding array<double>")
