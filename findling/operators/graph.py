@@ -78,11 +78,12 @@ def hub_split(members: DataFrame, edges: DataFrame, least: int = 6) -> DataFrame
     return placed.select("id", "component", "degree", F.when(F.col("total") < least, "whole").when(hub, "hub").otherwise("periphery").alias("part"))
 
 
-def upsert_relations(old: DataFrame, new: DataFrame, entities: DataFrame) -> DataFrame:
-    """New relations between existing entities replace those with the same id."""
+def upsert_relations(old: DataFrame, new: DataFrame, entities: DataFrame, many: int = 0) -> DataFrame:
+    """New relations between existing entities replace those with the same id; ``many`` is about how many there are of both."""
     from findling.operators.tables import upsert
 
-    return upsert(old, inner_edges(new, entities), ["id"])
+    # Merged: a broadcast of the entities counts in every task until it is too large for one.
+    return upsert(old, inner_edges(new, entities.select("id").hint("merge")), ["id"], many)
 
 
 def merge_entities(entities: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from findling.session import spread
 from findling.storage import written
 
 
@@ -47,11 +48,11 @@ def without(rows: DataFrame, gone: DataFrame, key_col: str) -> DataFrame:
     return rows.join(gone.select(key_col), key_col, "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``new`` replaces rows of ``old`` with the same keys."""
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], many: int = 0) -> DataFrame:
+    """``new`` replaces rows of ``old`` with the same keys; ``many``, about how many rows both have, bounds what a task sorts."""
     cols = [c for c in old.columns if c not in keys]
     both = old.withColumn("__r", F.lit(0)).unionByName(new.withColumn("__r", F.lit(1)))
-    last = both.groupBy(*keys).agg(F.max_by(F.struct(*cols), "__r").alias("v"))
+    last = spread(both, many, *keys).groupBy(*keys).agg(F.max_by(F.struct(*cols), "__r").alias("v"))
     return last.select(*keys, *[F.col(f"v.{c}").alias(c) for c in cols]).select(*old.columns)
 
 

@@ -13,6 +13,7 @@ from findling.operators import tables
 from findling.plans.registry import query
 from findling.plans.tables import UUID5, UUID5_DIGEST, EDGES, ENTITIES, edges, entities
 from findling.session import table
+from findling.storage import written
 
 _VISIBLE = "(SELECT id FROM ent WHERE layer_id IN ('default', 'public'))"
 _WAYS = "(SELECT source_id AS a, target_id AS b FROM edg UNION ALL SELECT target_id, source_id FROM edg)"
@@ -27,10 +28,11 @@ def g1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g2_upsert_relations", f"SELECT id, source_id, target_id, CASE WHEN weight > 1 THEN weight * 10 ELSE weight END AS weight FROM {EDGES}")
 def g2(spark: SparkSession, sf: str) -> DataFrame:
-    e = edges(spark, sf).select("id", "source_id", "target_id", "weight")
+    # Written, for it is read twice.
+    e = written(edges(spark, sf).select("id", "source_id", "target_id", "weight"), "relations")
     new = e.filter("weight > 1").withColumn("weight", F.col("weight") * 10)
     ghost = spark.sql("SELECT 'x' AS id, 'nobody' AS source_id, 'nothing' AS target_id, 1.0D AS weight")
-    return op.upsert_relations(e, new.unionByName(ghost), entities(spark, sf))
+    return op.upsert_relations(e, new.unionByName(ghost), entities(spark, sf), e.count() + new.count())
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findling.session import table
+from findling.session import spread, table
 
 #: UUID of version 5 in DuckDB SQL: of a digest ``s``, and that of a name.
 UUID5 = "(substr(s, 1, 8) || '-' || substr(s, 9, 4) || '-5' || substr(s, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(s, 17, 1)) - 1) % 4 + 1, 1) || substr(s, 18, 3) || '-' || substr(s, 21, 12))"
@@ -62,7 +62,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    pairs = o.join(li, o.o_orderkey == li.l_orderkey).groupBy("o_custkey", "l_partkey").agg(F.count("*").cast("double").alias("weight"))
+    many = li.count()
+    bought = spread(o, many, "o_orderkey").join(spread(li, many, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    pairs = spread(bought, many, "o_custkey", "l_partkey").groupBy("o_custkey", "l_partkey").agg(F.count("*").cast("double").alias("weight"))
     return pairs.select(
         F.concat(F.lit("c"), "o_custkey").alias("source_id"),
         F.concat(F.lit("p"), "l_partkey").alias("target_id"),

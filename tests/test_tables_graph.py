@@ -136,3 +136,19 @@ def test_sync_and_keys(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, t string")
     new = spark.createDataFrame([(2, "c"), (3, None), (4, "d")], "k int, t string")
     assert {r["k"]: r["action"] for r in gov.sync_difference(old, new, "k", "t").collect()} == {1: "remove", 2: "replace", 3: "keep", 4: "add"}
+
+
+def test_tasks_of_relations_stay_as_small(spark, monkeypatch):
+    """Twice the rows are twice the partitions that join, aggregate and upsert; the result is the same."""
+    from findling import session
+    from findling.plans import graph_queries, tables as derived
+
+    sf = "/root/testdata/sf0.001"
+    key = lambda r: tuple(r)
+    want = sorted(map(key, graph_queries.g2(spark, sf).collect()))
+    for rows in (400, 200):
+        monkeypatch.setattr(session, "SPREAD", rows)
+        made = graph_queries.g2(spark, sf)
+        assert made.rdd.getNumPartitions() >= len(want) / rows
+        assert derived.edges(spark, sf).rdd.getNumPartitions() >= 5000 / rows
+        assert sorted(map(key, made.collect())) == want
