@@ -156,7 +156,7 @@ def training_sample(
     prior = usable_labels.agg(F.avg("y")).first()[0]
     picked = None
     for y in (0, 1):
-        part = usable_labels.filter(F.col("y") == y).join(known.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(per_class)
+        part = usable_labels.filter(F.col("y") == y).join(known.select("id").hint("merge"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     # At most 2 x per_class identifiers, so broadcasting them is bounded.
     rows = known.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("t").alias("t")).orderBy("id", "y").collect()

@@ -100,9 +100,10 @@ def _mixed(own: Columns, kept: Sequence[str], weights: Sequence[float], max_epoc
     targets = source_targets(cells.groupBy("source_key").agg(F.sum("cell").alias("source_size")), weights, max_epochs)
     upto = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("source_key", "range", F.coalesce(F.sum("cell").over(upto), F.lit(0)).alias("before"))
-    cells = cells.join(targets, "source_key")
+    # Sources and cells grow with the rows, so their joins merge.
+    cells = cells.join(targets.hint("merge"), "source_key")
     inside = Window.partitionBy("source_key", "range").orderBy("key", "ident", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = keyed.withColumn("upto", F.sum("size").over(inside)).join(cells, ["source_key", "range"])
+    rows = keyed.withColumn("upto", F.sum("size").over(inside)).join(cells.hint("merge"), ["source_key", "range"])
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")

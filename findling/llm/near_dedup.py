@@ -221,7 +221,7 @@ def _cells(where: DataFrame, elements: int | None = None) -> DataFrame:
     count = F.count("*") if elements is None else F.greatest(F.count("*"), F.ceil(F.sum("n") * F.lit(BLOCK / elements)))
     sizes = where.groupBy("key", "comp").agg(count.alias("rows"))
     sizes = sizes.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("most"), F.sum("rows").alias("all")).filter("most.rows < all")
-    rows = where.join(sizes, "key")
+    rows = where.join(sizes.hint("merge"), "key")
     large = F.col("all") > BLOCK
     major = large & (F.col("comp") == F.col("most.comp"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
@@ -344,19 +344,20 @@ def _near(table: DataFrame, id_col: str, text_col: str, width: int, percent: int
     # A class is a node from here on, named by one of its rows.
     classes = table.filter("cls IS NOT NULL").groupBy("cls").agg(F.first("slots").alias("slots"), F.first("bits").alias("bits"), F.first("n").alias("n"), F.min("row").alias("node"), F.min(order).alias("best"))
     classes = written(classes, "near-classes")
+    # Joins from here on merge: Spark sizes a table by its compressed file, without what an explode adds, and would collect on the driver what it so takes for small.
 
     banded = classes.select("node", "slots", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     piece = F.expr(f"substring(slots, band * {2 * ROWS} + 1, {2 * ROWS})")
     # The last bits of a key are its band.
     keys = banded.select("node", F.xxhash64("band", piece).bitwiseAND(F.lit(-BANDS)).bitwiseOR(F.col("band")).alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
-    buckets = written(keys.join(shared, "key"), "near-buckets")
+    buckets = written(keys.join(shared.hint("merge"), "key"), "near-buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = written(table.select(F.col("row").alias("node"), "text").join(need, "node"), "near-texts")
-        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        texts = written(table.select(F.col("row").alias("node"), "text").join(need.hint("merge"), "node"), "near-texts")
+        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+        both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
         checked = both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, width, percent), "a long, b long, linked boolean")
         out = written(checked, "near-pairs")
         release(texts)
@@ -369,13 +370,13 @@ def _near(table: DataFrame, id_col: str, text_col: str, width: int, percent: int
     def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
         """Components after links between components a and b: only components are joined, not members."""
         over = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-        known = comp.unionByName(over.select(F.col("comp").alias("node"), "comp").join(comp.select("node"), "node", "left_anti"))
-        new = known.join(over, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        known = comp.unionByName(over.select(F.col("comp").alias("node"), "comp").join(comp.select("node").hint("merge"), "node", "left_anti"))
+        new = known.join(over.hint("merge"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
         return written(new, "near-components")
 
     def placed(members: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
         c = comp.select(F.col("node").alias(node), F.col("comp").alias("c"))
-        return members.join(c, node, "left").withColumn(name, F.coalesce("c", node)).drop("c")
+        return members.join(c.hint("merge"), node, "left").withColumn(name, F.coalesce("c", node)).drop("c")
 
     # First one pivot a class, then the pivots of all its buckets that this hasn't joined.
     pairs = buckets.filter("pivot != node").groupBy("node").agg(F.min("pivot").alias("a")).select("a", F.col("node").alias("b"))
@@ -383,23 +384,23 @@ def _near(table: DataFrame, id_col: str, text_col: str, width: int, percent: int
     comp = components(done.filter("linked"))
     star = buckets.filter("pivot != node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     star = placed(placed(star, comp, "a", "ca"), comp, "b", "cb").filter("ca != cb")
-    star = written(star.join(done.select("a", "b"), ["a", "b"], "left_anti"), "near-stars")
+    star = written(star.join(done.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "near-stars")
     if not star.isEmpty():
         more = verified(star.select("a", "b"))
-        links = star.join(more.filter("linked"), ["a", "b"], "left_semi")
+        links = star.join(more.filter("linked").hint("merge"), ["a", "b"], "left_semi")
         comp = joined(comp, links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     # Buckets that still hold several components are compared in blocks.
     where = written(placed(buckets.select("key", "node"), comp, "node", "comp"), "near-placed")
     held = classes.select("node", "n", "bits")
-    cells = _cells(where).join(held, "node").select("key", "lower", "upper", "blk", "node", "comp", "n", "bits")
+    cells = _cells(where).join(held.hint("merge"), "node").select("key", "lower", "upper", "blk", "node", "comp", "n", "bits")
     possible = written(cells.groupBy("key", "lower", "upper").applyInArrow(_possible(percent), "key long, node long").distinct(), "near-possible")
     if not possible.isEmpty():
         need = possible.select("node").distinct()
-        texts = table.select(F.col("row").alias("node"), "text").join(need, "node")
+        texts = table.select(F.col("row").alias("node"), "text").join(need.hint("merge"), "node")
         sets = written(texts.mapInArrow(_elements(width), "node long, elements binary"), "near-sets")
-        rest = where.join(possible, ["key", "node"], "left_semi").join(classes.select("node", "n"), "node")
-        whole = classes.select("node", "n", "bits", "slots").join(sets, "node")
-        cells = _cells(rest, ELEMENTS).join(whole, "node").select("key", "lower", "upper", "blk", "node", "comp", "n", "bits", "slots", "elements")
+        rest = where.join(possible.hint("merge"), ["key", "node"], "left_semi").join(classes.select("node", "n").hint("merge"), "node")
+        whole = classes.select("node", "n", "bits", "slots").join(sets.hint("merge"), "node")
+        cells = _cells(rest, ELEMENTS).join(whole.hint("merge"), "node").select("key", "lower", "upper", "blk", "node", "comp", "n", "bits", "slots", "elements")
         links = written(cells.groupBy("key", "lower", "upper").applyInArrow(_decided(percent), "a long, b long"), "near-links")
         release(sets)
         links = placed(placed(links, comp, "a", "ca"), comp, "b", "cb").filter("ca != cb")
@@ -409,11 +410,11 @@ def _near(table: DataFrame, id_col: str, text_col: str, width: int, percent: int
 
     # Components of several classes only; salted, for one may hold a third of all.
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
-    whole = classes.select("cls", "node", "best").join(comp, "node").withColumn("salt", salt)
+    whole = classes.select("cls", "node", "best").join(comp.hint("merge"), "node").withColumn("salt", salt)
     best = whole.groupBy("comp").agg(F.min("best").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    label = whole.join(best, ["comp", "salt"]).select("node", "least")
-    label = classes.select("cls", "node", "best").join(label, "node", "left").select("cls", F.coalesce("least", "best").alias("best"))
-    out = table.join(label, "cls", "left")
+    label = whole.join(best.hint("merge"), ["comp", "salt"]).select("node", "least")
+    label = classes.select("cls", "node", "best").join(label.hint("merge"), "node", "left").select("cls", F.coalesce("least", "best").alias("best"))
+    out = table.join(label.hint("merge"), "cls", "left")
     alone = F.col("best").isNull()
     return out.select(
         *[F.col("text").alias(c) if c == text_col else F.col(c) for c in carried],

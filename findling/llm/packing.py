@@ -309,7 +309,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, length_col: str = "leng
     upto = Window.partitionBy(length).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(length, "range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
     inside = Window.partitionBy(length, "range").orderBy("key", *order)
-    ranked = keyed.withColumn("nth", F.row_number().over(inside) - 1).join(cells, [length, "range"])
+    # Cells grow with the pieces, so their join merges.
+    ranked = keyed.withColumn("nth", F.row_number().over(inside) - 1).join(cells.hint("merge"), [length, "range"])
     ranked = ranked.join(F.broadcast(slots), length).withColumn("rank", F.col("before") + F.col("nth"))
     at = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
     placed = ranked.withColumn("at", at).withColumns({"sequence": F.get("bases", F.col("at")) + F.col("rank") - F.get("begins", F.col("at")), "begin": F.get("offsets", F.col("at"))})

@@ -174,7 +174,7 @@ def labelled_sample(
     picked = None
     for quality in (0, 1):
         part = labels.filter(F.col("quality") == quality).select(F.col(f"`{id_col}`").alias("id"), F.lit(quality).alias("quality")).distinct()
-        part = part.join(known.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(per_class)
+        part = part.join(known.select("id").hint("merge"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     # At most 2 x per_class identifiers, so broadcasting them is bounded.
     rows = known.join(F.broadcast(picked), "id").groupBy("id", "quality").agg(F.min("t").alias("t")).orderBy("id", "quality")

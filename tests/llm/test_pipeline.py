@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipe
-from findling.llm import quality_rules
+from findling.llm import mixing, near_dedup, packing, quality_rules
 from findling.llm.common import documents
 from findling.llm.queries import line_field, word_tokenizer
 from findling.storage import written
@@ -118,3 +118,22 @@ def test_sequences_are_rebuilt_from_the_result(spark):
     prose = " ".join(f"word{i} of text" for i in range(3000))
     docs = spark.createDataFrame([(1, prose), (1, prose[:200]), (1, prose[:50]), (2, "short"), (3, None)], "doc_id long, text string")
     check_packing(docs.collect(), pipe.packing_stage(spark, docs, SF).collect())
+
+
+def test_stages_broadcast_no_table_that_grows(spark, monkeypatch):
+    """Even tables that Spark takes for small, as all are here, are merged; what a number of partitions or the capacity bounds may be broadcast."""
+    plans = []
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    for module in (near_dedup, mixing, packing):
+        monkeypatch.setattr(module, "written", noted)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 3 + j) % 97}" for j in range(40 + i % 3)), f"s{i % 2}") for i in range(90)], "doc_id long, text string, source string")
+    for name, stage in pipe.STAGES[2:]:
+        docs = noted(stage(spark, docs, SF), f"test-{name}")
+        keys = {k for p in plans for k in re.findall(r"BroadcastHashJoin \[([^\]]*?)#", p)}
+        assert any("SortMergeJoin" in p for p in plans), name
+        assert keys <= {"near_dedup": set(), "mixing": {"part"}, "packing": {"in_3"}}[name], name
+        plans.clear()
